@@ -39,7 +39,7 @@ def bucket(value: Column, cut: Column, side: int) -> Column:
 
 def with_bucket(df: DataFrame, order: str, name: str = "_bucket") -> DataFrame:
     cut, side = bounds(df, order)
-    return df.withColumn("_cut", cut).withColumn(name, bucket(F.col(order), F.col("_cut"), side)).drop("_cut")
+    return df.withColumn("_bounds", cut).withColumn(name, bucket(F.col(order), F.col("_bounds"), side)).drop("_bounds")
 
 
 def running_sum(df: DataFrame, by: Sequence[str], order: str, value: str, name: str,

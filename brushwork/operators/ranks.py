@@ -29,8 +29,8 @@ def order_statistics(df: DataFrame, value: str, ranks: Mapping[str, Rank], by: S
     rows = df.select(*grouping, F.col(value).alias("_v"), many.alias("_w")).where(F.col("_v").isNotNull())
     cut, side = ordered.bounds(rows, "_v")
     counts = rows.groupBy(*keys, "_v").agg(F.sum("_w").alias("_c"))
-    counts = counts.withColumn("_cut", cut).withColumn(
-        "_bucket", ordered.bucket(F.col("_v"), F.col("_cut"), side)).drop("_cut")
+    counts = counts.withColumn("_bounds", cut).withColumn(
+        "_bucket", ordered.bucket(F.col("_v"), F.col("_bounds"), side)).drop("_bounds")
 
     group = Window.partitionBy(*keys)
     upto = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)

@@ -16,12 +16,12 @@ SIZE = (1000.0, 5.0)  # price and quantity per cell
 
 def top_cells(spark, d):
     c = grid.cells(points(spark, d), "x", "y", "z", "label", SIZE, means=["intensity"])
-    return c.select("cx", "cy", "zmax", "top", r("mean_intensity").alias("mean_intensity"), "n")
+    return c.select("cx", "cy", "zmax", "top", r("mean_intensity", 9).alias("mean_intensity"), "n")
 
 
 CELLS = """c AS (
   SELECT CAST(floor(x / 1000) AS BIGINT) AS cx, CAST(floor(y / 5) AS BIGINT) AS cy, max(z) AS zmax,
-         (max(struct_pack(z := z, l := label))).l AS top, round(avg(intensity), 6) AS mean_intensity, count(*) AS n
+         (max(struct_pack(z := z, l := label))).l AS top, round(avg(intensity), 9) AS mean_intensity, count(*) AS n
   FROM p GROUP BY 1, 2)"""
 
 TOP_CELLS = f"WITH {POINTS}, {CELLS} SELECT * FROM c"
@@ -208,6 +208,11 @@ def ring_sql(ring, u="u", v="v"):
     return "(" + " + ".join(terms) + ") % 2 = 1"
 
 
+def ring_open_sql(ring, u="u", v="v"):
+    """Insideness of a cell's centre: strictly between two crossings of its row."""
+    return f"({ring_sql(ring, u, v)}) AND ({ring_sql(ring, u, v).replace(f'{u} < ', f'{u} > ')})"
+
+
 def lasso_voxels(spark, d):
     """Voxel counts of the points inside a lasso drawn on the tilted view."""
     s = _screen(spark, d)

@@ -92,13 +92,13 @@ def with_degree(df: DataFrame, cells: Sequence[str], sizes: Sequence[float], box
     bounded = bool(boxes) and all(abs(e) < 2**61 for b in boxes for pair in b for e in pair)
     if len(boxes) <= MANY_BOXES or not bounded or table_cells(sizes, boxes, width) > TABLE_CELLS:
         return df.withColumn(degree, box_degree([F.col(c) for c in cells], sizes, boxes, width))
-    table = degree_table(df.sparkSession, cells, sizes, boxes, width, "_degree")
+    table = degree_table(df.sparkSession, cells, sizes, boxes, width, "_near")
     return df.join(F.broadcast(table), list(cells), "left") \
-        .withColumn(degree, F.coalesce("_degree", F.lit(0.0))).drop("_degree")
+        .withColumn(degree, F.coalesce("_near", F.lit(0.0))).drop("_near")
 
 
 def with_key_degree(df: DataFrame, key: str, degrees: DataFrame, degree: str = "degree") -> DataFrame:
     """Adds the degree of each row's key from a table (key, degree); keys
     without one get 0. Hot keys are dealt over tasks."""
-    table = degrees.select(key, F.col(degree).alias("_degree"))
-    return lookup(df, table, key).withColumn(degree, F.coalesce("_degree", F.lit(0.0))).drop("_degree")
+    table = degrees.select(key, F.col(degree).alias("_near"))
+    return lookup(df, table, key).withColumn(degree, F.coalesce("_near", F.lit(0.0))).drop("_near")

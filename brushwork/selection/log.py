@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import ordered
+from ..session import materialise
 
 
 def _until(log: DataFrame, at: int | None) -> DataFrame:
@@ -67,7 +68,8 @@ def active_global(log: DataFrame, at: int | None = None) -> DataFrame:
     own = live.where(F.col("tuple").isNotNull())
     # Each event with the seq of the tuple's next event: the previous in reverse order.
     back = own.withColumn("_back", -F.col("seq"))
-    chained = ordered.previous(back, ["selection", "tuple"], "_back", {"_next": "seq"}).drop("_back")
+    # Each of these passes reads its input three times, so each starts from a written table.
+    chained = materialise(ordered.previous(back, ["selection", "tuple"], "_back", {"_next": "seq"}).drop("_back"), "chain")
 
     # How many clears of the event's producer lie before it, and before the next event.
     clears = rows.where(F.col("op") == "clear").select("selection", "producer", "seq", F.lit(1).alias("_w"),
@@ -83,14 +85,16 @@ def active_global(log: DataFrame, at: int | None = None) -> DataFrame:
     spans = counted.where(F.col("_side").isNotNull()).groupBy("selection", "producer", "tuple", "_at").agg(
         F.max(F.when(F.col("_side") == "start", F.col("_cleared"))).alias("_from"),
         F.max(F.when(F.col("_side") == "end", F.col("_cleared"))).alias("_to"))
-    spans = spans.withColumn("_gone", F.col("_to") > F.col("_from"))
+    spans = materialise(spans.withColumn("_gone", F.col("_to") > F.col("_from")), "spans")
 
     # Undone events cut a tuple's history into stretches; in each, events add and
     # remove in turn, the first one adding.
-    cuts = ordered.running_sum(spans.withColumn("_g", F.col("_gone").cast("int")), ["selection", "tuple"], "_at", "_g", "_cut")
-    cuts = cuts.withColumn("_cut", F.col("_cut") - F.col("_g")).withColumn("_one", F.lit(1))
-    turns = ordered.running_sum(cuts, ["selection", "tuple", "_cut"], "_at", "_one", "_turn")
+    cuts = ordered.running_sum(spans.withColumn("_g", F.col("_gone").cast("int")), ["selection", "tuple"], "_at", "_g", "_stretch")
+    cuts = cuts.withColumn("_stretch", F.col("_stretch") - F.col("_g")).withColumn("_one", F.lit(1))
+    cuts = materialise(cuts, "stretches")
+    turns = ordered.running_sum(cuts, ["selection", "tuple", "_stretch"], "_at", "_one", "_turn")
     turns = turns.withColumn("_adds", F.col("_turn") % 2 == 1)
+    turns = materialise(turns, "turns")
     last = turns.groupBy("selection", "tuple").agg(F.max(F.struct("_at", "producer", "_adds", "_gone")).alias("_last"))
     held = last.where(F.col("_last._adds") & ~F.col("_last._gone")) \
         .select("selection", F.col("_last.producer").alias("producer"), "tuple")

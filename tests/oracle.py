@@ -79,7 +79,7 @@ if __name__ == "__main__":
         try:
             res = compare(spark, con, folder, n)
         except Exception as e:  # report and go on
-            res = {"name": n, "status": f"ERROR {type(e).__name__}: {str(e)[:1500]}"}
+            res = {"name": n, "status": f"ERROR {type(e).__name__}: {str(e)[:700]}"}
         if res["status"] not in ("ok", "rows-only"):
             failed += 1
         print(f"{res['name']:24} {res.get('rows', '-'):>7} {res.get('seconds', '-'):>7}  {res['status']}", flush=True)
