@@ -20,8 +20,8 @@ def clock(df: DataFrame, t: str, gap: float = 1.0, by: Sequence[str] = (), name:
     base = df if by else df.withColumn("_all", F.lit(0))
     times = base.where(F.col(t).isNotNull()).select(*one, F.col(t).cast("double").alias("_t")).distinct()
     steps = previous(times, one, "_t", {"_p": "_t"})
-    steps = steps.withColumn("_d", F.coalesce(
-        F.greatest(F.lit(0.0), F.least(F.lit(float(gap)), F.col("_t") - F.col("_p"))), F.lit(0.0)))
+    step = F.greatest(F.lit(0.0), F.least(F.lit(float(gap)), F.col("_t") - F.col("_p")))
+    steps = steps.withColumn("_d", F.when(F.col("_p").isNotNull(), step).otherwise(F.lit(0.0)))
     ticks = running_sum(steps.select(*one, "_t", "_d"), one, "_t", "_d", name).select(*one, "_t", name)
     rows = base.withColumn("_t", F.col(t).cast("double"))
     out = same_key_join(rows, ticks, [*one, "_t"], "left").drop("_t")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .transforms import held
+
 Domain = tuple[float, float]
 
 
@@ -47,7 +49,10 @@ def regression(df: DataFrame, under: Column, key: str, x: str, y: str) -> DataFr
 def interval_degree(u: Column, x: Domain, v: Column | None = None, y: Domain | None = None,
                     soft: float | None = None) -> Column:
     """Degree of a box brush in unit space: 1 inside, falling to 0 at `soft`."""
-    gap = lambda c, d: F.greatest(F.lit(float(d[0])) - c, c - F.lit(float(d[1])), F.lit(0.0))
+    def gap(c: Column, d: Domain) -> Column:
+        return F.when(c.isNotNull(), F.greatest(F.lit(float(d[0])) - c, c - F.lit(float(d[1])), F.lit(0.0)))
+
+
     d = gap(u, x) if v is None or y is None else F.hypot(gap(u, x), gap(v, y))
     return fall(d, soft)
 
@@ -57,7 +62,7 @@ def fall(distance: Column, soft: float | None) -> Column:
         hard = F.when(distance <= 0, F.lit(1.0)).otherwise(F.lit(0.0))
         return F.coalesce(hard, F.lit(0.0))
     d = F.lit(1.0) - distance / F.lit(max(float(soft), 1e-9))
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), d)), F.lit(0.0))
+    return F.coalesce(held(d, 0.0, 1.0), F.lit(0.0))
 
 
 def keep(df: DataFrame, degree: Column) -> DataFrame:

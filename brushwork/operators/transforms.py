@@ -68,6 +68,11 @@ def compare(field: str, **tests) -> Column:
     return out
 
 
+def held(c: Column, lo: float, hi: float) -> Column:
+    """c within [lo, hi]. `greatest` and `least` skip NULLs, so NULL is kept apart."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), c)))
+
+
 def labels(code: Column, names: Mapping, other: str = "Other") -> Column:
     """A code to its label by a short, fixed list."""
     out = F
@@ -140,14 +145,14 @@ def log_domain(lo: Column, hi: Column) -> Column:
 
 def unit_log(v: Column, lo: Column, hi: Column) -> Column:
     at = (F.log10(F.greatest(v, lo)) - F.log10(lo)) / (F.log10(hi) - F.log10(lo))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), at))
+    return F.when(v.isNotNull(), held(at, 0.0, 1.0))
 
 
 def log_tint(df: DataFrame, value: str, name: str = "tint", plus_one: bool = False) -> DataFrame:
     """ln(v) / ln(max), or ln(1 + v) / ln(1 + max): a colour position for counts."""
     f = F.log1p if plus_one else F.log
     top = df.agg(f(F.max(value))).scalar()
-    return df.withColumn(name, F.least(F.lit(1.0), F.greatest(F.lit(0.0), f(F.col(value)) / top)))
+    return df.withColumn(name, held(f(F.col(value)) / top, 0.0, 1.0))
 
 
 def robust_unit(df: DataFrame, value: str, name: str = "u") -> DataFrame:
@@ -156,7 +161,7 @@ def robust_unit(df: DataFrame, value: str, name: str = "u") -> DataFrame:
         "lo": lambda n: F.floor(n / 200), "hi": lambda n: F.floor(n * 995 / 1000)})
     e = at.select(F.struct("lo", "hi")).scalar()
     u = (F.col(value) - F.col("_e.lo")) / (F.col("_e.hi") - F.col("_e.lo"))
-    return df.withColumn("_e", e).withColumn(name, F.greatest(F.lit(0.0), F.least(F.lit(1.2), u))).drop("_e")
+    return df.withColumn("_e", e).withColumn(name, held(u, 0.0, 1.2)).drop("_e")
 
 
 # -- bins ------------------------------------------------------------------------

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import lookup
+from .values import all_of
 
 TABLE_CELLS = 1 << 21  # the widest degree table; beyond it each row is measured
 MANY_BOXES = 24  # up to this many boxes a formula is as cheap as a look-up
@@ -33,7 +34,8 @@ def fold(degrees: Sequence[Column], least: bool) -> Column:
 def _distance2(cells: Sequence[Column], sizes: Sequence[float], lo: Sequence[Column], hi: Sequence[Column]) -> Column:
     total = None
     for c, s, a, b in zip(cells, sizes, lo, hi):
-        gap = F.greatest(a - c, c - b, F.lit(0)).cast("double") * F.lit(float(s))
+        # `greatest` skips NULLs; a NULL cell is near no box.
+        gap = F.when(c.isNotNull(), F.greatest(a - c, c - b, F.lit(0)).cast("double") * F.lit(float(s)))
         total = gap * gap if total is None else total + gap * gap
     return total
 
@@ -54,9 +56,10 @@ def box_degree(cells: Sequence[Column], sizes: Sequence[float], boxes: Sequence[
     check_width(width)
     if not boxes:
         return F.lit(0.0)
+    known = all_of([c.isNotNull() for c in cells])
     d2 = [_distance2(cells, sizes, [F.lit(_open(lo, -1)) for lo, _ in b], [F.lit(_open(hi, 1)) for _, hi in b]) for b in boxes]
     nearest = d2[0] if len(d2) == 1 else F.least(*d2)
-    return F.coalesce(falling(nearest, width), F.lit(0.0))
+    return F.when(known, falling(nearest, width)).otherwise(F.lit(0.0))
 
 
 def table_cells(sizes: Sequence[float], boxes: Sequence[Box], width: float) -> int:

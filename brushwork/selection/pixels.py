@@ -83,7 +83,7 @@ class PixelGrid:
         x = self._input(value)
         t = (x - F.lit(d0)) / F.lit(d1 - d0)
         if self.clamp:
-            t = F.when(F.isnan(t), t).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)))
+            t = F.when(t.isNull() | F.isnan(t), t).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)))
         p = t * F.lit(float(r1 - r0)) + F.lit(float(r0))
         if self.range_offset:
             p = p + F.lit(float(self.range_offset))

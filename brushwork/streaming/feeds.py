@@ -25,7 +25,10 @@ def read_feed(spark: SparkSession, path: str, schema: T.StructType, files_per_tr
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    stream = reader.parquet(path)
+    # A pattern matches a folder and a single file alike; a file's plain path is
+    # refused by the file source.
+    path = path.rstrip("/")
+    stream = reader.parquet(f"{path[:-1]}[{path[-1]}]")
     return stream if since is None else stream.where(F.col(since[0]) >= F.lit(since[1]))
 
 
