@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import states
 
-LIMIT = 2.0**63  # first double beyond a 64-bit cell index
+LIMIT = 2.0**62  # well within a 64-bit cell index
 
 
 def _col(c: str | Column) -> Column:
@@ -19,12 +19,12 @@ def _col(c: str | Column) -> Column:
 def cell(value: str | Column, size: float = 1.0, origin: float = 0.0) -> Column:
     """The integer cell floor((value - origin) / size), NULL where the value is
     not finite or its cell does not fit 64 bits."""
-    q = _col(value).cast("double")
-    if origin:
-        q = q - F.lit(float(origin))
+    x = _col(value).cast("double")
+    q = x - F.lit(float(origin)) if origin else x
     if size != 1:
         q = q / F.lit(float(size))
-    return F.when((q >= F.lit(-LIMIT)) & (q < F.lit(LIMIT)), F.floor(q)).cast("long")
+    # The test is on the value, so the cell itself is computed once.
+    return F.when(F.abs(x) < F.lit(LIMIT * min(1.0, float(size)) - abs(float(origin))), F.floor(q))
 
 
 def centre(index: str | Column, size: float = 1.0, origin: float = 0.0) -> Column:

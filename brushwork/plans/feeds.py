@@ -17,18 +17,19 @@ def _stream(spark, d):
     """Events as a stream of files, in whatever number the table has, a bounded
     number of them per batch."""
     schema = load(spark, d, "events").schema
-    stream = feeds.read_feed(spark, f"{d}/events.parquet", schema, files_per_trigger=64)
-    return feeds.event_time(stream, "ts").withColumn("t", seconds()) \
-        .withColumn("u", F.col("user_id").cast("double"))
+    return _prepare(feeds.read_feed(spark, f"{d}/events.parquet", schema, files_per_trigger=64))
 
 
-def _recorded(spark, d, files=6):
-    """The same events as a recorded feed of several files in time order, one per batch."""
+def _prepare(stream):
+    return feeds.event_time(stream, "ts").withColumn("t", seconds()).withColumn("u", F.col("user_id").cast("double"))
+
+
+def _recorded(spark, d, files=4):
+    """The same events as a recorded feed of several files, one per batch."""
     path = scratch_path(spark, "recorded")
     e = load(spark, d, "events")
     feeds.write_feed(e, path, "ts", files, tie=["event_id"])
-    stream = feeds.read_feed(spark, path, e.schema, files_per_trigger=1)
-    return feeds.event_time(stream, "ts").withColumn("t", seconds()).withColumn("u", F.col("user_id").cast("double"))
+    return _prepare(feeds.read_feed(spark, path, e.schema, files_per_trigger=1))
 
 
 def stream_panes(spark, d):
@@ -46,7 +47,7 @@ max(value) AS zmax, count(*) AS n FROM events GROUP BY 1, 2, 3"""
 def stream_cells(spark, d):
     """The last seven days of a feed, merged from the states of its batches."""
     table = live.CellTable(spark, "u", "value", "value", CELL, "t", 86400.0, 7 * 86400.0)
-    feeds.run(_recorded(spark, d), table)
+    feeds.replay(load(spark, d, "events"), "ts", 3, _prepare, table)
     return table.rolling(1)
 
 
@@ -110,7 +111,7 @@ SELECT event_id, round(sum(d) OVER (ORDER BY t), 3) AS clock FROM g"""
 def keyed_clock(spark, d):
     """A clock per event type that goes on from batch to batch."""
     table = live.ClockTable(spark, ["event_type"], "t", 600.0)
-    feeds.run(_recorded(spark, d, 3), table)
+    feeds.replay(load(spark, d, "events"), "ts", 3, _prepare, table)
     return table.read().select("event_id", r("clock", 3).alias("clock"))
 
 

@@ -204,10 +204,9 @@ CENTRES = f"(({sql_cell('x', LX)} + 0.5::DOUBLE) * 4.0::DOUBLE) AS u, (({sql_cel
 
 
 def lasso_hist(spark, d):
-    """Quantities under a lasso, through tables of run ends, with the bounding range beside it for the scan."""
+    """Quantities under a lasso, through tables of run ends."""
     p = points(spark, d)
-    near = lasso.bounding_ranges({"x": LX, "z": LY}, RUNS)
-    return grid.histogram(p, "y", 5.0, where=near & predicate(membership("area"), "hist", SELECTED_AREA), by=["label"])
+    return grid.histogram(p, "y", 5.0, where=predicate(membership("area"), "hist", SELECTED_AREA), by=["label"])
 
 
 LASSO_HIST = f"""WITH {POINTS}, c AS (SELECT *, {CENTRES} FROM p)

@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import lookup
+from .lasso import Axis, Box, hull
 from .values import all_of
 
 TABLE_CELLS = 1 << 21  # the widest degree table; beyond it each row is measured
-MANY_BOXES = 24  # up to this many boxes a formula is as cheap as a look-up
-
-Box = tuple[tuple[int, int], ...]
+FEW_BOXES = 8  # up to this many boxes a formula is as cheap as a look-up
+FAR = 2**61  # range ends beyond are open
 
 
 def check_width(width: float) -> None:
@@ -31,35 +31,47 @@ def fold(degrees: Sequence[Column], least: bool) -> Column:
     return F.least(*degrees) if least else F.greatest(*degrees)
 
 
-def _distance2(cells: Sequence[Column], sizes: Sequence[float], lo: Sequence[Column], hi: Sequence[Column]) -> Column:
-    total = None
-    for c, s, a, b in zip(cells, sizes, lo, hi):
-        # `greatest` skips NULLs; a NULL cell is near no box.
-        gap = F.when(c.isNotNull(), F.greatest(a - c, c - b, F.lit(0)).cast("double") * F.lit(float(s)))
-        total = gap * gap if total is None else total + gap * gap
-    return total
+def _gap(c: Column, lo: Column | int, hi: Column | int, size: float) -> Column:
+    """Pixels from a cell to a range of cells, 0 inside; the cell is used once."""
+    lit = lambda v: F.lit(v) if isinstance(v, int) else v
+    low = not isinstance(lo, int) or lo > -FAR
+    high = not isinstance(hi, int) or hi < FAR
+    if low and high:
+        twice = F.abs(c * 2 - (lit(lo) + lit(hi))) - (lit(hi) - lit(lo))
+        cells = F.greatest(twice, F.lit(0)) / F.lit(2.0)
+    elif low or high:
+        cells = F.greatest(lit(lo) - c if low else c - lit(hi), F.lit(0)).cast("double")
+    else:
+        return F.lit(0.0)
+    return cells * F.lit(float(size))
 
 
-def falling(d2: Column, width: float) -> Column:
-    d = F.sqrt(d2)
-    near = F.lit(0.0) if width == 0 else F.greatest(F.lit(1.0) - d / F.lit(float(width)), F.lit(0.0))
-    return F.when(d == 0, F.lit(1.0)).otherwise(near)
+def _distance(gaps: Sequence[Column]) -> Column:
+    out = gaps[0]
+    for g in gaps[1:]:
+        out = F.hypot(out, g)
+    return out
 
 
-def _open(b: int, side: int) -> int:
-    """Open ends far out, but where differences of cells cannot overflow."""
-    return max(-(2**61), min(2**61, b))
+def falling(d: Column, width: float) -> Column:
+    if width == 0:
+        return F.when(d == 0, F.lit(1.0)).otherwise(F.lit(0.0))
+    return F.greatest(F.lit(1.0) - d / F.lit(float(width)), F.lit(0.0))
 
 
-def box_degree(cells: Sequence[Column], sizes: Sequence[float], boxes: Sequence[Box], width: float) -> Column:
-    """The degree as a formula: distance in pixels to the nearest box."""
+def box_degree(axes: Sequence[Axis], sizes: Sequence[float], boxes: Sequence[Box], width: float) -> Column:
+    """The degree as a formula: distance in pixels to the nearest box. Rows
+    farther than the width from the bounding box are 0 by a plain range test."""
     check_width(width)
     if not boxes:
         return F.lit(0.0)
-    known = all_of([c.isNotNull() for c in cells])
-    d2 = [_distance2(cells, sizes, [F.lit(_open(lo, -1)) for lo, _ in b], [F.lit(_open(hi, 1)) for _, hi in b]) for b in boxes]
-    nearest = d2[0] if len(d2) == 1 else F.least(*d2)
-    return F.when(known, falling(nearest, width)).otherwise(F.lit(0.0))
+    near = []
+    for a, s, (lo, hi) in zip(axes, sizes, hull(boxes)):
+        reach = math.ceil(width / s)
+        near.append(a.between(max(lo - reach, -(2**63)), min(hi + reach, 2**63 - 1)))
+    each = [_distance([_gap(a.index(), lo, hi, s) for a, s, (lo, hi) in zip(axes, sizes, b)]) for b in boxes]
+    nearest = each[0] if len(each) == 1 else F.least(*each)
+    return F.when(all_of(near), falling(nearest, width)).otherwise(F.lit(0.0))
 
 
 def table_cells(sizes: Sequence[float], boxes: Sequence[Box], width: float) -> int:
@@ -81,9 +93,9 @@ def degree_table(spark: SparkSession, names: Sequence[str], sizes: Sequence[floa
     for n, s in zip(names, sizes):
         reach = math.ceil(width / s)
         near = near.withColumn(n, F.explode(F.sequence(F.col(f"_lo_{n}") - reach, F.col(f"_hi_{n}") + reach)))
-    d2 = _distance2([F.col(n) for n in names], sizes, [F.col(f"_lo_{n}") for n in names], [F.col(f"_hi_{n}") for n in names])
-    return near.select(*names, d2.alias("_d2")).groupBy(*names).agg(F.min("_d2").alias("_d2")) \
-        .select(*names, falling(F.col("_d2"), width).alias(degree)).where(F.col(degree) > 0)
+    far = _distance([_gap(F.col(n), F.col(f"_lo_{n}"), F.col(f"_hi_{n}"), s) for n, s in zip(names, sizes)])
+    return near.select(*names, far.alias("_far")).groupBy(*names).agg(F.min("_far").alias("_far")) \
+        .select(*names, falling(F.col("_far"), width).alias(degree)).where(F.col(degree) > 0)
 
 
 def with_degree(df: DataFrame, cells: Sequence[str], sizes: Sequence[float], boxes: Sequence[Box], width: float,
@@ -92,9 +104,9 @@ def with_degree(df: DataFrame, cells: Sequence[str], sizes: Sequence[float], box
     table of cells, broadcast because it has at most TABLE_CELLS rows; where it
     would have more, every row is measured after all."""
     check_width(width)
-    bounded = bool(boxes) and all(abs(e) < 2**61 for b in boxes for pair in b for e in pair)
-    if len(boxes) <= MANY_BOXES or not bounded or table_cells(sizes, boxes, width) > TABLE_CELLS:
-        return df.withColumn(degree, box_degree([F.col(c) for c in cells], sizes, boxes, width))
+    bounded = bool(boxes) and all(abs(e) < FAR for b in boxes for pair in b for e in pair)
+    if len(boxes) <= FEW_BOXES or not bounded or table_cells(sizes, boxes, width) > TABLE_CELLS:
+        return df.withColumn(degree, box_degree([Axis(F.col(c)) for c in cells], sizes, boxes, width))
     table = degree_table(df.sparkSession, cells, sizes, boxes, width, "_near")
     return df.join(F.broadcast(table), list(cells), "left") \
         .withColumn(degree, F.coalesce("_near", F.lit(0.0))).drop("_near")

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from .values import Range, all_of, any_of
 
 MAX_ROWS = 1 << 20  # a polygon over more rows of cells is refused
 MIN_TUPLES = 8  # fewer boxes stay an ordinary OR of ranges
+FEW_BOXES = 64  # boxes without an index that an expression still tests one by one
 DENSE_CELLS = 1 << 14  # the widest row table kept inside the expression
 BROADCAST_BOXES = 1 << 17  # above this many boxes, the look-up is a shuffled join
 
@@ -75,48 +77,77 @@ def box_of(tests: Sequence[Range]) -> Box | None:
     return tuple(out)
 
 
-def _table(values: Sequence[int]) -> Column:
+@dataclass(frozen=True)
+class Axis:
+    """One projection of a row: a value on a grid, or a cell stored earlier."""
+
+    column: Column
+    grid: PixelGrid | None = None
+
+    def cell(self) -> Column:
+        return self.column if self.grid is None else self.grid.cell(self.column)
+
+    def index(self) -> Column:
+        """The cell of a row that is known to have one."""
+        return self.column if self.grid is None else self.grid.index(self.column)
+
+    def between(self, c0: int, c1: int) -> Column:
+        if self.grid is not None:
+            return self.grid.between(self.column, c0, c1)
+        return (self.column >= F.lit(c0)) & (self.column <= F.lit(c1))
+
+    def ends(self, c0: int, c1: int) -> tuple[float, float] | None:
+        """What the column itself lies between when its cell is in c0..c1."""
+        return (c0, c1) if self.grid is None else self.grid.preimage(c0, c1)
+
+
+def _table(values: Sequence[float], kind: str) -> Column:
     """An array literal; Spark folds it to one constant."""
-    return F.split(F.lit(",".join(str(v) for v in values)), ",").cast("array<bigint>")
+    return F.split(F.lit(",".join(repr(v) for v in values)), ",").cast(f"array<{kind}>")
 
 
-def in_boxes(cells: Sequence[Column], boxes: Sequence[Box]) -> Column | None:
+def in_boxes(axes: Sequence[Axis], boxes: Sequence[Box]) -> Column | None:
     """Whether a row's cells lie in a box, never NULL. Where all boxes are one
     cell high on some projection, as a lasso's are, the row's cell there indexes
     constant tables of run ends, so a row costs a look-up per run in its row of
-    cells, not a test per box. None where the boxes are too many for an
-    expression: use `match_boxes`."""
+    cells, not a test per box. The bounding box comes first, as ranges on the
+    columns, which the scan can prune by. None where the boxes are too many
+    for an expression: use `match_boxes`."""
     if not boxes:
         return F.lit(False)
-    key = next((d for d in range(len(cells)) if all(b[d][0] == b[d][1] for b in boxes)), None)
-    if len(boxes) >= MIN_TUPLES and key is not None:
+    key = next((d for d in range(len(axes)) if all(b[d][0] == b[d][1] for b in boxes)), None)
+    timed = any(a.grid is not None and a.grid.scale == "time" for a in axes)
+    if len(boxes) >= MIN_TUPLES and key is not None and not timed:
         rows: dict[int, list[Box]] = {}
         for b in boxes:
             rows.setdefault(b[key][0], []).append(b)
         first, span = min(rows), max(rows) - min(rows) + 1
         depth = max(len(r) for r in rows.values())
         if span * depth <= DENSE_CELLS:
-            at = (cells[key] - F.lit(first)).cast("int")
-            at = F.when((cells[key] >= first) & (cells[key] < first + span), at)
-            rest = [d for d in range(len(cells)) if d != key]
+            at = (axes[key].index() - F.lit(first)).try_cast("int")
+            rest = [d for d in range(len(axes)) if d != key]
             hits = []
             for k in range(depth):
                 layer = [rows.get(first + i, []) for i in range(span)]
-                terms = []
+                terms = [F.get(_table([int(k < len(r)) for r in layer], "int"), at) == 1] if not rest else []
                 for d in rest:
-                    lo = _table([r[k][d][0] if k < len(r) else 1 for r in layer])
-                    hi = _table([r[k][d][1] if k < len(r) else 0 for r in layer])
-                    terms += [cells[d] >= F.get(lo, at), cells[d] <= F.get(hi, at)]
-                if not rest:
-                    terms = [F.get(_table([int(k < len(r)) for r in layer]), at) == 1]
+                    kind = "bigint" if axes[d].grid is None else "double"
+                    ends = [axes[d].ends(*r[k][d]) if k < len(r) else None for r in layer]
+                    lo, hi = zip(*[e or (1, 0) for e in ends])
+                    terms += [axes[d].column >= F.get(_table(lo, kind), at), axes[d].column <= F.get(_table(hi, kind), at)]
                 hits.append(all_of(terms))
-            return F.coalesce(any_of(hits), F.lit(False))
-    if len(boxes) <= 256:
-        each = [all_of([(c >= F.lit(lo)) & (c <= F.lit(hi)) for c, (lo, hi) in zip(cells, b)]) for b in boxes]
+            return F.coalesce(bounding(axes, boxes) & any_of(hits), F.lit(False))
+    if len(boxes) <= FEW_BOXES:
+        each = [all_of([a.between(lo, hi) for a, (lo, hi) in zip(axes, b)]) for b in boxes]
         return F.coalesce(any_of(each), F.lit(False))
     return None
 
 
+def bounding(axes: Sequence[Axis], boxes: Sequence[Box]) -> Column:
+    """The range of each axis that holds all boxes."""
+    return all_of([a.between(lo, hi) for a, (lo, hi) in zip(axes, hull(boxes))])
+
+
 def match_boxes(df: DataFrame, cells: Sequence[str], boxes: Sequence[Box], name: str = "in_boxes") -> DataFrame:
     """Adds whether a row's cells lie in one of many boxes, by a join on the
     projection where boxes are one cell wide. All boxes of a cell travel as one
@@ -152,19 +183,6 @@ def hull(boxes: Sequence[Box]) -> Box:
     return tuple((min(b[d][0] for b in boxes), max(b[d][1] for b in boxes)) for d in range(len(boxes[0])))
 
 
-def bounding_ranges(fields: Mapping[str, PixelGrid], boxes: Sequence[Box]) -> Column:
-    """A range on each raw column that holds all boxes, for the scan to prune by."""
-    if not boxes:
-        return F.lit(False)
-    parts = []
-    for (field, g), (c0, c1) in zip(fields.items(), hull(boxes)):
-        if g.clamp:
-            continue  # values beyond the domain land in its edge cells
-        lo, hi = g.data_range(c0, c1)
-        parts += [F.col(field) >= F.lit(lo), F.col(field) <= F.lit(hi)]
-    return all_of(parts)
-
-
 def in_ring(u: Column, v: Column, ring: Ring) -> Column:
     """The exact even-odd test on points: an odd number of edges to the right.
     Points outside the ring's extent are dismissed first."""

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from . import degree as soft
 from . import lasso
+from .lasso import Axis
 from .pixels import PixelGrid
-from .values import OneOf, Range, Tuple, all_of, any_of, canonical, tuples_hold, unique
+from .values import OneOf, Range, Tuple, all_of, any_of, canonical, tuple_holds, unique
 
 # Functions that are not row-local and deterministic.
 NOT_ROW_LOCAL = ("avg", "collect_list", "collect_set", "count", "dense_rank", "explode", "first", "lag", "last", "lead",
@@ -192,28 +193,37 @@ def membership(name: str, empty: str = "all") -> Use:
     return Use(name, cross=False, empty=empty)
 
 
-def columns(p: Producer, mappings: Mappings | None = None) -> dict[str, Column]:
+def axes(p: Producer, mappings: Mappings | None = None) -> dict[str, Axis]:
     """The producer's projections over a view's rows: its own expressions, or
-    those the view maps them to; cells where a grid is configured."""
+    those the view maps them to, with their grids."""
     mappings = mappings or {}
-    out = {}
-    for name, expr in p.projections:
-        c = F.expr(row_local(mappings.get((p.address, name), expr)))
-        g = p.grid(name)
-        out[name] = c if g is None else g.cell(c)
-    return out
+    return {name: Axis(F.expr(row_local(mappings.get((p.address, name), expr))), p.grid(name)) for name, expr in p.projections}
 
 
-def contribution_holds(c: Contribution, cols: Mapping[str, Column]) -> Column:
-    tuples = c.effective
-    if len(tuples) >= lasso.MIN_TUPLES and all(c.producer.grid(i) is not None for i, _ in c.producer.projections):
-        ids = [i for i, _ in c.producer.projections]
+def columns(p: Producer, mappings: Mappings | None = None) -> dict[str, Column]:
+    """The same as columns: cells where a grid is configured."""
+    return {name: a.cell() for name, a in axes(p, mappings).items()}
+
+
+def contribution_holds(c: Contribution, at: Mapping[str, Axis]) -> Column:
+    tuples, ids = c.effective, [i for i, _ in c.producer.projections]
+    if len(tuples) >= lasso.MIN_TUPLES and all(c.producer.grid(i) is not None for i in ids):
         boxes = [lasso.box_of([t[i] for i in ids]) for t in tuples]
         if all(b is not None for b in boxes):
-            found = lasso.in_boxes([cols[i] for i in ids], boxes)
+            found = lasso.in_boxes([at[i] for i in ids], boxes)
             if found is not None:
                 return found
-    return tuples_hold(tuples, cols)
+    tested = []
+    for t in tuples:
+        parts = []
+        for i, test in t.items():
+            if c.producer.grid(i) is None:
+                parts.append(tuple_holds({i: test}, {i: at[i].column}))
+            else:
+                ((lo, hi),) = lasso.box_of([test])
+                parts.append(F.coalesce(at[i].between(lo, hi), F.lit(False)))
+        tested.append(all_of(parts))
+    return any_of(tested) if tested else F.lit(False)
 
 
 def _used(f: Use, view: str, selections: Selections) -> tuple[str, list[Contribution]]:
@@ -237,7 +247,7 @@ def predicate(f: Filter, view: str, selections: Selections, mappings: Mappings |
         return F.lit(f.empty == "all")
     if status == "excluded":
         return F.lit(True)
-    parts = [contribution_holds(c, columns(c.producer, mappings)) for c in kept]
+    parts = [contribution_holds(c, axes(c.producer, mappings)) for c in kept]
     return all_of(parts) if selections.resolutions[f.selection] == "intersect" else any_of(parts)
 
 
@@ -256,22 +266,22 @@ def degree(f: Filter, view: str, selections: Selections, width: float, mappings:
         return F.lit(1.0 if f.empty == "all" else 0.0)
     if status == "excluded":
         return F.lit(1.0)
-    parts = [contribution_degree(c, columns(c.producer, mappings), width) for c in kept]
+    parts = [contribution_degree(c, axes(c.producer, mappings), width) for c in kept]
     return soft.fold(parts, selections.resolutions[f.selection] == "intersect")
 
 
-def contribution_degree(c: Contribution, cols: Mapping[str, Column], width: float) -> Column:
+def contribution_degree(c: Contribution, at: Mapping[str, Axis], width: float) -> Column:
     ids = [i for i, _ in c.producer.projections]
     tuples = c.effective
     if not any(isinstance(test, Range) for t in tuples for test in t.values()):
         rest = F.lit(0.0)
         if c.partial:
-            key = cols[ids[0]]
+            key = at[ids[0]].column
             arms = F
             for v, d in c.partial.items():
                 arms = arms.when(key == F.lit(v), F.lit(float(d)))
             rest = arms.otherwise(0.0)
-        return F.when(contribution_holds(c, cols), F.lit(1.0)).otherwise(rest)
+        return F.when(contribution_holds(c, at), F.lit(1.0)).otherwise(rest)
     if c.partial:
         raise ValueError("partial degrees go with keys, not with ranges")
     sizes = []
@@ -282,7 +292,7 @@ def contribution_degree(c: Contribution, cols: Mapping[str, Column], width: floa
     boxes = [lasso.box_of([t[i] for i in ids]) for t in tuples]
     if any(b is None for b in boxes):
         raise ValueError("a degree over pixel grids needs ranges on every projection")
-    return soft.box_degree([cols[i] for i in ids], sizes, boxes, width)
+    return soft.box_degree([at[i] for i in ids], sizes, boxes, width)
 
 
 def key_set(p: Producer, keys: Sequence) -> list[Tuple]:

@@ -8,6 +8,8 @@ so selects whole cells, and stored cells answer it exactly.
 from __future__ import annotations
 
 import math
+import struct
+import sys
 from dataclasses import dataclass
 from datetime import date, datetime, timezone
 
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .values import Range
 
+MAX = sys.float_info.max
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
@@ -96,13 +99,88 @@ class PixelGrid:
 
     def cell(self, value: Column) -> Column:
         """The 64-bit cell index; NULL where the pixel is not finite or its cell does not fit."""
-        q = (self.pixel(value) - F.lit(float(self.origin))) / F.lit(float(self.size))
-        return F.when((q >= F.lit(-(2.0**63))) & (q < F.lit(2.0**63)), F.floor(q)).cast("long")
+        return F.when(self.between(value, -(2**63), 2**63 - 1), self.index(value))
+
+    def index(self, value: Column) -> Column:
+        """The cell of a value known to have one."""
+        q = self.pixel(value)
+        if self.origin:
+            q = q - F.lit(float(self.origin))
+        return F.floor(q / F.lit(float(self.size)))
+
+    def between(self, value: Column, c0: int, c1: int) -> Column:
+        """Whether a value's cell lies in c0..c1, as a range on the value itself.
+
+        The map from values to cells is monotone, rounding included, so the
+        values of a run of cells are exactly those between two doubles. The test
+        costs two comparisons, and on a bare column it reaches the scan."""
+        ends = self.preimage(c0, c1)
+        if ends is None:
+            return F.lit(False)
+        lo, hi = ends
+        if self.scale == "time":
+            t = value.cast("timestamp")
+            return (t >= F.timestamp_millis(F.lit(int(lo)))) & (t < F.timestamp_millis(F.lit(int(hi) + 1)))
+        return (value >= F.lit(lo)) & (value <= F.lit(hi))
+
+    def preimage(self, c0: int, c1: int) -> tuple[float, float] | None:
+        """The least and the greatest value with a cell in c0..c1; None if none has."""
+        least, most = self._bounds
+        if self.decreasing:
+            lo = self._first(lambda x: self._q(x) < c1 + 1)
+            hi = self._last(lambda x: self._q(x) >= c0)
+        else:
+            lo = self._first(lambda x: self._q(x) >= c0)
+            hi = self._last(lambda x: self._q(x) < c1 + 1)
+        if lo is None or hi is None or lo > hi:
+            return None
+        if self.clamp:  # beyond the domain every value, infinities included, lands in an edge cell
+            lo, hi = (-math.inf if lo == least else lo), (math.inf if hi == most else hi)
+        return lo, hi
+
+    @property
+    def _bounds(self) -> tuple[float, float]:
+        # Timestamps of years 1 to 9999; else every finite double.
+        return (-62135596800000.0, 253402300799999.0) if self.scale == "time" else (-MAX, MAX)
+
+    def _q(self, x: float) -> float:
+        return (self._pixel(x) - self.origin) / self.size
+
+    def _first(self, ok) -> float | None:
+        """The least value for which a test holds that holds from some value on."""
+        lo, hi = (self._key(v) for v in self._bounds)
+        if not ok(self._value(hi)):
+            return None
+        while lo < hi:
+            mid = (lo + hi) // 2
+            lo, hi = (lo, mid) if ok(self._value(mid)) else (mid + 1, hi)
+        return self._value(lo)
+
+    def _last(self, ok) -> float | None:
+        lo, hi = (self._key(v) for v in self._bounds)
+        if not ok(self._value(lo)):
+            return None
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            lo, hi = (mid, hi) if ok(self._value(mid)) else (lo, mid - 1)
+        return self._value(lo)
+
+    def _key(self, v: float) -> int:
+        """Doubles in order as integers in order; times are integers already."""
+        if self.scale == "time":
+            return int(v)
+        (bits,) = struct.unpack("<q", struct.pack("<d", v))
+        return bits if bits >= 0 else -(bits & 0x7FFFFFFFFFFFFFFF)
+
+    def _value(self, k: int) -> float:
+        if self.scale == "time":
+            return float(k)
+        (v,) = struct.unpack("<d", struct.pack("<q", k if k >= 0 else -k - 2**63))
+        return v
 
     def cell_of(self, value) -> int | None:
         """The cell of one value, computed as rows are."""
-        x = float(millis(value)) if self.scale == "time" else float(value)
-        q = (self._pixel(x) - self.origin) / self.size
+        q = self._q(float(millis(value)) if self.scale == "time" else float(value))
         return int(math.floor(q)) if math.isfinite(q) and -(2.0**63) <= math.floor(q) < 2.0**63 else None
 
     def snap(self, test: Range) -> Range:
@@ -127,12 +205,3 @@ class PixelGrid:
             return None
         a, b = (self.cell_of(v) for v in self.domain)
         return (min(a, b), max(a, b))
-
-    def data_range(self, c0: int, c1: int) -> tuple[float, float]:
-        """A range of data values that holds every value of cells c0..c1, a
-        cell wider on both sides. As a range on the bare column beside a cell
-        test, it lets the scan skip row groups."""
-        (d0, d1), (r0, r1) = self._d, self.range
-        inv = lambda p: d0 + (p - self.range_offset - r0) / (r1 - r0) * (d1 - d0)
-        a, b = inv(self.centre(c0 - 1) - self.size / 2), inv(self.centre(c1 + 1) + self.size / 2)
-        return (min(a, b), max(a, b))

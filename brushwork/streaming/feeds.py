@@ -53,6 +53,26 @@ def run(stream: DataFrame, handler: Handler, mode: str = "append", checkpoint: s
         query.stop()
 
 
+def replay(df: DataFrame, t: str, slices: int, prepare: Callable[[DataFrame], DataFrame], handler: Handler,
+           mode: str = "append") -> None:
+    """A recording played as a live feed: equally filled slices of time arrive
+    one after another, each in as many files as it needs, and the stream takes
+    each as one batch. Batches so come in time order, whatever the file system
+    says of its files' ages."""
+    spark = df.sparkSession
+    path, checkpoint = scratch_path(spark, "recording"), scratch_path(spark, "replay")
+    cuts = df.agg(F.percentile_approx(t, [i / slices for i in range(1, slices)], 100 * slices).alias("c")).first().c
+    ends = [None, *sorted(set(cuts or [])), None]
+    for lo, hi in zip(ends, ends[1:]):
+        part = df
+        if lo is not None:
+            part = part.where(F.col(t) > F.lit(lo))
+        if hi is not None:
+            part = part.where(F.col(t) <= F.lit(hi))
+        part.write.mode("append").parquet(path)
+        run(prepare(read_feed(spark, path, df.schema)), handler, mode, checkpoint)
+
+
 def to_table(path: str) -> Handler:
     """Append each batch under its number. A batch that is run again after a
     failure overwrites its own part and nothing else."""
