@@ -1,10 +1,11 @@
 """Order-dependent work that stays parallel when one key holds most rows.
 
-A plain window sorts a whole key in one task. Here the order column is cut into
-equally filled buckets (bounds from a mergeable quantile sketch), windows run
-per (key, bucket), and a small table of one row per (key, bucket) carries what
-passes from one bucket to the next. Results do not depend on where the bounds
-fall, only the balance does.
+A plain window sorts a whole key in one task. That is kept for keys whose
+largest has at most `GROUP_ROWS` rows, which one aggregate finds out. Beyond that
+the order column is cut into equally filled buckets (bounds from a mergeable
+quantile sketch), windows run per (key, bucket), and a small table of one row
+per (key, bucket) carries what passes from one bucket to the next. Results do
+not depend on where the bounds fall, only the balance does.
 """
 
 from __future__ import annotations
@@ -15,38 +16,62 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shuffle_partitions
+from ..session import materialise, shuffle_partitions
 
+GROUP_ROWS = 1 << 22  # rows of one key that one task may sort
 
-def bounds(df: DataFrame, value: str | Column, side: int | None = None) -> tuple[Column, int]:
-    """`side`² - 1 bucket bounds of a numeric column as a scalar subquery."""
-    if side is None:
-        side = max(8, math.ceil(math.sqrt(2 * shuffle_partitions(df.sparkSession))))
-    n = side * side
-    shares = F.array(*[F.lit(i / n) for i in range(1, n)])
-    sketch = df.agg(F.percentile_approx(value, shares, F.lit(20 * n)).alias("b"))
-    return sketch.scalar(), side
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once per row. A filter on a plain computed
+    column is pushed below it with the whole expression repeated at every
+    mention; a generated column stays where it is."""
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*[F.col(f"`{c}`") for c in kept], F.inline(F.array(row)))
 
-def bucket(value: Column, cut: Column, side: int) -> Column:
-    """The bucket of a value: a two-level search of the bounds. NULL, or an
-    empty table, falls in bucket 0; NaN sorts last, as in Spark's own order."""
-    coarse = F.filter(F.sequence(F.lit(1), F.lit(side - 1)), lambda i: F.get(cut, i * side - 1) < value)
-    block = F.size(coarse)
-    fine = F.filter(F.slice(cut, block * side + 1, side - 1), lambda b: b < value)
-    return F.coalesce(F.when(cut.isNotNull(), block * side + F.size(fine)), F.lit(0)).cast("int")
 
+def depth_for(df: DataFrame) -> int:
+    """Buckets as a power of two: some per task of a shuffle."""
+    return max(6, math.ceil(math.log2(2 * shuffle_partitions(df.sparkSession))))
 
-def with_bucket(df: DataFrame, order: str, name: str = "_bucket") -> DataFrame:
-    cut, side = bounds(df, order)
-    return df.withColumn("_bounds", cut).withColumn(name, bucket(F.col(order), F.col("_bounds"), side)).drop("_bounds")
+
+def bounds(df: DataFrame, value: str, depth: int) -> Column:
+    """The 2^depth - 1 bucket bounds of a column, as a scalar subquery. Like the
+    bounds of a range partitioning they come from a part of the values, one in
+    sixteen by hash; they only balance the buckets, and every row takes part in
+    what follows."""
+    n = 1 << depth
+    shares = F.split(F.lit(",".join(repr(i / n) for i in range(1, n))), ",").cast("array<double>")
+    part = df.where(F.pmod(F.xxhash64(value), F.lit(16)) == 0)
+    return part.agg(F.percentile_approx(value, shares, F.lit(4 * n))).scalar()
+
+
+def with_bucket(df: DataFrame, value: str, cut: Column, depth: int, name: str = "_bucket") -> DataFrame:
+    """Adds the number of bounds below each value, by a binary search of one
+    step per column, all of it generated code. Without bounds, bucket 0."""
+    out = df.withColumn("_bounds", cut).withColumn(name, F.lit(0))
+    for k in reversed(range(depth)):
+        half = 1 << k
+        beyond = F.get(F.col("_bounds"), F.col(name) + (half - 1)) < F.col(value)
+        out = out.withColumn(name, F.col(name) + F.when(beyond, half).otherwise(0))
+    return out.drop("_bounds")
+
+
+def largest_group(df: DataFrame, by: Sequence[str]) -> int:
+    """The rows of the largest key."""
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")) if by else df.agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.max("n")).first()[0] or 0
 
 
 def running_sum(df: DataFrame, by: Sequence[str], order: str, value: str, name: str,
-                tie: Sequence[str] = ()) -> DataFrame:
+                tie: Sequence[str] = (), group_rows: int = GROUP_ROWS) -> DataFrame:
     """The sum of `value` up to and with each row, per key, in (order, tie) order."""
     by = list(by)
-    rows = with_bucket(df, order)
+    if largest_group(df, by) <= group_rows:
+        w = Window.partitionBy(*by).orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(name, F.sum(value).over(w))
+    df, depth = materialise(df, "ordered"), depth_for(df)  # read three times below
+    rows = with_bucket(df, order, bounds(df, order, depth), depth)
     cell = [*by, "_bucket"]
     totals = rows.groupBy(*cell).agg(F.sum(value).alias("_total"))
     ahead = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -59,14 +84,17 @@ def running_sum(df: DataFrame, by: Sequence[str], order: str, value: str, name:
 
 
 def previous(df: DataFrame, by: Sequence[str], order: str, columns: Mapping[str, str],
-             tie: Sequence[str] = ()) -> DataFrame:
+             tie: Sequence[str] = (), group_rows: int = GROUP_ROWS) -> DataFrame:
     """`columns` maps new names to columns whose previous value, per key in
     (order, tie) order, they receive."""
-    by = list(by)
-    rows = with_bucket(df, order)
+    by, rank = list(by), [order, *tie]
+    if largest_group(df, by) <= group_rows:
+        w = Window.partitionBy(*by).orderBy(*rank)
+        return df.select("*", *[F.lag(c, 1).over(w).alias(name) for name, c in columns.items()])
+    df, depth = materialise(df, "ordered"), depth_for(df)  # read three times below
+    rows = with_bucket(df, order, bounds(df, order, depth), depth)
     cell = [*by, "_bucket"]
     carried = list(dict.fromkeys(columns.values()))
-    rank = [order, *tie]
     last = rows.groupBy(*cell).agg(
         F.max(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(rank)],
                        *[F.col(c).alias(f"v{i}") for i, c in enumerate(carried)])).alias("_last"))

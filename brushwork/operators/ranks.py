@@ -27,10 +27,10 @@ def order_statistics(df: DataFrame, value: str, ranks: Mapping[str, Rank], by: S
     grouping = [F.col(b).alias(k) for b, k in zip(by, keys)] or [F.lit(0).alias("_g0")]
     many = F.lit(1).cast("long") if weight is None else F.col(weight)
     rows = df.select(*grouping, F.col(value).alias("_v"), many.alias("_w")).where(F.col("_v").isNotNull())
-    cut, side = ordered.bounds(rows, "_v")
     counts = rows.groupBy(*keys, "_v").agg(F.sum("_w").alias("_c"))
-    counts = counts.withColumn("_bounds", cut).withColumn(
-        "_bucket", ordered.bucket(F.col("_v"), F.col("_bounds"), side)).drop("_bounds")
+    # The sketch reads the merged values, whose shuffle it shares with the rest.
+    depth = ordered.depth_for(df)
+    counts = ordered.with_bucket(counts, "_v", ordered.bounds(counts, "_v", depth), depth)
 
     group = Window.partitionBy(*keys)
     upto = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry
 from ..operators import grid, states, terrain, voxels
+from ..operators.ordered import once
 from ..selection import lasso
 from ..selection.pixels import PixelGrid
 from ..sources import tables
@@ -171,7 +172,7 @@ VIEW = geometry.tilted(VIEW_WINDOW, (0.0, 2500.0), yaw=30.0, elevation=35.0, plo
 
 def _screen(spark, d):
     at = (F.col("x"), F.col("y"), F.col("z"))
-    return points(spark, d).withColumn("u", VIEW.u(*at)).withColumn("v", VIEW.v(*at))
+    return once(points(spark, d), u=VIEW.u(*at), v=VIEW.v(*at))
 
 
 def _affine(k):

@@ -68,7 +68,7 @@ def active_global(log: DataFrame, at: int | None = None) -> DataFrame:
     own = live.where(F.col("tuple").isNotNull())
     # Each event with the seq of the tuple's next event: the previous in reverse order.
     back = own.withColumn("_back", -F.col("seq"))
-    # Each of these passes reads its input three times, so each starts from a written table.
+    # Each pass reads its input more than once, so each starts from a written table.
     chained = materialise(ordered.previous(back, ["selection", "tuple"], "_back", {"_next": "seq"}).drop("_back"), "chain")
 
     # How many clears of the event's producer lie before it, and before the next event.
