@@ -221,7 +221,7 @@ def lens_regression(spark, d):
     return f.select("label", "n", r("slope", 9).alias("slope"), r("intercept").alias("intercept"), r("r2").alias("r2"))
 
 
-LENS_FIT = f"""WITH {POINTS} SELECT label, regr_count(y, x) AS n, round(regr_slope(y, x), 9) AS slope, round(regr_intercept(y, x), 6) AS intercept,
+LENS_FIT = f"""WITH {POINTS} SELECT label, CAST(regr_count(y, x) AS BIGINT) AS n, round(regr_slope(y, x), 9) AS slope, round(regr_intercept(y, x), 6) AS intercept,
 round(regr_r2(y, x), 6) AS r2 FROM p WHERE {UNDER} GROUP BY 1 HAVING regr_count(y, x) >= 3"""
 
 

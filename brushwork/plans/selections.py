@@ -307,7 +307,7 @@ def meets_sql(p1, p2, q1, q2):
 
 
 CROSSING = f"""g AS (SELECT *, lag(day) OVER w AS px, lag(n) OVER w AS py FROM s WINDOW w AS (PARTITION BY user_id ORDER BY day, n)),
-hits AS (SELECT DISTINCT user_id FROM g WHERE {meets_sql(('px', 'py'), ('day', 'n'), START, END)})"""
+hits AS (SELECT DISTINCT user_id FROM g WHERE px IS NOT NULL AND {meets_sql(('px', 'py'), ('day', 'n'), START, END)})"""
 LINE_BRUSH = f"""WITH {SERIES}, {CROSSING}
 SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM f WHERE user_id IN (SELECT user_id FROM hits) GROUP BY 1"""
 
@@ -323,7 +323,7 @@ def raw_line_brush(spark, d):
 
 
 RAW_LINE = f"""WITH {FEED}, g AS (SELECT *, lag(t) OVER w AS px, lag(value) OVER w AS py FROM f WINDOW w AS (PARTITION BY user_id ORDER BY t, value)),
-hits AS (SELECT DISTINCT user_id FROM g WHERE {meets_sql(('px', 'py'), ('t', 'value'), RAW_START, RAW_END)})
+hits AS (SELECT DISTINCT user_id FROM g WHERE px IS NOT NULL AND {meets_sql(('px', 'py'), ('t', 'value'), RAW_START, RAW_END)})
 SELECT user_id, count(*) AS n FROM f WHERE user_id IN (SELECT user_id FROM hits) GROUP BY 1"""
 
 

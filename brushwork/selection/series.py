@@ -65,7 +65,8 @@ def crossing_keys(df: DataFrame, key: str, x: str, y: str, start: Point, end: Po
     path = ordered.previous(inside.unionByName(ends), [key], "_x", {"_px": "_x", "_py": "_y"}, tie=["_y"])
     here, before = (F.col("_x"), F.col("_y")), (F.col("_px"), F.col("_py"))
     # Two vertices at one place are a segment of no length.
-    hit = meets(before, here, start, end) | ((F.col("_n") > 1) & meets(here, here, start, end))
+    # The first vertex has none before it, and is no segment by itself.
+    hit = (F.col("_px").isNotNull() & meets(before, here, start, end)) | ((F.col("_n") > 1) & meets(here, here, start, end))
     return path.where(hit).select(key).distinct()
 
 

@@ -18,6 +18,9 @@ from brushwork.plans import oracle_sql, queries  # noqa: E402
 from brushwork.plans.data import TABLES  # noqa: E402
 
 
+KINDS = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "int": "INTEGER", "boolean": "BOOLEAN", "float": "FLOAT"}
+
+
 def connect(folder: str):
     con = duckdb.connect()
     for t in TABLES:
@@ -70,7 +73,7 @@ def compare(spark, con, folder: str, name: str) -> dict:
 if __name__ == "__main__":
     from brushwork.session import local_session
 
-    args = sys.argv[1:]
+    args = [a for a in sys.argv[1:] if a != "--types"]
     folder = args.pop(0) if args and args[0].startswith("/") else "/root/testdata/sf0.01"
     spark, con = local_session(cores="8"), connect(folder)
     names = args or list(queries())
@@ -83,4 +86,8 @@ if __name__ == "__main__":
         if res["status"] not in ("ok", "rows-only"):
             failed += 1
         print(f"{res['name']:24} {res.get('rows', '-'):>7} {res.get('seconds', '-'):>7}  {res['status']}", flush=True)
+        for column, kind in res.get("types", ({}, {}))[0].items():
+            theirs = res["types"][1][column]
+            if KINDS.get(kind) != theirs and "--types" in sys.argv:
+                print(f"    {column}: {kind} against {theirs}")
     print(f"{len(names)} queries, {failed} failed")
