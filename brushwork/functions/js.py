@@ -354,8 +354,8 @@ class Js:
         floating = isinstance(a.dtype, (T.DoubleType, T.FloatType))
         if zero_passes:
             bare = bare | x.isNull()
-            # A value that is never null in the result, with NaN taken out.
-            return bare & (~F.isnan(x) | x.isNull()) if floating else bare
+            # isnan is false for NULL, so the result is never NULL.
+            return bare & ~F.isnan(x) if floating else bare
         bare = (bare & ~F.isnan(x)) if floating else bare
         return F.coalesce(bare, F.lit(False)) if not floating else bare & x.isNotNull()
 
