@@ -94,7 +94,7 @@ class Axis:
     def between(self, c0: int, c1: int) -> Column:
         if self.grid is not None:
             return self.grid.between(self.column, c0, c1)
-        return (self.column >= F.lit(c0)) & (self.column <= F.lit(c1))
+        return (self.column >= F.lit(c0)) & (self.column <= F.lit(c1)) & self.column.isNotNull()
 
     def ends(self, c0: int, c1: int) -> tuple[float, float] | None:
         """What the column itself lies between when its cell is in c0..c1."""
@@ -136,10 +136,11 @@ def in_boxes(axes: Sequence[Axis], boxes: Sequence[Box]) -> Column | None:
                     lo, hi = zip(*[e or (1, 0) for e in ends])
                     terms += [axes[d].column >= F.get(_table(lo, kind), at), axes[d].column <= F.get(_table(hi, kind), at)]
                 hits.append(all_of(terms))
-            return F.coalesce(bounding(axes, boxes) & any_of(hits), F.lit(False))
+            # Inside the bounding box every look-up finds its entry, so nothing is NULL.
+            return bounding(axes, boxes) & any_of(hits)
     if len(boxes) <= FEW_BOXES:
         each = [all_of([a.between(lo, hi) for a, (lo, hi) in zip(axes, b)]) for b in boxes]
-        return F.coalesce(any_of(each), F.lit(False))
+        return any_of(each)
     return None
 
 

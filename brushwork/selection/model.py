@@ -221,7 +221,7 @@ def contribution_holds(c: Contribution, at: Mapping[str, Axis]) -> Column:
                 parts.append(tuple_holds({i: test}, {i: at[i].column}))
             else:
                 ((lo, hi),) = lasso.box_of([test])
-                parts.append(F.coalesce(at[i].between(lo, hi), F.lit(False)))
+                parts.append(at[i].between(lo, hi))
         tested.append(all_of(parts))
     return any_of(tested) if tested else F.lit(False)
 

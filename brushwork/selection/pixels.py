@@ -113,15 +113,16 @@ class PixelGrid:
 
         The map from values to cells is monotone, rounding included, so the
         values of a run of cells are exactly those between two doubles. The test
-        costs two comparisons, and on a bare column it reaches the scan."""
+        costs two comparisons, on a bare column it reaches the scan, and like
+        every predicate here it is never NULL."""
         ends = self.preimage(c0, c1)
         if ends is None:
             return F.lit(False)
         lo, hi = ends
         if self.scale == "time":
             t = value.cast("timestamp")
-            return (t >= F.timestamp_millis(F.lit(int(lo)))) & (t < F.timestamp_millis(F.lit(int(hi) + 1)))
-        return (value >= F.lit(lo)) & (value <= F.lit(hi))
+            return (t >= F.timestamp_millis(F.lit(int(lo)))) & (t < F.timestamp_millis(F.lit(int(hi) + 1))) & t.isNotNull()
+        return (value >= F.lit(lo)) & (value <= F.lit(hi)) & value.isNotNull()
 
     def preimage(self, c0: int, c1: int) -> tuple[float, float] | None:
         """The least and the greatest value with a cell in c0..c1; None if none has."""
