@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..session import materialise, shuffle_partitions
 
 GROUP_ROWS = 1 << 22  # rows of one key that one task may sort
+MAX_HOT = 1 << 20  # keys that can be called hot at once
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -119,12 +120,29 @@ def same_key_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: s
     return left.join(r, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, salts: int = 16, how: str = "left") -> DataFrame:
-    """Join rows to a table of one row per key, safe against a key that most
-    rows share: rows are dealt over `salts` copies of the right side, so a hot
-    key is met in that many tasks. Where the right side turns out small, Spark
-    broadcasts it instead."""
-    deal = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns if c != key] or [F.lit(0)]), F.lit(salts))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))) \
-        .withColumn("_salt", F.col("_salt").cast("long"))
-    return left.withColumn("_salt", deal).join(copies, [key, "_salt"], how).drop("_salt")
+def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left", group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Join rows to a table of one row per key, safe against keys that most rows
+    share, NULL included.
+
+    One aggregate counts the rows per key. Where none has more than
+    `group_rows`, this is a plain join and Spark picks its kind. Else the rows
+    of each larger key are dealt over as many shares as it needs, and only
+    those keys' rows of the right side are copied. There are at most MAX_HOT
+    such keys, and about as many copies, so both are broadcast."""
+    sizes = left.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    most = sizes.agg(F.max("_rows").alias("top"), F.sum("_rows").alias("total")).first()
+    if (most.top or 0) <= group_rows:
+        return left.join(right, key, how)
+    share = max(group_rows, 1, -(-most.total // MAX_HOT))
+    hot = sizes.where(F.col("_rows") > share).select(
+        F.col(key).alias("_hot"), F.ceil(F.col("_rows") / F.lit(share)).alias("_shares"))
+    hot = F.broadcast(materialise(hot, "hot"))
+    spread = lambda df: df.join(hot, df[key].eqNullSafe(hot["_hot"]), "left").drop("_hot")
+    others = [F.col(f"`{c}`") for c in left.columns if c != key]
+    # By what else a row holds, so that a task run again deals it as before.
+    dealt = F.pmod(F.xxhash64(*others), F.col("_shares")) if others else F.lit(0)
+    none = F.lit(0).cast("long")
+    rows = spread(left).withColumn("_share", F.coalesce(dealt, none)).drop("_shares")
+    copies = spread(right).withColumn(
+        "_share", F.explode(F.sequence(none, F.coalesce("_shares", F.lit(1)) - 1))).drop("_shares")
+    return rows.join(copies, [key, "_share"], how).drop("_share")

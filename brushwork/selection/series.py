@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import ordered
+from ..session import materialise
 
 Point = tuple[float, float]
 
@@ -62,7 +63,9 @@ def crossing_keys(df: DataFrame, key: str, x: str, y: str, start: Point, end: Po
     at = F.struct("_x", "_y")
     ends = v.groupBy(key).agg(F.max(F.when(F.col("_x") < lo, at)).alias("l"), F.min(F.when(F.col("_x") > hi, at)).alias("r"))
     ends = ends.select(key, F.inline(F.array_compact(F.array("l", "r")))).withColumn("_n", F.lit(1).cast("long"))
-    path = ordered.previous(inside.unionByName(ends), [key], "_x", {"_px": "_x", "_py": "_y"}, tie=["_y"])
+    # Written once: what follows reads it more than once, and it is far smaller than the rows.
+    vertices = materialise(inside.unionByName(ends), "vertices")
+    path = ordered.previous(vertices, [key], "_x", {"_px": "_x", "_py": "_y"}, tie=["_y"])
     here, before = (F.col("_x"), F.col("_y")), (F.col("_px"), F.col("_py"))
     # Two vertices at one place are a segment of no length.
     # The first vertex has none before it, and is no segment by itself.

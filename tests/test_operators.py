@@ -38,12 +38,13 @@ def test_buckets_are_balanced_and_ordered(walk):
 def test_salted_lookup_keeps_every_row(spark):
     left = spark.range(5000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"), "id")
     right = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
-    for setting in ("-1", "10485760"):
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", setting)
-        got = ordered.lookup(left, right, "k")
-        assert got.count() == 5000 and got.where("w = k * 10 OR (w IS NULL AND k >= 40)").count() == 5000
-        assert ordered.lookup(left, right, "k", how="left_semi").where("k >= 40").count() == 0
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    left = left.unionByName(spark.range(300).select(F.lit(None).cast("long").alias("k"), (F.col("id") + 9000).alias("id")))
+    for rows in (1 << 20, 100, 0):
+        got = ordered.lookup(left, right, "k", group_rows=rows)
+        assert got.count() == 5300 and got.where("w = k * 10 OR (w IS NULL AND (k >= 40 OR k IS NULL))").count() == 5300
+        semi = ordered.lookup(left, right, "k", how="left_semi", group_rows=rows)
+        assert semi.count() == left.where("k < 40").count() and semi.where("k >= 40").count() == 0
+        assert ordered.lookup(left, right, "k", how="inner", group_rows=rows).count() == semi.count()
 
 
 @pytest.mark.parametrize("values", [[1.0], [3.0, 1.0], [2.0] * 50 + [7.0], list(np.random.default_rng(4).normal(size=1500)), [1e300, -1e300, 0.0, 5.0]])
