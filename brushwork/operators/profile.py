@@ -54,7 +54,8 @@ def profile(df: DataFrame) -> DataFrame:
             F.sum("c").alias("rows"), F.count("num").alias("distinct"),
             F.coalesce(F.sum(F.when(F.col("num").isNull(), F.col("c"))), F.lit(0)).alias("nulls"),
             F.min("num").alias("min"), F.max("num").alias("max"))
-        tails = ranks.percentiles(counts, "num", {"p90": 0.9, "p999": 0.999}, by=["pos"], weight="c").drop("n")
+        tails = ranks.percentiles(counts, "num", {"p90": 0.9, "p999": 0.999}, by=["pos"], weight="c",
+                                  largest=df.count()).drop("n")
         parts.append(stats.join(tails, "pos", "left").withColumn("sample", F.lit(None).cast("string")))
     if texts:
         long = df.select(F.inline(F.array(*[

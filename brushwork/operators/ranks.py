@@ -1,8 +1,9 @@
 """Exact order statistics of columns too large to sort in one task.
 
-Equal values are first merged into (value, count). Buckets from `ordered` then
-locate the wanted rank by counts alone, and only the bucket that holds it is
-sorted. The result is exact; the sketch only balances the buckets.
+While the largest group is one a task can sort, a window ranks its values.
+Beyond that, equal values are first merged into (value, count); buckets from
+`ordered` locate the wanted ranks by counts alone, and only the buckets that
+hold one are sorted. Both are exact; the sketch only balances the buckets.
 """
 
 from __future__ import annotations
@@ -18,58 +19,64 @@ Rank = Callable[[Column], Column]
 
 
 def order_statistics(df: DataFrame, value: str, ranks: Mapping[str, Rank], by: Sequence[str] = (),
-                     weight: str | None = None) -> DataFrame:
+                     weight: str | None = None, largest: int | None = None,
+                     group_rows: int = ordered.GROUP_ROWS) -> DataFrame:
     """Per group, the value at each 0-based rank; a rank is a function of the
     group's count `n` of non-null values. Also returns `n`. Groups without
-    values are left out. `weight` names a count column of rows already merged."""
+    values are left out. `weight` names a count column of rows already merged;
+    `largest` bounds the rows of a group, where the caller knows it."""
     by = list(by)
     keys = [f"_g{i}" for i in range(len(by))] or ["_g0"]
     grouping = [F.col(b).alias(k) for b, k in zip(by, keys)] or [F.lit(0).alias("_g0")]
     many = F.lit(1).cast("long") if weight is None else F.col(weight)
-    rows = df.select(*grouping, F.col(value).alias("_v"), many.alias("_w")).where(F.col("_v").isNotNull())
-    counts = rows.groupBy(*keys, "_v").agg(F.sum("_w").alias("_c"))
-    # The sketch reads the merged values, whose shuffle it shares with the rest.
-    depth = ordered.depth_for(df)
-    counts = ordered.with_bucket(counts, "_v", ordered.bounds(counts, "_v", depth), depth)
+    rows = df.select(*grouping, F.col(value).alias("_v"), many.alias("_c")).where(F.col("_v").isNotNull())
+    if largest is None:
+        largest = ordered.largest_group(rows, keys)
+    group = Window.partitionBy(*keys)
+    if largest <= group_rows:
+        upto = group.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+        placed = rows.withColumn("_n", F.sum("_c").over(group)).withColumn("_to", F.sum("_c").over(upto))
+    else:
+        placed = _placed(rows, keys, ranks)
+    at = lambda r: r(F.col("_n")).cast("long")
+    hit = lambda r: (at(r) >= F.col("_to") - F.col("_c")) & (at(r) < F.col("_to"))
+    out = placed.groupBy(*keys).agg(F.max("_n").alias("n"),
+                                    *[F.max(F.when(hit(r), F.col("_v"))).alias(name) for name, r in ranks.items()])
+    return out.select(*[F.col(k).alias(b) for k, b in zip(keys, by)], "n", *ranks)
 
+
+def _placed(rows: DataFrame, keys: Sequence[str], ranks: Mapping[str, Rank]) -> DataFrame:
+    """The merged values of every bucket that holds a wanted rank, with the
+    group's count `_n` and the count `_to` of values up to and with each."""
+    counts = rows.groupBy(*keys, "_v").agg(F.sum("_c").alias("_c"))
+    # The sketch reads the merged values.
+    depth = ordered.depth_for(rows)
+    counts = ordered.with_bucket(counts, "_v", ordered.bounds(counts, "_v", depth), depth)
     group = Window.partitionBy(*keys)
     upto = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     tally = (
         counts.groupBy(*keys, "_bucket").agg(F.sum("_c").alias("_m"))
-        .select(*keys, "_bucket", "_m", F.sum("_m").over(group).alias("_n"), F.sum("_m").over(upto).alias("_end"))
-        .withColumn("_start", F.col("_end") - F.col("_m"))
-    )
-    wanted = F.array(*[r(F.col("_n")).cast("long") for r in ranks.values()])
-    targets = (
-        tally.withColumn("_want", F.array_distinct(wanted))
-        .withColumn("_want", F.filter("_want", lambda r: (r >= F.col("_start")) & (r < F.col("_end"))))
-        .where(F.size("_want") > 0)
-        .select(*keys, "_bucket", "_n", "_start", "_want")
+        .select(*keys, "_bucket", F.sum("_m").over(group).alias("_n"), F.sum("_m").over(upto).alias("_end"),
+                (F.sum("_m").over(upto) - F.col("_m")).alias("_start"))
     )
+    wanted = F.lit(False)
+    for r in ranks.values():
+        at = r(F.col("_n")).cast("long")
+        wanted = wanted | ((at >= F.col("_start")) & (at < F.col("_end")))
     inside = Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    found = (
-        ordered.same_key_join(counts, targets, [*keys, "_bucket"])
+    return ordered.same_key_join(counts, tally.where(wanted).drop("_end"), [*keys, "_bucket"]) \
         .withColumn("_to", F.col("_start") + F.sum("_c").over(inside))
-        .withColumn("_hit", F.filter(
-            "_want", lambda r: (r >= F.col("_to") - F.col("_c")) & (r < F.col("_to"))))
-        .where(F.size("_hit") > 0)
-    )
-    out = found.groupBy(*keys).agg(
-        F.max("_n").alias("n"),
-        *[F.max(F.when(F.array_contains("_hit", r(F.col("_n")).cast("long")), F.col("_v"))).alias(name)
-          for name, r in ranks.items()],
-    )
-    return out.select(*[F.col(k).alias(b) for k, b in zip(keys, by)], "n", *ranks)
 
 
 def percentiles(df: DataFrame, value: str, shares: Mapping[str, float], by: Sequence[str] = (),
-                weight: str | None = None) -> DataFrame:
+                weight: str | None = None, largest: int | None = None,
+                group_rows: int = ordered.GROUP_ROWS) -> DataFrame:
     """Exact percentiles with linear interpolation (the SQL `percentile_cont`)."""
     ranks: dict[str, Rank] = {}
     for name, p in shares.items():
         ranks[f"_lo_{name}"] = lambda n, p=p: F.floor((n - 1) * F.lit(float(p)))
         ranks[f"_hi_{name}"] = lambda n, p=p: F.ceil((n - 1) * F.lit(float(p)))
-    at = order_statistics(df, value, ranks, by, weight)
+    at = order_statistics(df, value, ranks, by, weight, largest, group_rows)
     cols = []
     for name, p in shares.items():
         lo, hi = F.col(f"_lo_{name}").cast("double"), F.col(f"_hi_{name}").cast("double")

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..operators import grid
+from ..operators.ordered import once
 from ..selection import cube as cubes, degree, lasso, log, series
 from ..selection import values as v
 from ..selection.model import All, Any, Not, Selections, Use, columns, cross_filter, membership, predicate, producer
@@ -223,7 +224,7 @@ def lasso_boxes(spark, d):
 
 def exact_ring(spark, d):
     """Points, not cells, inside the ring."""
-    p = points(spark, d).withColumn("u", F.col("x") / 210.0).withColumn("v", 400.0 - F.col("z") * 0.16)
+    p = once(points(spark, d), u=F.col("x") / 210.0, v=400.0 - F.col("z") * 0.16)
     return p.where(lasso.in_ring(F.col("u"), F.col("v"), LASSO)).groupBy("label").agg(F.count("*").alias("n"))
 
 

@@ -51,10 +51,11 @@ def test_salted_lookup_keeps_every_row(spark):
 def test_percentiles_are_exact(spark, values):
     df = spark.createDataFrame([(float(x),) for x in values] + [(None,)], "x double")
     shares = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.999, "e": 1.0}
-    got = ranks.percentiles(df, "x", shares).first()
-    assert got.n == len(values)
-    for name, p in shares.items():
-        assert math.isclose(got[name], float(np.quantile(values, p)), rel_tol=1e-12, abs_tol=1e-12)
+    for rows in (1 << 20, 0):  # one window, and buckets
+        got = ranks.percentiles(df, "x", shares, group_rows=rows).first()
+        assert got.n == len(values)
+        for name, p in shares.items():
+            assert math.isclose(got[name], float(np.quantile(values, p)), rel_tol=1e-12, abs_tol=1e-12)
 
 
 def test_order_statistics_by_group_and_weight(walk, spark):
@@ -64,7 +65,10 @@ def test_order_statistics_by_group_and_weight(walk, spark):
         xs = sorted(part.t)
         assert got[k].p == xs[math.floor((len(xs) - 1) * 0.3 + 0.5)] and got[k].n == len(xs)
     merged = walk.groupBy("t").count()
-    assert ranks.percentiles(merged, "t", {"m": 0.5}, weight="count").first().m == np.median(pdf.t)
+    for rows in (1 << 20, 0):
+        assert ranks.percentiles(merged, "t", {"m": 0.5}, weight="count", group_rows=rows).first().m == np.median(pdf.t)
+        per = {r.k: r.m for r in ranks.percentiles(walk, "t", {"m": 0.37}, ["k"], group_rows=rows).collect()}
+        assert all(math.isclose(per[k], float(np.quantile(part.t, 0.37)), rel_tol=1e-12) for k, part in pdf.groupby("k"))
     assert ranks.percentiles(walk.where("id < 0"), "t", {"m": 0.5}).count() == 0
 
 
