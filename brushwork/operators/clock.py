@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import previous, running_sum, same_key_join
+from ..session import materialise
+from .ordered import largest_group, previous, running_sum, same_key_join
 
 
 def clock(df: DataFrame, t: str, gap: float = 1.0, by: Sequence[str] = (), name: str = "clock") -> DataFrame:
@@ -19,10 +20,13 @@ def clock(df: DataFrame, t: str, gap: float = 1.0, by: Sequence[str] = (), name:
     one = by or ["_all"]
     base = df if by else df.withColumn("_all", F.lit(0))
     times = base.where(F.col(t).isNotNull()).select(*one, F.col(t).cast("double").alias("_t")).distinct()
-    steps = previous(times, one, "_t", {"_p": "_t"})
+    times = materialise(times, "times")
+    largest = largest_group(times, one)
+    steps = previous(times, one, "_t", {"_p": "_t"}, largest=largest)
     step = F.greatest(F.lit(0.0), F.least(F.lit(float(gap)), F.col("_t") - F.col("_p")))
     steps = steps.withColumn("_d", F.when(F.col("_p").isNotNull(), step).otherwise(F.lit(0.0)))
-    ticks = running_sum(steps.select(*one, "_t", "_d"), one, "_t", "_d", name).select(*one, "_t", name)
+    ticks = running_sum(steps.select(*one, "_t", "_d"), one, "_t", "_d", name, largest=largest) \
+        .select(*one, "_t", name)
     rows = base.withColumn("_t", F.col(t).cast("double"))
     out = same_key_join(rows, ticks, [*one, "_t"], "left").drop("_t")
     return out if by else out.drop("_all")

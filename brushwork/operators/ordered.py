@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise, shuffle_partitions
 
-GROUP_ROWS = 1 << 22  # rows of one key that one task may sort
+GROUP_ROWS = 1 << 20  # rows of one key that one task may sort
 MAX_HOT = 1 << 20  # keys that can be called hot at once
 
 
@@ -65,10 +65,11 @@ def largest_group(df: DataFrame, by: Sequence[str]) -> int:
 
 
 def running_sum(df: DataFrame, by: Sequence[str], order: str, value: str, name: str,
-                tie: Sequence[str] = (), group_rows: int = GROUP_ROWS) -> DataFrame:
-    """The sum of `value` up to and with each row, per key, in (order, tie) order."""
+                tie: Sequence[str] = (), group_rows: int = GROUP_ROWS, largest: int | None = None) -> DataFrame:
+    """The sum of `value` up to and with each row, per key, in (order, tie) order.
+    `largest` bounds the rows of a key, where the caller knows it."""
     by = list(by)
-    if largest_group(df, by) <= group_rows:
+    if (largest_group(df, by) if largest is None else largest) <= group_rows:
         w = Window.partitionBy(*by).orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(name, F.sum(value).over(w))
     df, depth = materialise(df, "ordered"), depth_for(df)  # read three times below
@@ -85,11 +86,12 @@ def running_sum(df: DataFrame, by: Sequence[str], order: str, value: str, name:
 
 
 def previous(df: DataFrame, by: Sequence[str], order: str, columns: Mapping[str, str],
-             tie: Sequence[str] = (), group_rows: int = GROUP_ROWS) -> DataFrame:
+             tie: Sequence[str] = (), group_rows: int = GROUP_ROWS, largest: int | None = None) -> DataFrame:
     """`columns` maps new names to columns whose previous value, per key in
-    (order, tie) order, they receive."""
+    (order, tie) order, they receive. `largest` bounds the rows of a key, where
+    the caller knows it."""
     by, rank = list(by), [order, *tie]
-    if largest_group(df, by) <= group_rows:
+    if (largest_group(df, by) if largest is None else largest) <= group_rows:
         w = Window.partitionBy(*by).orderBy(*rank)
         return df.select("*", *[F.lag(c, 1).over(w).alias(name) for name, c in columns.items()])
     df, depth = materialise(df, "ordered"), depth_for(df)  # read three times below

@@ -460,6 +460,26 @@ def active_global(spark, d):
     return log.active_global(_log(spark, d))
 
 
+# Per selection and tuple a fold over its updates in order. The state is "owner#everyone who added it since the last reset".
+GLOBAL = ACTIVE[: ACTIVE.index("c AS (SELECT")] + """u AS (SELECT DISTINCT selection, seq, op, producer FROM l WHERE op <> 'toggle'),
+k AS (SELECT DISTINCT selection, tuple FROM l WHERE tuple IS NOT NULL),
+x AS (SELECT k.selection, k.tuple, u.seq, CASE WHEN u.op = 'clear' THEN 'C:' || u.producer WHEN m.tuple IS NOT NULL THEN 'S:' || u.producer ELSE 'R:' END AS e
+    FROM k JOIN u ON k.selection = u.selection LEFT JOIN l m ON m.op = 'set' AND m.selection = u.selection AND m.seq = u.seq AND m.tuple = k.tuple
+  UNION ALL SELECT selection, tuple, seq, 'T:' || producer FROM l WHERE op = 'toggle'),
+g AS (SELECT selection, tuple, list_prepend('#', list(e ORDER BY seq)) AS es FROM x GROUP BY 1, 2),
+s AS (SELECT selection, tuple, list_reduce(es, lambda a, e: CASE
+    WHEN e[1] = 'R' THEN '#' WHEN e[1] = 'S' THEN substr(e, 3) || '#' || substr(e, 3) || ','
+    WHEN e[1] = 'C' THEN CASE WHEN split_part(a, '#', 1) = substr(e, 3) THEN '#' || split_part(a, '#', 2) ELSE a END
+    WHEN split_part(a, '#', 1) = '' THEN substr(e, 3) || '#' || split_part(a, '#', 2) || substr(e, 3) || ','
+    ELSE '#' || split_part(a, '#', 2) END) AS st FROM g),
+z AS (SELECT selection, max(seq) AS at FROM l WHERE op IN ('set', 'clear_all') GROUP BY 1),
+q AS (SELECT DISTINCT l.selection, l.producer, l.seq FROM l JOIN z ON l.selection = z.selection AND l.seq = z.at WHERE l.op = 'set' AND l.tuple IS NULL)
+SELECT selection, split_part(st, '#', 1) AS producer, tuple FROM s WHERE split_part(st, '#', 1) <> ''
+UNION ALL SELECT selection, producer, NULL FROM q
+WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.op = 'clear' AND l.selection = q.selection AND l.producer = q.producer AND l.seq > q.seq)
+AND NOT EXISTS (SELECT 1 FROM s WHERE s.selection = q.selection AND contains(',' || split_part(s.st, '#', 2), ',' || q.producer || ','))"""
+
+
 QUERIES = {
     "crossfilter_hist": (crossfilter_hist, CROSSFILTER),
     "membership_counts": (membership_counts, MEMBERSHIP),
@@ -481,5 +501,5 @@ QUERIES = {
     "cube_soft": (cube_soft, CUBE_SOFT),
     "cube_lasso": (cube_lasso, CUBE_LASSO),
     "active_tuples": (active_tuples, ACTIVE),
-    "active_global": (active_global, None),
+    "active_global": (active_global, GLOBAL),
 }

@@ -233,27 +233,27 @@ FROM f GROUP BY 1, 2 HAVING count(*) >= 10"""
 
 
 def frame_update(spark, d):
-    """Nations drawn by supplier count, then by customer count, with regions as
-    parents: what updates, enters and exits. Some are left out of each frame."""
+    """Nations with suppliers in credit, then nations with customers well in
+    credit, with regions as parents: what updates, enters and exits."""
     nation = load(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.concat(F.lit("region:"), F.col("n_regionkey")).alias("parent"))
     region = load(spark, d, "region").select(F.concat(F.lit("region:"), F.col("r_regionkey")).alias("key"), F.lit(None).cast("string").alias("parent"),
                                              F.lit(-1).cast("long").alias("n"))
 
-    def frame(table, key, low):
-        c = load(spark, d, table).groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n"))
-        return c.join(nation, "k").where((F.col("n") % 3) != low).select(F.concat(F.lit("nation:"), F.col("k")).alias("key"), "parent", "n")
+    def frame(table, key, balance, least):
+        c = load(spark, d, table).groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n"), F.avg(balance).alias("mean"))
+        return c.join(nation, "k").where(F.col("mean") > least).select(F.concat(F.lit("nation:"), F.col("k")).alias("key"), "parent", "n")
 
-    a = frame("supplier", "s_nationkey", 0).unionByName(region)
-    b = frame("customer", "c_nationkey", 1).unionByName(region.where("key <> 'region:2'"))
+    a = frame("supplier", "s_nationkey", "s_acctbal", 4000.0).unionByName(region)
+    b = frame("customer", "c_nationkey", "c_acctbal", 4500.0).unionByName(region.where("key <> 'region:2'"))
     out = frames.frame_diff(a, b, "key", "parent", ["n"])
     return out.select("key", "status", "a_n", "b_n", "from_parent", "to_parent")
 
 
 FRAME = """WITH a AS (SELECT 'nation:' || n_nationkey AS key, 'region:' || n_regionkey AS parent, count(*) AS n
-    FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2 HAVING count(*) % 3 <> 0
+    FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2 HAVING avg(s_acctbal) > 4000
   UNION ALL SELECT 'region:' || r_regionkey, NULL, -1 FROM region),
 b AS (SELECT 'nation:' || n_nationkey AS key, 'region:' || n_regionkey AS parent, count(*) AS n
-    FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2 HAVING count(*) % 3 <> 1
+    FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2 HAVING avg(c_acctbal) > 4500
   UNION ALL SELECT 'region:' || r_regionkey, NULL, -1 FROM region WHERE r_regionkey <> 2),
 j AS (SELECT coalesce(a.key, b.key) AS key, a.key AS ka, b.key AS kb, a.n AS an, b.n AS bn, a.parent AS pa, b.parent AS pb FROM a FULL JOIN b ON a.key = b.key)
 SELECT j.key, CASE WHEN ka IS NOT NULL AND kb IS NOT NULL THEN 'update' WHEN kb IS NOT NULL THEN 'enter' ELSE 'exit' END AS status,

@@ -65,6 +65,11 @@ def next_factor(cells: int, factor: int, budget: int, most: int = 16) -> int:
     return factor
 
 
+def grid_states(folded: DataFrame) -> DataFrame:
+    """States of one pane and cell from several batches as one row."""
+    return folded.groupBy("pane", "cx", "cy").agg(F.sum("rows__").alias("rows__"), F.max("z__hi").alias("z__hi"))
+
+
 class CellTable:
     """Cell states of a feed, one row per (pane, cell) and batch, with a rolling
     picture of the last `window` time units at an adaptive grid.
@@ -78,6 +83,7 @@ class CellTable:
         self.x, self.y, self.z, self.budget, self.factor = x, y, z, budget, 1
         self.path = path or scratch_path(spark, "cells")
         self.schema: T.StructType | None = None
+        self.last = self.done = -1
         self.pictures: list[tuple[int, int, int]] = []  # (batch, factor, cells)
 
     def fold(self, batch: DataFrame) -> DataFrame:
@@ -85,6 +91,9 @@ class CellTable:
         return grid.fold_cells(paned, self.x, self.y, self.z, self.size, by=["pane"])
 
     def __call__(self, batch: DataFrame, number: int) -> None:
+        if number <= self.done:
+            return
+        self.last = max(self.last, number)
         folded = self.fold(batch)
         self.schema = folded.schema
         folded.write.mode("overwrite").parquet(f"{self.path}/batch={number}")
@@ -93,6 +102,14 @@ class CellTable:
             self.pictures.append((number, self.factor, cells))
             self.factor = next_factor(cells, self.factor, self.budget)
 
+    def compact(self) -> None:
+        """Merge the retained states into one part and let go of older panes. Batches
+        up to the last one are in that part, and are not taken again."""
+        kept = grid_states(self.retained())
+        path = scratch_path(self.spark, "cells")
+        kept.write.parquet(f"{path}/batch={self.last}")
+        self.path, self.done = path, self.last
+
     def states(self) -> DataFrame:
         return feeds.read_table(self.spark, self.path, self.schema)
 

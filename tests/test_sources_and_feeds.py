@@ -80,6 +80,10 @@ def test_rolling_cells_and_adaptive_grid(spark, events):
             .groupBy(F.floor(F.col("x") / 4).alias("cx"), F.floor(F.col("y") / 4).alias("cy")).agg(F.max("z").alias("zmax"), F.count("*").alias("n")).collect()}
     assert {(r.cx, r.cy): (r.zmax, r.n) for r in table.rolling(2).collect()} == want
     assert table.whole().agg(F.sum("n")).first()[0] == 600
+    table.compact()
+    assert {(r.cx, r.cy): (r.zmax, r.n) for r in table.rolling(2).collect()} == want
+    table(events, 1)  # a batch that is already in
+    assert {(r.cx, r.cy): (r.zmax, r.n) for r in table.rolling(2).collect()} == want
 
 
 @pytest.mark.parametrize("cells, factor, want", [(61, 1, 2), (60, 1, 1), (100, 16, 16), (12, 4, 2), (13, 4, 4), (1, 1, 1)])
