@@ -3,7 +3,9 @@
 import pytest
 from oracle import compare, connect
 
+from brushwork.operators import profile
 from brushwork.plans import oracle_sql, queries
+from brushwork.plans.data import load
 
 
 @pytest.fixture(scope="module")
@@ -49,10 +51,15 @@ def scan_filters(df):
 
 def test_ranges_reach_the_scan(spark, sf):
     for name, needle in (("map_window", "GreaterThanOrEqual(l_extendedprice,30000.0)"), ("lasso_hist", "GreaterThanOrEqual(l_extendedprice,"),
-                         ("js_filter", "LessThan(value,20.0)"), ("highlight", "GreaterThan(l_extendedprice,ScalarSubquery")):
+                         ("js_filter", "LessThan(value,20.0)")):
         assert any(needle in f for f in scan_filters(queries()[name](spark, sf))), name
 
 
+def test_a_threshold_from_the_data_reaches_the_scan(spark, sf):
+    df = profile.highlight(load(spark, sf, "lineitem"), "l_extendedprice")
+    assert any("GreaterThan(l_extendedprice,ScalarSubquery" in f for f in scan_filters(df))
+
+
 def test_a_brush_on_cells_reaches_the_scan(spark, sf):
     df = queries()["crossfilter_hist"](spark, sf)
     assert any("GreaterThanOrEqual(l_quantity," in f for f in scan_filters(df))
