@@ -48,7 +48,8 @@ def _vertices(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
     return df.select(F.col(key), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
 
 
-def crossing_keys(df: DataFrame, key: str, x: str, y: str, start: Point, end: Point) -> DataFrame:
+def crossing_keys(df: DataFrame, key: str, x: str, y: str, start: Point, end: Point,
+                  group_rows: int = ordered.GROUP_ROWS) -> DataFrame:
     """Keys of the series whose polyline, its vertices in (x, y) order, meets
     the segment start-end.
 
@@ -65,7 +66,7 @@ def crossing_keys(df: DataFrame, key: str, x: str, y: str, start: Point, end: Po
     ends = ends.select(key, F.inline(F.array_compact(F.array("l", "r")))).withColumn("_n", F.lit(1).cast("long"))
     # Written once: what follows reads it more than once, and it is far smaller than the rows.
     vertices = materialise(inside.unionByName(ends), "vertices")
-    path = ordered.previous(vertices, [key], "_x", {"_px": "_x", "_py": "_y"}, tie=["_y"])
+    path = ordered.previous(vertices, [key], "_x", {"_px": "_x", "_py": "_y"}, tie=["_y"], group_rows=group_rows)
     here, before = (F.col("_x"), F.col("_y")), (F.col("_px"), F.col("_py"))
     # Two vertices at one place are a segment of no length.
     # The first vertex has none before it, and is no segment by itself.

@@ -243,11 +243,8 @@ def lines(spark):
     ((2.5, 0.0), (2.5, 3.0), {1}), ((2.0, 4.0), (2.0, 6.0), {2}), ((0.5, 0.0), (0.5, 6.0), {1, 2, 3}), ((2.0, 2.0), (2.0, 2.0), {1}),
     ((1.0, 1.0), (1.0, 1.0), {1, 3}), ((1.5, 1.0), (1.2, 1.0), set()), ((0.5, 1.0), (3.0, 1.0), {1, 3, 6}), ((5.0, 0.0), (6.0, 9.0), set())])
 @pytest.mark.parametrize("rows", [1 << 20, 0])
-def test_line_brush(lines, monkeypatch, start, end, want, rows):
-    from brushwork.operators import ordered
-
-    monkeypatch.setattr(ordered.previous, "__defaults__", ((), rows))
-    assert {r.line for r in series.crossing_keys(lines, "line", "t", "n", start, end).collect()} == want
+def test_line_brush(lines, start, end, want, rows):
+    assert {r.line for r in series.crossing_keys(lines, "line", "t", "n", start, end, rows).collect()} == want
 
 
 def test_timebox_and_soft_series(lines):
