@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-NAMES = ("exact", "quality")
+NAMES = ("exact", "quality", "toxicity")
 
 
 def _modules():
