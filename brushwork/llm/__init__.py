@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-NAMES = ("exact", "quality", "toxicity")
+NAMES = ("exact", "bpe", "quality", "language", "toxicity")
 
 
 def _modules():
