@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-NAMES = ("exact", "packing", "quality", "bpe", "language", "toxicity")
+NAMES = ("exact", "substring", "packing", "quality", "bpe", "language", "toxicity")
 
 
 def _modules():
