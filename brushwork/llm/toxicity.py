@@ -4,9 +4,10 @@ A sentence's probability is logistic in the lower-case word starts and words it
 sentences, 1 - prod(1 - p). The weights are fitted to document labels through that formula, so the model itself finds which
 sentences made a document toxic, and can point at them.
 
-Three steps. (1) Over all labelled training rows, documents per hashed feature and label are counted; the SELECTED features
-that speak most for the label stay. (2) The weights are fitted on the driver to at most SAMPLE training documents, chosen by
-a hash of the id, of which only sentences with selected features are sent. (3) Every whole text is scored where it lies.
+Three steps. (1) Over the training rows, documents per hashed feature and label are counted; the SELECTED features that speak
+most for the label stay. (2) The weights are fitted on the driver, to which only sentences with selected features are sent.
+(3) Every whole text is scored where it lies. Training rows are about SAMPLE labelled documents outside the held-out fold,
+chosen by a hash of the id; their ids and labels are broadcast, so no text is shuffled.
 
 Nulls: a null text, and one without sentences, scores 0. Rows with a null label teach nothing. A repeated row is scored each
 time; an id with several labels counts as toxic if any says so. Without labels the score is 0 everywhere. Empty tables give
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .common import fold, free_name, table
 from .text import Sums, Words, byte_values, parts
 
@@ -27,7 +29,7 @@ BITS = 20  # hashed features: 2^20
 PREFIXES = (4, 5, 6, 7, 8)  # bytes of a word's start that are features, beside the whole word
 SELECTED = 4096
 LEAST_GAIN = 12.0  # log-likelihood; less is chance among a million features
-SAMPLE = 20_000
+SAMPLE = 50_000
 PENALTY = 0.05
 FOLDS, HELD = 4, 2
 THRESHOLD = 0.3
@@ -90,12 +92,14 @@ def chosen(rows: DataFrame, selected: int = SELECTED) -> np.ndarray:
     """The features with the largest gain in likelihood among those more frequent in toxic documents: a bounded list."""
     counts = rows.select("_text", "_label").mapInArrow(_counted, "feature long, clean long, toxic long").groupBy("feature").agg(
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    counts = counts.where("toxic > 0")
-    n = counts.where("feature = -1").select(F.greatest("clean", F.lit(1)).alias("n0"), F.greatest("toxic", F.lit(1)).alias("n1"))
-    share0, share1 = (F.col("clean") + 0.5) / (F.col("n0") + 1), (F.col("toxic") + 0.5) / (F.col("n1") + 1)
+    counts = materialise(counts.where("toxic > 0"), "features")
+    n = counts.where("feature = -1").first()
+    if n is None:
+        return np.zeros(0, np.int64)
+    share0, share1 = (F.col("clean") + 0.5) / (n.clean + 1), (F.col("toxic") + 0.5) / (n.toxic + 1)
     gain = F.col("toxic") * F.log(share1 / share0)
-    best = (counts.where("feature >= 0 and toxic >= 3").join(F.broadcast(n)).where(share1 > 4 * share0)
-            .select("feature", gain.alias("gain")).where(F.col("gain") > LEAST_GAIN).orderBy(F.desc("gain"), "feature").limit(selected))
+    best = (counts.where((F.col("feature") >= 0) & (F.col("toxic") >= 3) & (share1 > 4 * share0) & (gain > LEAST_GAIN))
+            .select("feature", gain.alias("gain")).orderBy(F.desc("gain"), "feature").limit(selected))
     return np.sort(np.array([r.feature for r in best.collect()], np.int64))
 
 
@@ -177,11 +181,12 @@ def trained(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
     """The selected features, bias and weights, learned from labelled rows outside the held-out fold."""
     marks = (labels.where(F.col(label).isNotNull() & (fold(doc_id, FOLDS) != HELD))
              .groupBy(F.col(doc_id).alias("_id")).agg(F.max((F.col(label) > 0).cast("long")).alias("_label")))
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(marks, "_id")
+    n = max(marks.count(), 1)
+    # By hash of the id: all of them while the table holds at most `sample`, and about as many beyond, so they can be broadcast.
+    few = F.broadcast(marks.where(F.pmod(F.xxhash64(F.lit("sample"), "_id"), F.lit(n)) < sample))
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(few, "_id")
     features = chosen(rows)
-    # Ids with the least hashes: the same documents whenever the table holds at most `sample` of them.
-    few = marks.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    bias, weights = fitted(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(few, "_id"), features)
+    bias, weights = fitted(rows, features)
     return features, bias, weights
 
 
