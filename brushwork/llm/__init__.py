@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-NAMES = ("exact", "substring", "packing", "quality", "bpe", "language", "toxicity", "near")
+NAMES = ("exact", "substring", "scoring", "packing", "quality", "bpe", "language", "toxicity", "near")
 
 
 def _modules():
