@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .ordered import largest_group, previous, running_sum, same_key_join
+from .ordered import largest_group, lookup, previous, running_sum
 
 
 def clock(df: DataFrame, t: str, gap: float = 1.0, by: Sequence[str] = (), name: str = "clock") -> DataFrame:
@@ -27,6 +27,7 @@ def clock(df: DataFrame, t: str, gap: float = 1.0, by: Sequence[str] = (), name:
     steps = steps.withColumn("_d", F.when(F.col("_p").isNotNull(), step).otherwise(F.lit(0.0)))
     ticks = running_sum(steps.select(*one, "_t", "_d"), one, "_t", "_d", name, largest=largest) \
         .select(*one, "_t", name)
-    rows = base.withColumn("_t", F.col(t).cast("double"))
-    out = same_key_join(rows, ticks, [*one, "_t"], "left").drop("_t")
+    # One time, or none, may hold most rows: the ticks are looked up, with hot times dealt over tasks.
+    rows = base.withColumn("_at", F.struct(*one, F.col(t).cast("double").alias("_t")))
+    out = lookup(rows, ticks.select(F.struct(*one, "_t").alias("_at"), name), "_at").drop("_at")
     return out if by else out.drop("_all")

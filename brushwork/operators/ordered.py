@@ -2,10 +2,12 @@
 
 A plain window sorts a whole key in one task. That is kept for keys whose
 largest has at most `GROUP_ROWS` rows, which one aggregate finds out. Beyond that
-the order column is cut into equally filled buckets (bounds from a mergeable
-quantile sketch), windows run per (key, bucket), and a small table of one row
-per (key, bucket) carries what passes from one bucket to the next. Results do
-not depend on where the bounds fall, only the balance does.
+rows are range-partitioned by their whole rank (order, ties, a hash of the row,
+and a number for rows equal in everything) into buckets of at most about as many
+rows, windows run per (key, bucket), and a small table of one row per (key,
+bucket) carries what passes from one bucket to the next. Results do not depend on
+where the bounds fall, nor on which of the two ways is taken: rows that tie are
+ordered by the hash in both.
 """
 
 from __future__ import annotations
@@ -31,58 +33,53 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in kept], F.inline(F.array(row)))
 
 
-def depth_for(df: DataFrame) -> int:
-    """Buckets as a power of two: some per task of a shuffle."""
-    return max(6, math.ceil(math.log2(2 * shuffle_partitions(df.sparkSession))))
+def dealt(df: DataFrame, rank: Sequence[str], rows_each: int, total: int | None = None) -> DataFrame:
+    """The rows, written once, with a `_bucket` that grows with their rank. Rows of one rank are dealt over buckets too."""
+    n = shuffle_partitions(df.sparkSession)
+    if rows_each > 0:
+        n = max(n, math.ceil((df.count() if total is None else total) / rows_each))
+    numbered = df.withColumn("_number", F.monotonically_increasing_id())
+    placed = numbered.repartitionByRange(n, *rank, "_number").withColumn("_bucket", F.spark_partition_id())
+    return materialise(placed.drop("_number"), "ordered")
 
 
-def bounds(df: DataFrame, value: str, depth: int) -> Column:
-    """The 2^depth - 1 bucket bounds of a column, as a scalar subquery. Like the
-    bounds of a range partitioning they come from a part of the values, one in
-    sixteen by hash; they only balance the buckets, and every row takes part in
-    what follows."""
-    n = 1 << depth
-    shares = F.split(F.lit(",".join(repr(i / n) for i in range(1, n))), ",").cast("array<double>")
-    part = df.where(F.pmod(F.xxhash64(value), F.lit(16)) == 0)
-    return part.agg(F.percentile_approx(value, shares, F.lit(4 * n))).scalar()
+def with_tie(df: DataFrame) -> DataFrame:
+    """Adds a hash of the row, which orders rows that tie in all else."""
+    return df.withColumn("_tie", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
 
 
-def with_bucket(df: DataFrame, value: str, cut: Column, depth: int, name: str = "_bucket") -> DataFrame:
-    """Adds the number of bounds below each value, by a binary search of one
-    step per column, all of it generated code. Without bounds, bucket 0."""
-    out = df.withColumn("_bounds", cut).withColumn(name, F.lit(0))
-    for k in reversed(range(depth)):
-        half = 1 << k
-        beyond = F.get(F.col("_bounds"), F.col(name) + (half - 1)) < F.col(value)
-        out = out.withColumn(name, F.col(name) + F.when(beyond, half).otherwise(0))
-    return out.drop("_bounds")
+def group_sizes(df: DataFrame, by: Sequence[str]) -> tuple[int, int]:
+    """The rows of the largest key, and of all."""
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")) if by else df.agg(F.count(F.lit(1)).alias("n"))
+    row = sizes.agg(F.max("n"), F.sum("n")).first()
+    return row[0] or 0, row[1] or 0
 
 
 def largest_group(df: DataFrame, by: Sequence[str]) -> int:
     """The rows of the largest key."""
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")) if by else df.agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
+    return group_sizes(df, by)[0]
 
 
 def running_sum(df: DataFrame, by: Sequence[str], order: str, value: str, name: str,
                 tie: Sequence[str] = (), group_rows: int = GROUP_ROWS, largest: int | None = None) -> DataFrame:
     """The sum of `value` up to and with each row, per key, in (order, tie) order.
     `largest` bounds the rows of a key, where the caller knows it."""
-    by = list(by)
-    if (largest_group(df, by) if largest is None else largest) <= group_rows:
-        w = Window.partitionBy(*by).orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(name, F.sum(value).over(w))
-    df, depth = materialise(df, "ordered"), depth_for(df)  # read three times below
-    rows = with_bucket(df, order, bounds(df, order, depth), depth)
+    by, columns, total = list(by), df.columns, None
+    if largest is None:
+        largest, total = group_sizes(df, by)
+    df, rank = with_tie(df), [order, *tie, "_tie"]
+    if largest <= group_rows:
+        w = Window.partitionBy(*by).orderBy(*rank).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(name, F.sum(value).over(w)).select(*columns, name)
+    rows = dealt(df, rank, group_rows, total)
     cell = [*by, "_bucket"]
     totals = rows.groupBy(*cell).agg(F.sum(value).alias("_total"))
     ahead = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*cell, F.coalesce(F.sum("_total").over(ahead), F.lit(0)).alias("_ahead"))
-    inside = Window.partitionBy(*cell).orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, 0)
+    offsets = totals.select(*cell, F.sum("_total").over(ahead).alias("_ahead"))  # NULL while no value came
+    inside = Window.partitionBy(*cell).orderBy(*rank).rowsBetween(Window.unboundedPreceding, 0)
     summed = rows.withColumn("_inside", F.sum(value).over(inside))
-    return (same_key_join(summed, offsets, cell)
-            .withColumn(name, F.col("_inside") + F.col("_ahead"))
-            .drop("_inside", "_ahead", "_bucket"))
+    so_far = F.coalesce(F.col("_inside") + F.col("_ahead"), F.col("_inside"), F.col("_ahead"))
+    return same_key_join(summed, offsets, cell).withColumn(name, so_far).select(*columns, name)
 
 
 def previous(df: DataFrame, by: Sequence[str], order: str, columns: Mapping[str, str],
@@ -90,12 +87,14 @@ def previous(df: DataFrame, by: Sequence[str], order: str, columns: Mapping[str,
     """`columns` maps new names to columns whose previous value, per key in
     (order, tie) order, they receive. `largest` bounds the rows of a key, where
     the caller knows it."""
-    by, rank = list(by), [order, *tie]
-    if (largest_group(df, by) if largest is None else largest) <= group_rows:
+    by, rank, own, total = list(by), [order, *tie, "_tie"], df.columns, None
+    if largest is None:
+        largest, total = group_sizes(df, by)
+    df = with_tie(df)
+    if largest <= group_rows:
         w = Window.partitionBy(*by).orderBy(*rank)
-        return df.select("*", *[F.lag(c, 1).over(w).alias(name) for name, c in columns.items()])
-    df, depth = materialise(df, "ordered"), depth_for(df)  # read three times below
-    rows = with_bucket(df, order, bounds(df, order, depth), depth)
+        return df.select(*own, *[F.lag(c, 1).over(w).alias(name) for name, c in columns.items()])
+    rows = dealt(df, rank, group_rows, total)
     cell = [*by, "_bucket"]
     carried = list(dict.fromkeys(columns.values()))
     last = rows.groupBy(*cell).agg(
@@ -111,7 +110,7 @@ def previous(df: DataFrame, by: Sequence[str], order: str, columns: Mapping[str,
         i = carried.index(c)
         joined = joined.withColumn(
             name, F.when(F.col("_first"), F.col("_prev").getField(f"v{i}")).otherwise(F.col(f"_v{i}")))
-    return joined.drop("_bucket", "_first", "_prev", *[f"_v{i}" for i in range(len(carried))])
+    return joined.select(*own, *columns)
 
 
 def same_key_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

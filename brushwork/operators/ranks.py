@@ -3,7 +3,7 @@
 While the largest group is one a task can sort, a window ranks its values.
 Beyond that, equal values are first merged into (value, count); buckets from
 `ordered` locate the wanted ranks by counts alone, and only the buckets that
-hold one are sorted. Both are exact; the sketch only balances the buckets.
+hold one are sorted. Both are exact; where buckets begin only balances them.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ def order_statistics(df: DataFrame, value: str, ranks: Mapping[str, Rank], by: S
         upto = group.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
         placed = rows.withColumn("_n", F.sum("_c").over(group)).withColumn("_to", F.sum("_c").over(upto))
     else:
-        placed = _placed(rows, keys, ranks)
+        placed = _placed(rows, keys, ranks, group_rows)
     at = lambda r: r(F.col("_n")).cast("long")
     hit = lambda r: (at(r) >= F.col("_to") - F.col("_c")) & (at(r) < F.col("_to"))
     out = placed.groupBy(*keys).agg(F.max("_n").alias("n"),
@@ -45,13 +45,11 @@ def order_statistics(df: DataFrame, value: str, ranks: Mapping[str, Rank], by: S
     return out.select(*[F.col(k).alias(b) for k, b in zip(keys, by)], "n", *ranks)
 
 
-def _placed(rows: DataFrame, keys: Sequence[str], ranks: Mapping[str, Rank]) -> DataFrame:
+def _placed(rows: DataFrame, keys: Sequence[str], ranks: Mapping[str, Rank], group_rows: int) -> DataFrame:
     """The merged values of every bucket that holds a wanted rank, with the
     group's count `_n` and the count `_to` of values up to and with each."""
     counts = rows.groupBy(*keys, "_v").agg(F.sum("_c").alias("_c"))
-    # The sketch reads the merged values.
-    depth = ordered.depth_for(rows)
-    counts = ordered.with_bucket(counts, "_v", ordered.bounds(counts, "_v", depth), depth)
+    counts = ordered.dealt(counts, ["_v", *keys], group_rows)
     group = Window.partitionBy(*keys)
     upto = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     tally = (

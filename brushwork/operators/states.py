@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import same_key_join
+
 SPREAD = ("var_samp", "var_pop", "stddev_samp", "stddev_pop")
 OPS = ("rows", "valid", "missing", "sum", "min", "max", "mean", *SPREAD)
 
@@ -66,12 +68,13 @@ def fold(df: DataFrame, groups: Sequence[str], specs: Iterable) -> DataFrame:
 def merge(states: DataFrame, groups: Sequence[str], specs: Iterable) -> DataFrame:
     """States to finished measures at the same or a coarser grain."""
     ms = measures(specs)
-    for f, need in _needs(ms).items():
-        if "m2" in need:
-            # One centre for all groups keeps the merge of M2 to plain sums
-            # without the cancellation of raw squares.
-            centre = states.agg(F.sum(F.col(f"{f}__avg") * F.col(f"{f}__n")) / F.sum(f"{f}__n")).scalar()
-            states = states.withColumn(f"{f}__c", centre)
+    spread = [f for f, need in _needs(ms).items() if "m2" in need]
+    if spread:
+        # A centre per group keeps the merge of M2 to plain sums without the cancellation of raw squares, and
+        # leaves a group with infinite or NaN values to itself.
+        centres = [(F.sum(F.col(f"{f}__avg") * F.col(f"{f}__n")) / F.sum(f"{f}__n")).alias(f"{f}__c") for f in spread]
+        states = same_key_join(states, states.groupBy(*groups).agg(*centres), list(groups)) if groups else \
+            states.crossJoin(F.broadcast(states.agg(*centres)))  # one row
     aggs = [F.sum("rows__").alias("rows__")]
     for f, need in _needs(ms).items():
         n, m = F.col(f"{f}__n"), lambda s, f=f: F.col(f"{f}__{s}")

@@ -70,16 +70,17 @@ def _label_block(pdf: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def regions(voxels: DataFrame, block: int = BLOCK, max_rounds: int = 64) -> DataFrame:
+def regions(voxels: DataFrame, block: int = BLOCK) -> DataFrame:
     """Adds to each voxel (i, j, k) its region: the least voxel of its block's
     component, merged across blocks over their borders. Returns i, j, k and
     `region`.
 
     Inside a block of bounded size components are found by arrays. What is left
-    is a graph of block components that touch across a border; its components
-    are found by rounds that hook every component to its least neighbour and
-    then shorten the chains, so rounds grow with the logarithm of a region's
-    length in blocks. Each round's table is written, which cuts the lineage."""
+    is a graph of block components that touch across a border. Every round
+    offers each component its neighbours' grandparents; the least goes to the
+    component itself and to its parent, so whole trees are hooked at once, and
+    chains are shortened. Rounds grow with the logarithm of a region's length in
+    blocks. Each round's table is written once, which cuts the lineage."""
     voxels = voxels.select(*KEYS)
     b = lambda k: F.floor(F.col(k) / F.lit(block)).cast("long")
     blocked = voxels.withColumn("_bi", b("i")).withColumn("_bj", b("j")).withColumn("_bk", b("k"))
@@ -97,24 +98,19 @@ def regions(voxels: DataFrame, block: int = BLOCK, max_rounds: int = 64) -> Data
     if links.isEmpty():
         return parts.withColumnRenamed("part", "region")
 
-    label = links.select(F.col("a").alias("part")).distinct().withColumn("region", F.col("part"))
-    for _ in range(max_rounds):
-        here = label.select(F.col("part").alias("b"), F.col("region").alias("_r"))
-        offered = lookup(links, here, "b", how="inner").groupBy(F.col("a").alias("part")).agg(F.min("_r").alias("_best"))
-        hooked = label.join(offered, "part").select("part", F.col("region").alias("_was"),
-                                                    F.least("region", "_best").alias("region"))
-        # Shorten: the label of the label, twice.
-        step = hooked
-        for _ in range(2):
-            of = step.select(F.col("part").alias("region"), F.col("region").alias("_next"))
-            step = lookup(step, of, "region", how="inner") \
-                .select("part", "_was", F.least("region", "_next").alias("region"))
-        step = materialise(step, "labels")
-        label = step.select("part", "region")
-        if step.where(F.col("region") != F.col("_was")).isEmpty():
+    label = links.select(F.col("a").alias("part")).distinct().withColumn("region", F.col("part")).withColumn("grand", F.col("part"))
+    while True:
+        here = label.select(F.col("part").alias("b"), F.col("grand").alias("_g"))
+        offered = links.join(here, "b").groupBy(F.col("a").alias("part")).agg(F.min("_g").alias("_best"))
+        own = label.join(offered, "part")
+        root = own.groupBy(F.col("region").alias("part")).agg(F.min("_best").alias("_root"))
+        moved = materialise(own.join(root, "part", "left").select(
+            "part", F.col("region").alias("_was"), F.col("grand").alias("_old"), F.least("region", "grand", "_best", "_root").alias("region")), "hooked")
+        of = moved.select(F.col("part").alias("region"), F.col("region").alias("grand"))
+        step = materialise(lookup(moved, of, "region", how="inner").select("part", "region", "grand", "_was", "_old"), "labels")
+        label = step.select("part", "region", "grand")
+        if step.where((F.col("region") != F.col("_was")) | (F.col("grand") != F.col("_old"))).isEmpty():
             break
-    else:
-        raise RuntimeError(f"regions did not settle in {max_rounds} rounds")
     merged = lookup(parts, label, "part")
     return merged.select(*KEYS, F.coalesce("region", "part").alias("region"))
 

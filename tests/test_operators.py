@@ -29,10 +29,47 @@ def test_bucketed_windows_equal_plain_ones(walk):
 
 
 def test_buckets_are_balanced_and_ordered(walk):
-    depth = 4
-    b = ordered.with_bucket(walk, "t", ordered.bounds(walk, "t", depth), depth)
+    b = ordered.dealt(walk, ["t"], 200)
     spans = b.groupBy("_bucket").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("*").alias("n")).orderBy("_bucket").collect()
-    assert all(a.hi < c.lo for a, c in zip(spans, spans[1:])) and len(spans) > 8 and max(r.n for r in spans) < 900
+    assert all(a.hi <= c.lo for a, c in zip(spans, spans[1:])) and len(spans) > 8 and max(r.n for r in spans) < 900
+
+
+def test_both_ways_agree_on_nulls_nan_and_ties(spark):
+    rng = random.Random(2)
+    values = [None, float("nan"), 1.0, -2.0, 0.5]
+    rows = [(i, rng.choice([None, "a", "b"]), rng.choice([None, 1.0, 2.0, float("nan")]), rng.choice(values[:1] * 3 + values)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, k string, t double, v double").cache()
+    for by in (["k"], []):
+        runs = [ordered.running_sum(df, by, "t", "v", "s", group_rows=n).select("id", "s") for n in (1 << 20, 20)]
+        a, b = ({r.id: str(r.s) for r in run.collect()} for run in runs)
+        assert a == b
+        runs = [ordered.previous(df, by, "t", {"p": "v", "q": "id"}, group_rows=n).select("id", "p", "q") for n in (1 << 20, 20)]
+        a, b = ({r.id: (str(r.p), r.q) for r in run.collect()} for run in runs)
+        assert a == b
+
+
+def test_ties_are_dealt_over_buckets(spark):
+    df = spark.range(20_000).select("id", (F.col("id") % 3).cast("double").alias("t"))
+    sizes = [r.n for r in ordered.dealt(ordered.with_tie(df), ["t", "_tie"], 1000).groupBy("_bucket").agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) < 4000
+    same = spark.range(5000).select(F.lit(1.0).alias("t"))
+    assert max(r["count"] for r in ordered.dealt(same, ["t"], 500).groupBy("_bucket").count().collect()) < 2500
+
+
+def test_merging_keeps_a_group_with_infinite_rows_to_itself(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", float("inf")), ("b", 1.0), ("c", float("nan"))], "g string, x double")
+    specs = [("var_pop", "x", "v"), ("mean", "x", "m")]
+    fine = states.fold(df.withColumn("h", F.monotonically_increasing_id()), ["g", "h"], specs)
+    got = {r.g: (r.v, r.m) for r in states.merge(fine, ["g"], specs).collect()}
+    assert got["a"] == (0.25, 1.5) and math.isnan(got["b"][0]) and math.isnan(got["c"][1])
+    assert states.merge(fine.where("g = 'a'"), [], specs).first().v == 0.25
+
+
+def test_two_arms_that_meet_settle_in_few_rounds(spark):
+    arm = 12  # blocks of one voxel a side, so every voxel is a component
+    path = spark.createDataFrame([(i, j, 0) for i, j in {(x, y) for x in range(2 * arm) for y in (x if x < arm else 2 * arm - x,)}], "i long, j long, k long")
+    assert path.count() == 2 * arm
+    assert voxels.regions(path, block=1).select("region").distinct().count() == 1
 
 
 def test_salted_lookup_keeps_every_row(spark):
