@@ -30,7 +30,16 @@ CONSTANTS = {
 SPACE = "[ \\t\\n\\u000b\\f\\r\\u00a0\\ufeff\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 TRIM = f"^{SPACE}+|{SPACE}+$"
 DECIMAL = r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$"
-HEX = r"^0[xX][0-9a-fA-F]{1,15}$"
+HEX = r"^0[xX][0-9a-fA-F]+$"
+
+
+def _hex(t: Column) -> Column:
+    """Hex digits of any number, rounded once: the first 64 bits, odd if anything but zeros follows, times a power of two."""
+    digits = F.regexp_replace(t, "^0[xX]0*", "")
+    head = F.conv(F.substring(digits, 1, 16), 16, 10).try_cast("decimal(20,0)")
+    odd = F.substring(digits, 17, 1 << 30).rlike("[1-9a-fA-F]") & (head % 2 == 0)
+    head = F.when(odd, head + 1).otherwise(head).cast("string").try_cast("double")
+    return F.when(digits == "", F.lit(0.0)).otherwise(head * F.pow(F.lit(2.0), 4 * F.greatest(F.length(digits) - 16, F.lit(0))))
 
 
 def number_of_text(s: Column) -> Column:
@@ -39,7 +48,7 @@ def number_of_text(s: Column) -> Column:
     return (F.when(s.isNull(), F.lit(None).cast("double"))
             .when(t == "", F.lit(0.0))
             .when(t.isin("Infinity", "+Infinity"), F.lit(INF)).when(t == "-Infinity", F.lit(-INF))
-            .when(t.rlike(HEX), F.conv(F.substring(t, 3, 15), 16, 10).try_cast("double"))
+            .when(t.rlike(HEX), _hex(t))
             .when(t.rlike(DECIMAL), t.try_cast("double"))
             .otherwise(F.lit(NAN)))
 

@@ -51,12 +51,17 @@ def clip(c: Column, lo: float, hi: float) -> Column:
     return F.when(c < lo, F.lit(float(lo))).when((c > hi) & ~F.isnan(c), F.lit(float(hi))).otherwise(c)
 
 
+def _not_a_number(c: Column) -> Column:
+    """NaN, which only floating-point columns can hold; the type is known when the query is planned."""
+    return F.typeof(c).isin("float", "double") & F.coalesce(F.isnan(c.try_cast("double")), F.lit(False))
+
+
 def compare(field: str, **tests) -> Column:
     """A structured predicate, such as compare("delay", gte=10, lt=30)."""
     ops = {"equal": lambda c, v: c == v, "lt": lambda c, v: c < v, "lte": lambda c, v: c <= v,
            "gt": lambda c, v: c > v, "gte": lambda c, v: c >= v,
            "range": lambda c, v: (c >= v[0]) & (c <= v[1]), "one_of": lambda c, v: c.isin(list(v)),
-           "valid": lambda c, v: (c.isNotNull() & ~F.isnan(c)) if v else (c.isNull() | F.isnan(c))}
+           "valid": lambda c, v: (c.isNotNull() & ~_not_a_number(c)) if v else (c.isNull() | _not_a_number(c))}
     out = None
     for op, value in tests.items():
         if op not in ops:

@@ -27,39 +27,57 @@ def check_ring(ring: Ring) -> None:
         raise ValueError("a polygon needs three or more finite points")
 
 
-def crossings(ring: Ring, y: float) -> list[float]:
-    """Where the horizontal line at y crosses the ring, left to right."""
-    xs = []
-    for (ax, ay), (bx, by) in zip(ring, [ring[-1], *ring[:-1]]):
-        if (ay > y) != (by > y):
-            xs.append((bx - ax) * (y - ay) / (by - ay) + ax)
-    return sorted(xs)
+@dataclass(frozen=True)
+class Edge:
+    """A side of a ring, from its lower end; it belongs to heights low <= y < high, so sides that meet share none."""
 
+    low: float
+    high: float
+    x: float
+    slope: float
 
-def runs(ring: Ring, gu: PixelGrid, gv: PixelGrid) -> list[Box]:
-    """The cells whose centre lies inside the ring (even-odd), as one box per
-    run of cells in a row: ((c0, c1), (row, row))."""
-    check_ring(ring)
-    for g in (gu, gv):
-        if g.scale != "linear" or g.range_offset:
-            raise ValueError("polygon grids must be linear, without a range offset")
+    def at(self, y: float) -> float:
+        return self.x + (y - self.low) * self.slope
+
+
+def edges(ring: Ring) -> list[Edge]:
+    """The sides that rise or fall, by their lower end."""
+    out = []
+    for k, p in enumerate(ring):
+        (x0, y0), (x1, y1) = sorted((p, ring[k - 1]), key=lambda v: v[1])
+        if y0 < y1:
+            out.append(Edge(y0, y1, x0, (x1 - x0) / (y1 - y0)))
+    return sorted(out, key=lambda e: e.low)
+
+
+def inner_cells(g: PixelGrid, lo: float, hi: float) -> tuple[int, int]:
+    """The first and last cell of a grid whose centres lie strictly between two values; none if the first is greater."""
+    first, last = math.floor((lo - g.origin) / g.size + 0.5), math.ceil((hi - g.origin) / g.size - 1.5)
+    reach = g.reach()
+    return (first, last) if reach is None else (max(first, reach[0]), min(last, reach[1]))
 
-    def after(g: PixelGrid, p: float) -> int:
-        c = math.floor((p - g.origin) / g.size - 0.5) + 1
-        return c if g.reach() is None else max(c, g.reach()[0])
 
-    def before(g: PixelGrid, p: float) -> int:
-        c = math.ceil((p - g.origin) / g.size - 0.5) - 1
-        return c if g.reach() is None else min(c, g.reach()[1])
+def runs(ring: Ring, gu: PixelGrid, gv: PixelGrid) -> list[Box]:
+    """The cells whose centre lies inside the ring (even-odd), as one box per run of cells in a row: ((c0, c1), (row, row)).
 
-    first, last = after(gv, min(p[1] for p in ring)), before(gv, max(p[1] for p in ring))
+    A sweep over rows of cells: sides enter the list as the sweep reaches them and leave behind it, and the centres between
+    an odd and the next even of them are inside."""
+    check_ring(ring)
+    if any(g.scale != "linear" or g.range_offset for g in (gu, gv)):
+        raise ValueError("a lasso is drawn on two linear grids, neither shifted")
+    heights = [y for _, y in ring]
+    first, last = inner_cells(gv, min(heights), max(heights))
     if last - first >= MAX_ROWS:
-        raise ValueError(f"a polygon over {last - first + 1} rows of cells; at most {MAX_ROWS}")
-    out = []
+        raise ValueError(f"the lasso spans {last - first + 1} rows of cells, more than {MAX_ROWS}")
+    waiting, live, out = edges(ring), [], []
     for row in range(first, last + 1):
-        xs = crossings(ring, gv.centre(row))
-        for x0, x1 in zip(xs[::2], xs[1::2]):
-            c0, c1 = after(gu, x0), before(gu, x1)
+        y = gv.centre(row)
+        entering = [e for e in waiting[:next((i for i, e in enumerate(waiting) if e.low > y), len(waiting))]]
+        waiting = waiting[len(entering):]
+        live = [e for e in (*live, *entering) if e.high > y]
+        met = sorted(e.at(y) for e in live)
+        for lo, hi in zip(met[0::2], met[1::2]):
+            c0, c1 = inner_cells(gu, lo, hi)
             if c0 <= c1:
                 out.append(((c0, c1), (row, row)))
     return out

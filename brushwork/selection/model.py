@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from . import degree as soft
@@ -15,24 +15,49 @@ from .lasso import Axis
 from .pixels import PixelGrid
 from .values import OneOf, Range, Tuple, all_of, any_of, canonical, tuple_holds, unique
 
-# Functions that are not row-local and deterministic.
-NOT_ROW_LOCAL = ("avg", "collect_list", "collect_set", "count", "dense_rank", "explode", "first", "lag", "last", "lead",
-                 "max", "min", "monotonically_increasing_id", "percentile", "rand", "randn", "rank", "row_number",
-                 "shuffle", "stddev", "sum", "uuid", "variance")
-CALL = re.compile(r"([a-z_]\w*)\s*\(", re.I)
-WINDOW = re.compile(r"\bover\s*\(", re.I)
+# Functions whose result is drawn or depends on the session, beside those that Spark marks itself.
+VOLATILE = ("randstr", "uniform", "now", "current_timestamp", "current_date", "localtimestamp", "current_user", "current_catalog", "current_database")
+GROUPED = ("agg_funcs", "window_funcs", "generator_funcs")
 
 
 def row_local(expr: str) -> str:
-    """A SQL expression that a filter can hold; aggregates, windows and random
-    functions are refused."""
-    bare = re.sub(r"'[^']*'", "''", expr)
-    bad = [f for f in CALL.findall(bare) if f.lower() in NOT_ROW_LOCAL]
-    if bad or WINDOW.search(bare):
-        raise ValueError(f"{expr!r} is not row-local ({bad[0] if bad else 'a window'})")
+    """A SQL expression that a filter can hold: each row's value follows from that row alone. Spark's own parser and function
+    registry are asked, so aggregates, windows, generators, subqueries and drawn values are refused, whatever their names."""
+    if SparkSession.getActiveSession() is None:
+        return expr  # checked in `axes`, where it is used
+    reason = _not_row_local(expr)
+    if reason:
+        raise ValueError(f"{expr!r} is not row-local ({reason})")
     return expr
 
 
+@lru_cache(maxsize=4096)
+def _not_row_local(expr: str) -> str:
+    spark = SparkSession.getActiveSession()
+    state, jvm = spark._jsparkSession.sessionState(), spark._jvm
+    loader = jvm.java.lang.Thread.currentThread().getContextClassLoader()
+    drawn = loader.loadClass("org.apache.spark.sql.catalyst.expressions.Nondeterministic")
+    folded = [loader.loadClass(f"org.apache.spark.sql.catalyst.expressions.aggregate.{c}") for c in ("AggregateFunction", "AggregateExpression")]
+    todo = [state.sqlParser().parseExpression(expr)]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if "Window" in kind:
+            return "a window"
+        if "Subquery" in kind or kind in ("ListQuery", "Exists"):
+            return "a subquery"
+        if any(c.isAssignableFrom(node.getClass()) for c in folded):
+            return "an aggregate"
+        if kind == "UnresolvedFunction":
+            name = node.nameParts().mkString(".")
+            info = state.catalog().lookupFunctionInfo(jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name))
+            if info.getGroup() in GROUPED or name.lower() in VOLATILE or drawn.isAssignableFrom(loader.loadClass(info.getClassName())):
+                return name
+        below = node.children()
+        todo += [below.apply(i) for i in range(below.length())]
+    return ""
+
+
 @dataclass(frozen=True)
 class Producer:
     """A view's contribution to a named selection: projections are SQL

@@ -19,29 +19,33 @@ def _finite(*values: float) -> None:
 
 
 def meets(p1: tuple[Column, Column], p2: tuple[Column, Column], q1: Point, q2: Point) -> Column:
-    """Whether segment p1-p2 shares a point with the fixed segment q1-q2.
-    Touching counts; segments on one line meet only where they overlap."""
-    a, b = tuple(F.lit(float(v)) for v in q1), tuple(F.lit(float(v)) for v in q2)
-    turn = lambda s, e, c: (e[0] - s[0]) * (c[1] - s[1]) - (e[1] - s[1]) * (c[0] - s[0])
+    """Whether segment p1-p2 shares a point with the fixed segment q1-q2: their extents overlap on both axes, and neither
+    segment lies wholly to one side of the other's line. Touching counts, points are segments of no length, and on one
+    line the extents alone decide."""
+    fixed = tuple(F.lit(float(v)) for v in q1), tuple(F.lit(float(v)) for v in q2)
 
-    def on(s, e, c):
-        return ((c[0] >= F.least(s[0], e[0])) & (c[0] <= F.greatest(s[0], e[0]))
-                & (c[1] >= F.least(s[1], e[1])) & (c[1] <= F.greatest(s[1], e[1])))
+    def side(of, line) -> Column:
+        (x, y), ((x1, y1), (x2, y2)) = of, line
+        return F.signum((x2 - x1) * (y - y1) - (x - x1) * (y2 - y1))
 
-    d1, d2, d3, d4 = turn(a, b, p1), turn(a, b, p2), turn(p1, p2, a), turn(p1, p2, b)
-    proper = (d1 * d2 < 0) & (d3 * d4 < 0)
-    touch = ((d1 == 0) & on(a, b, p1)) | ((d2 == 0) & on(a, b, p2)) | ((d3 == 0) & on(p1, p2, a)) | ((d4 == 0) & on(p1, p2, b))
-    return F.coalesce(proper | touch, F.lit(False))
+    def overlap(axis: int) -> Column:
+        mine, theirs = (p1[axis], p2[axis]), (fixed[0][axis], fixed[1][axis])
+        return F.greatest(F.least(*mine), F.least(*theirs)) <= F.least(F.greatest(*mine), F.greatest(*theirs))
+
+    straddled = (side(p1, fixed) * side(p2, fixed) <= 0) & (side(fixed[0], (p1, p2)) * side(fixed[1], (p1, p2)) <= 0)
+    return F.coalesce(overlap(0) & overlap(1) & straddled, F.lit(False))
 
 
 def segment_distance(x: Column, y: Column, q1: Point, q2: Point, scale: Point = (1.0, 1.0)) -> Column:
-    """Distance from a point to the segment after scaling both axes."""
-    sx, sy = scale
-    ax, ay, vx, vy = q1[0] * sx, q1[1] * sy, (q2[0] - q1[0]) * sx, (q2[1] - q1[1]) * sy
-    px, py = x * F.lit(float(sx)), y * F.lit(float(sy))
-    along = ((px - F.lit(ax)) * F.lit(vx) + (py - F.lit(ay)) * F.lit(vy)) / F.lit(max(vx * vx + vy * vy, 1e-12))
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
-    return F.hypot(px - (F.lit(ax) + t * F.lit(vx)), py - (F.lit(ay) + t * F.lit(vy)))
+    """Distance from a point to the segment after scaling both axes: in the segment's own frame, how far across its line
+    the point lies, and how far beyond an end."""
+    dx, dy = (q2[0] - q1[0]) * scale[0], (q2[1] - q1[1]) * scale[1]
+    length = math.hypot(dx, dy)
+    ux, uy = (dx / length, dy / length) if length else (1.0, 0.0)
+    rx, ry = (x - F.lit(float(q1[0]))) * F.lit(float(scale[0])), (y - F.lit(float(q1[1]))) * F.lit(float(scale[1]))
+    along = rx * F.lit(ux) + ry * F.lit(uy)
+    across = ry * F.lit(ux) - rx * F.lit(uy)
+    return F.hypot(across, F.greatest(F.lit(0.0), -along, along - F.lit(length)))
 
 
 def _vertices(df: DataFrame, key: str, x: str, y: str) -> DataFrame:

@@ -77,7 +77,7 @@ def test_toggles():
     assert CARRIER.address in Selections({"b": "intersect"}).set(CARRIER, []).of("b")
 
 
-def test_row_local_expressions_only():
+def test_row_local_expressions_only(spark):
     for bad in ("sum(x)", "lag(x) over (order by y)", "rand()", "x + max(y)"):
         with pytest.raises(ValueError):
             producer("b", "v", "n", {"x": bad})
