@@ -82,6 +82,29 @@ def to_table(path: str) -> Handler:
     return write
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """All parts of a table written by `to_table`, with their batch number."""
+def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """All parts of a table written by `to_table`, with their batch number. Without a schema, the written one."""
+    if schema is None:
+        return spark.read.parquet(path).withColumn("batch", F.col("batch").cast("long"))
     return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+
+
+def _folder(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def numbers(spark: SparkSession, path: str, name: str = "batch") -> list[int]:
+    """The numbers of the finished parts `name=<n>` in a folder, in order; none if there is no folder."""
+    files, place = _folder(spark, path)
+    if not files.exists(place):
+        return []
+    found = [x.getPath() for x in files.listStatus(place) if x.getPath().getName().startswith(f"{name}=")]
+    whole = [x for x in found if name != "batch" or files.exists(spark._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
+    return sorted(int(x.getName().split("=")[1]) for x in whole)
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Remove a part that a later one has replaced."""
+    files, place = _folder(spark, path)
+    files.delete(place, True)

@@ -12,19 +12,18 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators import grid, states
 from ..operators.clock import clock
 from ..operators.ordered import lookup
-from ..session import materialise, scratch_path
+from ..session import scratch_path
 from . import feeds
 
 
 def fold(stream: DataFrame, x: str, y: str, z: str, size: float | tuple[float, float],
          ts: str, pane: str, watermark: str) -> DataFrame:
-    """Per pane of time and cell: the highest z and the count. State is dropped
-    once the watermark passes a pane."""
+    """Per pane of time and cell: the highest z and the count. In append and update mode state is dropped
+    once the watermark passes a pane; complete mode keeps all panes."""
     sx, sy = size if isinstance(size, tuple) else (size, size)
     keyed = stream.withWatermark(ts, watermark).select(
         ts, grid.cell(x, sx).alias("cx"), grid.cell(y, sy).alias("cy"), F.col(z).alias("z"))
@@ -32,7 +31,7 @@ def fold(stream: DataFrame, x: str, y: str, z: str, size: float | tuple[float, f
 
 
 def rate(stream: DataFrame, ts: str, bucket: str = "500 milliseconds", watermark: str | None = None) -> DataFrame:
-    """Rows per bucket of time."""
+    """Rows per bucket of time. With a watermark, buckets behind it are closed and their state dropped (append mode)."""
     timed = stream if watermark is None else stream.withWatermark(ts, watermark)
     return timed.groupBy(F.window(ts, bucket).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -74,18 +73,31 @@ class CellTable:
     """Cell states of a feed, one row per (pane, cell) and batch, with a rolling
     picture of the last `window` time units at an adaptive grid.
 
-    `t` is a number in the unit of `pane` and `window`."""
+    `t` is a number in the unit of `pane` and `window`. With `compact_every`,
+    the states are merged and older panes let go of every so many batches. All
+    state lies under `path`: parts by batch number within a generation, which
+    compaction begins anew, and the grid's factor by batch number. A new object on the
+    same path goes on where the last one was."""
 
     def __init__(self, spark: SparkSession, x: str, y: str, z: str, size: float | tuple[float, float],
                  t: str, pane: float, window: float,
-                 budget: int | None = None, path: str | None = None):
+                 budget: int | None = None, path: str | None = None, compact_every: int | None = None):
         self.spark, self.size, self.t, self.pane, self.window = spark, size, t, pane, window
-        self.x, self.y, self.z, self.budget, self.factor = x, y, z, budget, 1
+        self.x, self.y, self.z, self.budget, self.compact_every = x, y, z, budget, compact_every
         self.path = path or scratch_path(spark, "cells")
-        self.schema: T.StructType | None = None
-        self.last = self.done = -1
+        self.generation = max(feeds.numbers(spark, f"{self.path}/states", "generation"), default=0)
+        there = feeds.numbers(spark, self.parts)
+        self.last = max(there, default=-1)
+        # A generation after the first begins with the merged part; what it holds is not taken again.
+        self.done = min(there, default=-1) if self.generation else -1
+        grids = feeds.numbers(spark, f"{self.path}/grids")
+        self.factor = spark.read.parquet(f"{self.path}/grids/batch={grids[-1]}").first().next if grids else 1
         self.pictures: list[tuple[int, int, int]] = []  # (batch, factor, cells)
 
+    @property
+    def parts(self) -> str:
+        return f"{self.path}/states/generation={self.generation}"
+
     def fold(self, batch: DataFrame) -> DataFrame:
         paned = batch.withColumn("pane", grid.cell(self.t, self.pane))
         return grid.fold_cells(paned, self.x, self.y, self.z, self.size, by=["pane"])
@@ -93,25 +105,28 @@ class CellTable:
     def __call__(self, batch: DataFrame, number: int) -> None:
         if number <= self.done:
             return
+        again = number <= self.last
         self.last = max(self.last, number)
-        folded = self.fold(batch)
-        self.schema = folded.schema
-        folded.write.mode("overwrite").parquet(f"{self.path}/batch={number}")
-        if self.budget is not None:
+        self.fold(batch).write.mode("overwrite").parquet(f"{self.parts}/batch={number}")
+        if self.budget is not None and not again:
             cells = self.rolling(self.factor).count()
             self.pictures.append((number, self.factor, cells))
             self.factor = next_factor(cells, self.factor, self.budget)
+            self.spark.createDataFrame([(cells, self.factor)], "cells long, next int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/grids/batch={number}")
+        if self.compact_every and (number + 1) % self.compact_every == 0:
+            self.compact()
 
     def compact(self) -> None:
-        """Merge the retained states into one part and let go of older panes. Batches
-        up to the last one are in that part, and are not taken again."""
+        """Merge the retained states into one part of a new generation, and let go of older panes and parts. Batches up to
+        the last one are in that part, and are not taken again."""
+        old = self.parts
         kept = grid_states(self.retained())
-        path = scratch_path(self.spark, "cells")
-        kept.write.parquet(f"{path}/batch={self.last}")
-        self.path, self.done = path, self.last
+        kept.write.mode("overwrite").parquet(f"{self.path}/states/generation={self.generation + 1}/batch={self.last}")
+        self.generation, self.done = self.generation + 1, self.last
+        feeds.forget(self.spark, old)
 
     def states(self) -> DataFrame:
-        return feeds.read_table(self.spark, self.path, self.schema)
+        return feeds.read_table(self.spark, self.parts)
 
     def retained(self) -> DataFrame:
         """States of panes not older than the window, seen from the newest pane.
@@ -132,17 +147,16 @@ class SeriesTable:
 
     def __init__(self, spark: SparkSession, key: str, t: str, bucket: float, path: str | None = None):
         self.spark, self.key, self.t, self.bucket = spark, key, t, bucket
-        self.path, self.schema = path or scratch_path(spark, "series"), None
+        self.path = path or scratch_path(spark, "series")
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         counted = batch.select(self.key, grid.cell(self.t, self.bucket).alias("b")) \
             .groupBy(self.key, "b").agg(F.count(F.lit(1)).alias("n"))
-        self.schema = counted.schema
         counted.write.mode("overwrite").parquet(f"{self.path}/batch={number}")
 
     def read(self) -> DataFrame:
         """Per key and bucket the count, with t in buckets since the key's first one."""
-        merged = feeds.read_table(self.spark, self.path, self.schema) \
+        merged = feeds.read_table(self.spark, self.path) \
             .groupBy(self.key, "b").agg(F.sum("n").alias("n"))
         first = merged.groupBy(self.key).agg(F.min("b").alias("_first"))
         return lookup(merged, first, self.key).select(
@@ -151,33 +165,38 @@ class SeriesTable:
 
 class ClockTable:
     """A gap-collapsed clock per key that goes on from batch to batch. What is
-    kept between batches is one row per key: its last time and its clock."""
+    kept between batches is one row per key: its last time and its clock, written
+    under the batch's number. A batch starts from the ends before its own, so it
+    can be run again, and a new object on the same path goes on."""
 
     def __init__(self, spark: SparkSession, keys: Sequence[str], t: str, gap: float = 1.0, path: str | None = None):
         self.spark, self.keys, self.t, self.gap = spark, list(keys), t, gap
         self.path = path or scratch_path(spark, "clock")
-        self.schema: T.StructType | None = None
-        self.ends: DataFrame | None = None
+
+    def ends(self, before: int) -> DataFrame | None:
+        """One row per key (_k, _last, _clock) as of the batches before a number."""
+        there = [n for n in feeds.numbers(self.spark, f"{self.path}/ends") if n < before]
+        return self.spark.read.parquet(f"{self.path}/ends/batch={there[-1]}") if there else None
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         key = F.struct(*self.keys)
         ticked = clock(batch, self.t, self.gap, by=self.keys).withColumn("_k", key)
-        if self.ends is not None:
+        ends = self.ends(number)
+        if ends is not None:
             first = batch.groupBy(*self.keys).agg(F.min(self.t).cast("double").alias("_first")).withColumn("_k", key)
             gap = F.greatest(F.lit(0.0), F.least(F.lit(float(self.gap)), F.col("_first") - F.col("_last")))
-            start = first.select("_k", "_first").join(self.ends, "_k") \
+            start = first.select("_k", "_first").join(ends, "_k") \
                 .select("_k", (F.col("_clock") + gap).alias("_start"))
             ticked = lookup(ticked, start, "_k").withColumn("clock", F.col("clock") + F.coalesce("_start", F.lit(0.0))) \
                 .drop("_start")
         out = ticked.drop("_k")
-        self.schema = out.schema
         part = f"{self.path}/rows/batch={number}"
         out.write.mode("overwrite").parquet(part)
         written = self.spark.read.schema(out.schema).parquet(part).withColumn("_k", key)
         now = written.groupBy("_k").agg(F.max(self.t).cast("double").alias("_last"), F.max("clock").alias("_clock"))
-        if self.ends is not None:
-            now = now.unionByName(self.ends).groupBy("_k").agg(F.max("_last").alias("_last"), F.max("_clock").alias("_clock"))
-        self.ends = materialise(now, "ends")
+        if ends is not None:
+            now = now.unionByName(ends).groupBy("_k").agg(F.max("_last").alias("_last"), F.max("_clock").alias("_clock"))
+        now.write.mode("overwrite").parquet(f"{self.path}/ends/batch={number}")
 
     def read(self) -> DataFrame:
-        return feeds.read_table(self.spark, f"{self.path}/rows", self.schema).drop("batch")
+        return feeds.read_table(self.spark, f"{self.path}/rows").drop("batch")

@@ -137,6 +137,30 @@ def test_keyed_clock_goes_on_from_batch_to_batch(spark, events):
         assert abs(got[r.id] - clock) < 1e-9
 
 
+def test_tables_go_on_after_a_restart_and_a_batch_run_again(spark, events):
+    a, b, c = events.where("id < 200"), events.where("id >= 200 AND id < 400"), events.where("id >= 400")
+    whole = live.ClockTable(spark, ["k"], "t", 25.0)
+    whole(events, 0)
+    want = {r.id: r.clock for r in whole.read().collect()}
+    path = scratch_path(spark, "clock")
+    for number, part in ((0, a), (1, b), (1, b), (2, c), (1, b), (2, c)):
+        live.ClockTable(spark, ["k"], "t", 25.0, path=path)(part, number)  # a new object each time
+    assert {r.id: r.clock for r in live.ClockTable(spark, ["k"], "t", 25.0, path=path).read().collect()} == pytest.approx(want)
+    path = scratch_path(spark, "cells")
+    make = lambda: live.CellTable(spark, "x", "y", "z", 2.0, "t", 600.0, 1800.0, budget=40, path=path, compact_every=2)
+    for number, part in ((0, a), (1, b), (2, c), (1, b)):
+        make()(part, number)
+    again = make()
+    assert again.generation == 1 and again.done == 1 and again.factor > 1
+    newest = 5990 // 600
+    want = {(r.cx, r.cy): (r.zmax, r.n) for r in events.where(F.floor(F.col("t") / 600) >= newest - 3)
+            .groupBy(F.floor(F.col("x") / 4).alias("cx"), F.floor(F.col("y") / 4).alias("cy")).agg(F.max("z").alias("zmax"), F.count("*").alias("n")).collect()}
+    assert {(r.cx, r.cy): (r.zmax, r.n) for r in again.rolling(2).collect()} == want
+    path = scratch_path(spark, "series")
+    live.SeriesTable(spark, "k", "t", 500.0, path=path)(events, 0)
+    assert live.SeriesTable(spark, "k", "t", 500.0, path=path).read().agg(F.sum("n")).first()[0] == 600
+
+
 def test_growing_histogram(spark, events):
     last = live.Latest(spark)
     feeds.run(live.growing_histogram(feeds.read_feed(spark, recorded(spark, events, 3), events.schema, 1), "z", 10.0), last, "complete")
