@@ -134,6 +134,18 @@ SPREADS = [("rows", None, "n"), ("valid", "x", "valid"), ("missing", "x", "missi
            ("var_pop", "x", "var_pop"), ("stddev_samp", "x", "stddev_samp"), ("stddev_pop", "x", "stddev_pop")]
 
 
+def merged_apart(spark, d):
+    """One label's prices are partly infinite: its spread is NaN, and the others' are as if it were not there."""
+    p = points(spark, d).withColumn("x", F.when((F.col("label") == "R") & (F.pmod(F.col("order_key"), F.lit(5)) == 0), F.lit(float("inf"))).otherwise(F.col("x")))
+    specs = [("var_pop", "x", "spread"), ("mean", "x", "mean")]
+    merged = states.merge(states.fold(p, ["label", "z"], specs), ["label"], specs)
+    return merged.select("label", F.isnan("spread").alias("none"), r(F.nanvl("spread", F.lit(0.0)), 3).alias("spread"), F.col("mean").isin(float("inf")).alias("endless"))
+
+
+MERGED_APART = f"""WITH {POINTS} SELECT label, label = 'R' AS none, CASE WHEN label = 'R' THEN 0 ELSE round(var_pop(x), 3) END AS spread,
+label = 'R' AS endless FROM p GROUP BY 1"""
+
+
 def merged_measures(spark, d):
     """Every mergeable measure, folded per (label, day) and merged per label.
     One price in seven is blanked."""
@@ -348,6 +360,7 @@ QUERIES = {
     "voxel_adjacency": (voxel_adjacency, ADJACENCY),
     "state_merge": (state_merge, STATE_MERGE),
     "merged_measures": (merged_measures, MERGED),
+    "merged_apart": (merged_apart, MERGED_APART),
     "hillshade": (hillshade, HILLSHADE),
     "tilt_raster": (tilt_raster, TILT_RASTER),
     "lasso_voxels": (lasso_voxels, LASSO_VOXELS + " SELECT i, j, k, n FROM v"),

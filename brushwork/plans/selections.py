@@ -405,6 +405,16 @@ CUBE = f"WITH {POINTS} " + " UNION ALL ".join(
     round(stddev_samp(x), 3) AS sd FROM p WHERE {D_SQL} AND {sql_range('y', QUANTITY, lo, hi)} GROUP BY ALL""" for i, (lo, hi) in enumerate(MOVES))
 
 
+def cube_fallback(spark, d):
+    """What lies outside a brush can't be split around it, so the same call answers from the rows."""
+    now = Selections({"brush": "intersect"}).set(P_QUANTITY, [{"q": v.range_(12.0, 33.0)}])
+    chart = cubes.prepared(points(spark, d), {"label": F.col("label")}, [("rows", None, "n"), ("max", "x", "top")], Not(Use(P_QUANTITY.selection)), P_QUANTITY, "beside", now)
+    return chart.rollup(now)
+
+
+FALLBACK = f"""WITH {POINTS} SELECT label, count(*) AS n, max(x) AS top FROM p WHERE NOT coalesce({sql_range('y', QUANTITY, 12.0, 33.0)}, false) GROUP BY 1"""
+
+
 def cube_soft(spark, d):
     """The same stored states under a fading brush."""
     c = _cube(spark, d)
@@ -497,6 +507,7 @@ QUERIES = {
     "timebox": (timebox, TIMEBOX),
     "soft_series": (soft_series, SOFT_SERIES),
     "key_members": (key_members, KEY_MEMBERS),
+    "cube_fallback": (cube_fallback, FALLBACK),
     "cube_rollup": (cube_rollup, CUBE),
     "cube_soft": (cube_soft, CUBE_SOFT),
     "cube_lasso": (cube_lasso, CUBE_LASSO),

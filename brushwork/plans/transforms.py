@@ -285,6 +285,31 @@ def running_values(spark, d):
 RUNNING = f"""WITH {FEED} SELECT event_id, round(sum(value) OVER (PARTITION BY event_type ORDER BY t, event_id), 2) AS upto FROM f"""
 
 
+def running_nulls(spark, d):
+    """The same where two values in three are missing, the first ones among them, in buckets of some hundred rows."""
+    from ..operators.ordered import running_sum
+
+    e = feed(spark, d).withColumn("v", F.when((F.col("event_id") % 3 == 0) & (F.col("t") > 86400.0), F.round("value")))
+    return running_sum(e, ["event_type"], "t", "v", "upto", tie=["event_id"], group_rows=500).select("event_id", "upto")
+
+
+RUNNING_NULLS = f"""WITH {FEED}, v AS (SELECT *, CASE WHEN event_id % 3 = 0 AND t > 86400 THEN round(value) END AS v FROM f)
+SELECT event_id, sum(v) OVER (PARTITION BY event_type ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS upto FROM v"""
+
+
+def running_ties(spark, d):
+    """Rows of three times only, ordered within a time by their id, in buckets of some hundred rows."""
+    from ..operators.ordered import previous, running_sum
+
+    e = feed(spark, d).select("event_id", (F.col("event_id") % 3).cast("double").alias("t"), F.round("value").alias("v"))
+    return previous(running_sum(e, [], "t", "v", "upto", tie=["event_id"], group_rows=500), [], "t", {"before": "event_id"}, tie=["event_id"], group_rows=500) \
+        .select("event_id", "upto", "before")
+
+
+RUNNING_TIES = """SELECT event_id, sum(round(value)) OVER w AS upto, lag(event_id) OVER (ORDER BY event_id % 3, event_id) AS before
+FROM events WINDOW w AS (ORDER BY event_id % 3, event_id ROWS UNBOUNDED PRECEDING)"""
+
+
 def column_types(spark, d):
     """The parameters of json-in-text and array columns, through the same formulas."""
     e = load(spark, d, "embeddings").select("label", F.get("embedding", 0).cast("double").alias("x"), F.get("embedding", 1).cast("double").alias("y"))
@@ -295,6 +320,8 @@ COLUMN_TYPES = """SELECT label, CAST(floor(CAST(embedding[1] AS DOUBLE) / 0.1) A
 round(max(CAST(embedding[2] AS DOUBLE)), 6) AS y FROM embeddings GROUP BY 1, 2"""
 
 QUERIES = {
+    "running_nulls": (running_nulls, RUNNING_NULLS),
+    "running_ties": (running_ties, RUNNING_TIES),
     "truthy_filter": (truthy_filter, "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_discount <> 0 GROUP BY 1"),
     "formula": (formula, """SELECT l_linestatus, round(min(h), 4) AS lo, round(max(h), 4) AS hi, round(sum(h), 2) AS total FROM (
         SELECT l_linestatus, least(60000.0, greatest(5000.0, l_extendedprice * (1 - l_discount))) AS h FROM lineitem) GROUP BY 1"""),
