@@ -3,11 +3,11 @@
 A word here is what lies between two single spaces that stand between other characters, with its space in front: no
 piece of the tokenizer's pattern reaches over such a space, so words encode independently.
 
-(1) Every task splits its texts into words, and sends the distinct words of a block of texts, with the positions where they
-occur, to the bucket of the word. (2) A bucket holds all occurrences of its words, encodes each distinct word once, and
-sends ids and positions back to the block. (3) A block puts the ids in order by position. Only words, ids and positions are
-shuffled, about a byte and a half a word; frequent words are sent once a block, so no word is a hot key. Decoding joins ids
-to pieces through a table that the vocabulary bounds.
+(1) Every task splits its texts into words. A block of texts keeps the sequence of its words as numbers, and asks the bucket
+of each distinct word for it. (2) A bucket is asked for all occurrences of its words, encodes each distinct word once, and
+answers every block. (3) A block joins the ids to its sequence by position. Numbers, distinct words of blocks, and their ids
+are all that is shuffled; frequent words are sent once a block, so no word is a hot key. Decoding joins ids to pieces
+through a table that the vocabulary bounds.
 
 The merges themselves are run by tiktoken on the ranks of the given tokenizer file, which gives the ids of the tokenizers
 library (tested) several times faster.
@@ -25,6 +25,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +34,8 @@ from pyspark.sql import functions as F
 from .common import free_name, settled, table
 from .text import parts
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
+PLACED_WORDS = 1 << 17
 CACHED_WORDS = 200_000  # a worker's bound
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -120,7 +122,7 @@ def pressed(*arrays) -> bytes:
     """Arrays of numbers, or bytes, as one compressed value."""
     flat = [a if isinstance(a, bytes) else np.ascontiguousarray(a, "<i4").tobytes() for a in arrays]
     head = np.array([len(flat), *map(len, flat)], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(flat))
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(flat))
 
 
 def unpressed(value: bytes) -> list[bytes]:
@@ -134,18 +136,29 @@ def numbers(value: bytes) -> np.ndarray:
     return np.frombuffer(value, "<i4")
 
 
-ROW = "bucket long, block long, kind int, body binary"
-WORDS_KIND, ROWS_KIND, IDS_KIND = 0, 1, 2
+ROW = "bucket long, block long, body binary"
+WORDS_KIND, ROWS_KIND = 0, 1
 
 
-def _rows(bucket, block, kind, body) -> pa.RecordBatch:
+def _rows(bucket, block, body) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(bucket, pa.int64()), pa.array(block, pa.int64()), pa.array(kind, pa.int32()), pa.array(body, pa.binary())],
-        ["bucket", "block", "kind", "body"])
+        [pa.array(bucket, pa.int64()), pa.array(block, pa.int64()), pa.array(body, pa.binary())],
+        ["bucket", "block", "body"])
 
 
-def _asked(buckets: int):
-    """Blocks of texts as requests: per bucket the distinct words of the block and their positions."""
+def planes(values: np.ndarray, width: int) -> bytes:
+    """Numbers below 256^width, first all low bytes, then the next ones: what repeats is side by side."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T).tobytes()
+
+
+def unplaned(value: bytes, width: int) -> np.ndarray:
+    raw = np.frombuffer(value, np.uint8).reshape(width, -1)
+    return sum(raw[k].astype(np.int64) << (8 * k) for k in range(width))
+
+
+def _asked(buckets: int, kind: int):
+    """Blocks of texts. WORDS_KIND: for every bucket the block's distinct words there. ROWS_KIND: for the block itself its rows
+    and the sequence of its words, by rank of frequency. Both number words alike."""
     def run(batches):
         block = (TaskContext.get().partitionId() << 32) - 1
         for b in batches:
@@ -162,81 +175,74 @@ def _asked(buckets: int):
                 codes = np.array(codes, np.int64)
                 codes[codes < 0] = len(later) - 1 - codes[codes < 0]
                 texts = [(" " + w).encode() for w in later] + [w.encode() for w in first]
-                order = np.argsort(codes, kind="stable")
-                counts = np.bincount(codes, minlength=len(texts))
-                starts = np.cumsum(counts) - counts
+                by_rank = np.argsort(-np.bincount(codes, minlength=len(texts)), kind="stable")
+                rank = np.empty(len(texts), np.int64)
+                rank[by_rank] = np.arange(len(texts))
+                texts = [texts[i] for i in by_rank.tolist()]
                 goal = np.fromiter((zlib.crc32(t) % buckets for t in texts), np.int64, len(texts))
-                kept = own.slice(at, len(run_))
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, kept.schema) as out:
-                    out.write_batch(kept)
-                body, to = [pressed(np.array(sizes), sink.getvalue().to_pybytes())], [block % buckets]
+                if kind == ROWS_KIND:
+                    kept = own.slice(at, len(run_))
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, kept.schema) as out:
+                        out.write_batch(kept)
+                    yield _rows([0], [block], [pressed(np.array(sizes), sink.getvalue().to_pybytes(), planes(rank[codes], 4), planes(goal, 4))])
+                    continue
+                body, to = [], []
                 by_goal = np.argsort(goal, kind="stable")
                 cuts = np.searchsorted(goal[by_goal], np.arange(buckets + 1))
                 for k in np.flatnonzero(np.diff(cuts)):
-                    mine = by_goal[cuts[k]:cuts[k + 1]]
-                    n = counts[mine]
-                    at_ = np.repeat(starts[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    where = order[at_]
-                    step = np.diff(where, prepend=0)
-                    step[(np.cumsum(n) - n)] = where[np.cumsum(n) - n]
-                    body.append(pressed(np.array([len(texts[i]) for i in mine]), b"".join([texts[i] for i in mine]), n, step))
+                    mine = [texts[i] for i in by_goal[cuts[k]:cuts[k + 1]].tolist()]
+                    body.append(pressed(planes(np.fromiter(map(len, mine), np.int64, len(mine)), 4), b"".join(mine)))
                     to.append(int(k))
-                yield _rows(to, [block] * len(to), [ROWS_KIND] + [WORDS_KIND] * (len(to) - 1), body)
+                yield _rows(to, [block] * len(to), body)
     return run
 
 
 def _answered(path: str):
-    """A bucket's distinct words are encoded once; every block that asked gets ids and positions."""
+    """A bucket's distinct words are encoded once; every block that asked gets its words' ids."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         encode, known, out = codec(path).encoding.encode, {}, []
         for r in rows.itertuples():
-            if r.kind == ROWS_KIND:
-                out.append(r.body)
-                continue
-            sizes, text, n, step = unpressed(r.body)
-            ends = np.cumsum(numbers(sizes))
+            sizes, text = unpressed(r.body)
+            ends = np.cumsum(unplaned(sizes, 4))
             ids, lengths = [], []
-            for a, b in zip(ends - numbers(sizes), ends):
+            for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
                 w = text[a:b]
                 if w not in known:
                     known[w] = encode(w.decode(), allowed_special="all")
                 ids += known[w]
                 lengths.append(len(known[w]))
-            out.append(pressed(np.array(lengths), np.array(ids, "<u4").tobytes(), n, step))
-        return pd.DataFrame({"bucket": rows.bucket, "block": rows.block, "kind": np.where(rows.kind == ROWS_KIND, ROWS_KIND, IDS_KIND), "body": out})
+            out.append(pressed(planes(np.array(lengths, np.int64), 4), planes(np.array(ids, np.int64), 4)))
+        return pd.DataFrame({"bucket": rows.bucket, "block": rows.block, "body": out})
     return run
 
 
 def _placed():
-    """A block's ids in the order of their positions."""
-    def run(rows: pa.Table) -> pa.Table:
-        kind, body = rows.column("kind").to_pylist(), rows.column("body")
-        head = [body[i].as_py() for i, k in enumerate(kind) if k == ROWS_KIND]
-        sizes, own = unpressed(head[0])
-        sizes = numbers(sizes).astype(np.int64)
-        total = int(sizes.sum())
-        lengths, pieces = np.zeros(total, np.int64), []
-        for i, k in enumerate(kind):
-            if k != IDS_KIND:
-                continue
-            l, ids, n, step = unpressed(body[i].as_py())
-            l, n, ids = numbers(l).astype(np.int64), numbers(n).astype(np.int64), np.frombuffer(ids, "<u4").view("<i4")
-            where = np.cumsum(numbers(step))
-            begin = np.cumsum(n) - n
-            where = where - np.repeat(np.where(begin > 0, where[np.maximum(begin - 1, 0)], 0), n)
-            lengths[where] = np.repeat(l, n)
-            pieces.append((where, np.repeat(np.cumsum(l) - l, n), np.repeat(l, n), ids))
-        ends = np.cumsum(lengths)
-        out = np.zeros(int(ends[-1]) if total else 0, np.int32)
-        for where, source, l, ids in pieces:
-            inside = np.arange(l.sum()) - np.repeat(np.cumsum(l) - l, l)
-            out[np.repeat(ends[where] - l, l) + inside] = ids[np.repeat(source, l) + inside]
+    """A block's ids in the order of its words."""
+    def run(answers: pa.Table, rows: pa.Table) -> pa.Table:
+        bucket, body = answers.column("bucket").to_pylist(), answers.column("body")
+        sizes, own, sequence, goal = unpressed(rows.column("body")[0].as_py())
+        sizes, sequence, goal = numbers(sizes).astype(np.int64), unplaned(sequence, 4), unplaned(goal, 4)
+        length, source, flat, used = np.zeros(len(goal), np.int64), np.zeros(len(goal), np.int64), [], 0
+        for i, k in enumerate(bucket):
+            n, ids = (unplaned(x, 4) for x in unpressed(body[i].as_py()))
+            mine = np.flatnonzero(goal == k)
+            length[mine], source[mine] = n, used + np.cumsum(n) - n
+            flat.append(ids.astype(np.int32))
+            used += len(ids)
+        flat = np.concatenate([*flat, np.zeros(0, np.int32)])
+        n = length[sequence]
+        ends = np.cumsum(n)
+        out = np.empty(int(n.sum()), np.int32)
+        for a in range(0, len(sequence), PLACED_WORDS):  # in runs, as the numbers of ids take more room than ids
+            z = min(a + PLACED_WORDS, len(sequence))
+            some, begin = n[a:z], ends[a] - n[a]
+            out[begin:ends[z - 1]] = flat[np.repeat(source[sequence[a:z]] - (ends[a:z] - some - begin), some) + np.arange(ends[z - 1] - begin)]
         cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
-        got = pa.ipc.open_stream(own).read_all()
-        lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(out))
-        return pa.Table.from_arrays([*[c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in got.columns], lists],
-                                    [f"c{i}" for i in range(got.num_columns + 1)])
+        got = pa.ipc.open_stream(own).read_all().combine_chunks()
+        lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(out, pa.int32()))
+        columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in got.columns]
+        return pa.Table.from_arrays([*columns, lists], [f"c{i}" for i in range(got.num_columns + 1)])
     return run
 
 
@@ -247,11 +253,12 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", keep: l
     docs = settled(docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("_text")))
     # One piece per block and bucket: twice as many buckets as input splits keeps both sides about as large as a split.
     buckets = max(8, 2 * docs.rdd.getNumPartitions())
-    asked = docs.mapInArrow(_asked(buckets), ROW)
-    answered = asked.groupBy("bucket").applyInPandas(_answered(path), ROW)
+    # The texts are split twice, so that what a block keeps is shuffled once.
+    answered = docs.mapInArrow(_asked(buckets, WORDS_KIND), ROW).groupBy("bucket").applyInPandas(_answered(path), ROW)
+    own = docs.mapInArrow(_asked(buckets, ROWS_KIND), ROW)  # blocks are numbered by split and place, so both passes agree
     n = len(keep)
     schema = ", ".join([*[f"c{i} {docs.schema[f'c{i}'].dataType.simpleString()}" for i in range(n)], f"c{n} array<int>"])
-    out = answered.groupBy("block").applyInArrow(_placed(), schema)
+    out = answered.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(_placed(), schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], F.col(f"c{n}").alias(free_name(docs.select(*[F.lit(0).alias(c) for c in keep]), "ids")))
 
 
@@ -260,7 +267,9 @@ def _joined(path: str):
         piece = codec(path).pieces.__getitem__
         for b in batches:
             lists = b.column(b.num_columns - 1)
-            texts = [None if x is None else b"".join(map(piece, x)).decode("utf-8", "replace") for x in lists.to_pylist()]
+            ids, ends = lists.flatten().to_numpy(), np.cumsum(np.array([n or 0 for n in pa.compute.list_value_length(lists).to_pylist()], np.int64))
+            texts = [b"".join(map(piece, ids[a:z].tolist())).decode("utf-8", "replace") if ok else None
+                     for a, z, ok in zip([0, *ends[:-1].tolist()], ends.tolist(), lists.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], b.schema.names[:-1] + ["decoded"])
     return run
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +19,7 @@ def settled(df: DataFrame, label: str = "input") -> DataFrame:
     """The same rows in an order that a task run again finds again. A plan that only scans files has it; what
     comes out of a shuffle is written first."""
     plan = df._jdf.queryExecution().executedPlan().toString()
-    return materialise(df, label) if any(x in plan for x in ("Exchange", "ExistingRDD", "LocalTableScan", "InMemory")) else df
+    return materialise(df, label) if any(x in plan for x in ("Exchange", "ExistingRDD", "LocalTableScan", "InMemoryTableScan")) else df
 
 
 def fold(doc_id: str, parts: int) -> Column:
@@ -44,7 +42,3 @@ def meet(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) ->
     hot_keys = hot.select(key)
     cold = rows.join(F.broadcast(hot_keys), key, "left_anti").join(groups.join(F.broadcast(hot_keys), key, "left_anti"), key)
     return rows.join(F.broadcast(hot), key).select(cold.columns).unionAll(cold)
-
-
-def same_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`") for c in columns])
