@@ -8,11 +8,11 @@ are the connected components.
 (1) Texts with equal words are one node, so copies cost a row each. (2) Every node gets SKETCHES keys: under each of as many
 hash functions, the TAKEN least occurrence-labelled shingles, in text order, with the text's length class (shingle counts
 of linked texts differ by a factor of 1.25 at most, so a text takes its own class and the next). A text with repeated
-shingles also gets the keys of its distinct ones. A pair at 0.8 shares no key with a chance of about 2e-6. (3) In every
-bucket, all nodes are compared with a leader, not with each other. As Jaccard distance is a metric, a node linked to the
-leader can only be linked to nodes beyond it that lie within 0.2 more of the leader; whoever has such a partner stays in the
-bucket, which goes on with four times as many leaders, until nothing stays. So no link of a bucket is lost, nothing is
-capped, and a bucket of copies costs one comparison a node. (4) Components by large-star and small-star steps.
+shingles also gets the keys of its distinct ones. A pair at 0.8 shares no key with a chance of about 3e-5. (3) In every
+bucket, all nodes are compared with a leader, not with each other. Nodes that are then in one component need no further
+comparison; where a bucket still holds several components, it goes on with four times as many leaders, which are compared
+with the nodes of other components, until every such pair has been compared. So no link between components is lost, nothing
+is capped, and a bucket of copies costs about one comparison a node. (4) Components by large-star and small-star steps.
 
 A leader that many nodes are compared with is joined as a hot key; no bucket or class is ever gathered in one task.
 
@@ -36,8 +36,8 @@ from .text import Sums, Words, mixed, parts
 
 SHINGLE = 5
 SIMILAR = 0.8
-SKETCHES = 18
-TAKEN = 3
+SKETCHES = 20
+TAKEN = 4
 FARTHER = 4  # times as many leaders in each further round
 
 
@@ -227,50 +227,40 @@ def links(nodes: DataFrame, codes: DataFrame, least: float = SIMILAR) -> DataFra
     shared = materialise(shared, "buckets")
     total = nodes.count()
     # Round one: one leader a bucket.
-    duty = meet(members, shared, "key", "size", total).where("node <> leader").select("key", "node", "leader")
-    duty = materialise(duty, "members")
-    done = compared(duty.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), codes, least)
-    found, leaders_each, far = done.where("similarity > 0").select("a", "b"), 1, 1 - least
+    lead = materialise(meet(members, shared, "key", "size", total).select("key", "node", "size", "leader"), "members")
+    pairs = lead.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    found, leaders_each = None, 1
+    rest = lead.where("node <> leader").select("key", "node")
     while True:
-        # Buckets with a node that isn't linked to every leader; only there can links be missing.
-        told = duty.join(done.select(F.col("a").alias("leader"), F.col("b").alias("node"), (1 - F.col("jaccard")).alias("d"), (F.col("similarity") > 0).alias("linked")),
-                         ["leader", "node"])
-        open_ = told.where("not linked").select("key").distinct()
-        told = materialise(told.join(open_, "key", "left_semi"), "open")
-        if told.isEmpty():
+        fresh = compared(pairs, codes, least).where("similarity > 0").select("a", "b")
+        found = fresh if found is None else found.unionAll(fresh)
+        roots = materialise(components(found), "roots")
+        # Buckets that still hold several components; who has led one has been compared with all of it.
+        rooted = rest.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        open_ = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("_low"), F.max("root").alias("_high"), F.min("node").alias("_least"))
+        open_ = open_.where("_low <> _high").select("key", "size", "_least")
+        rest = materialise(rooted.join(open_, "key"), "open")
+        if rest.isEmpty():
             return found
-        home = told.where("linked").groupBy("key", "node").agg(F.min_by("leader", F.struct("d", "leader")).alias("home"))
-        told = told.join(home, ["key", "node"], "left")
-        # The nearest node to each leader among those that are at home elsewhere.
-        gap = told.where(~F.col("home").eqNullSafe(F.col("leader"))).groupBy("key", "leader").agg(F.min("d").alias("gap"))
-        own = told.where(F.col("home") == F.col("leader")).join(gap, ["key", "leader"]).where(F.col("d") >= F.col("gap") - far - 1e-12)
-        # Leaders are compared with all others and leave, also where they were compared as nodes.
-        stay = told.where(F.col("home").isNull()).select("key", "node").distinct().unionAll(own.select("key", "node"))
-        stay = materialise(stay.join(told.select("key", F.col("leader").alias("node")).distinct(), ["key", "node"], "left_anti"), "stay")
-        sizes = stay.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).where("size > 1")
+        # About `leaders_each` by hash, and the least node always; all, once they are as many as the nodes.
         leaders_each *= FARTHER
-        rows = materialise(stay.join(sizes, "key"), "round")
-        if rows.isEmpty():
-            return found
-        # About `leaders_each` leaders by hash, and the least node always; all, once there are as many as nodes.
-        lead = rows.where((F.col("node") == F.col("least")) | (F.pmod(F.xxhash64("key", "node"), F.col("size")) < leaders_each)).select("key", F.col("node").alias("leader"))
-        duty = materialise(rows.select("key", "node").join(lead, "key").where("node <> leader"), "members")
-        pairs = duty.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-        known = done
-        fresh = compared(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), codes, least)
-        done = materialise(known.unionAll(fresh), "done")
-        found = found.unionAll(fresh.where("similarity > 0").select("a", "b"))
-
-
-def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """(node, root): the least node of each node's component, for all nodes with an edge (a, b). Large-star and small-star
-    steps in turn, until nothing changes; the number of rounds grows with the logarithm of a component's size."""
+        leads = (F.col("node") == F.col("_least")) | (F.pmod(F.xxhash64("key", "node"), F.col("size")) < leaders_each)
+        lead = rest.where(leads).select("key", F.col("node").alias("leader"), F.col("root").alias("_root"))
+        # Each pair is compared once, whichever of its buckets it is from and whichever of the two leads.
+        pairs = (rest.join(lead, "key").where("root <> _root")
+                 .select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct())
+        rest = rest.where(~leads).select("key", "node")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the least node of each node's component, for all nodes with an edge (a, b) that aren't roots. Large-star
+    and small-star steps in turn, until nothing changes; the number of rounds grows with the logarithm of a component's size."""
     edges = materialise(edges.select("a", "b").where("a <> b").distinct(), "edges")
 
     def state(df):
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    now, total = state(edges), 0
+    now = state(edges)
     while True:
         total = 2 * now[0]
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
