@@ -31,7 +31,7 @@ from .common import settled, table
 from .text import Sums, Words
 
 WINDOW = 35
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def _blocked(batches):
@@ -248,7 +248,7 @@ def substring_dedup(docs: DataFrame, text: str = "text", window: int = WINDOW, k
     own = settled(docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("_text")))
     splits = own.rdd.getNumPartitions()
     ranges = max(8, 2 * splits)
-    width = 1 << 25  # cells of a range: of one split's windows, some millions, a few in a hundred share a cell by chance
+    width = 1 << 24  # cells of a range: of some million windows of a split, one in ten shares a cell by chance
     blocks = own.mapInArrow(_blocked, "block long, body binary")
     by_block = blocks.groupBy("block")
     first = blocks.mapInArrow(_sketched(window, ranges, width), ASK).groupBy("range").applyInPandas(_added(width), ASK)

@@ -35,8 +35,11 @@ class Sums:
         base = 0x5851F42D4C957F2D + 16 * seed  # odd
         inverse = pow(base, -1, 1 << 64)
         n = len(values)
+        terms = powers(base, n)
+        terms *= values
         self.total = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * powers(base, n), out=self.total[1:])
+        np.cumsum(terms, out=self.total[1:])
+        del terms
         self.back = powers(inverse, n + 1)
         self.seed = np.uint64(seed)
 
