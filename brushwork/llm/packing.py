@@ -3,7 +3,7 @@
 (1) Every text is encoded where it lies and cut into pieces: full sequences, then what remains. (2) The histogram of lengths,
 in steps of UNIT tokens, of at most CAPACITY / UNIT entries, goes to the driver. There a linear program over patterns (how
 many pieces of each length share a sequence) is solved by the simplex method; new patterns are priced by a knapsack dynamic
-program until none helps or the bound is near. (3) Patterns are rounded down; the few pieces left over are packed first-fit,
+program until none helps or the bound is near. (3) Patterns are rounded down, the largest fractions up; the few pieces left over are packed first-fit,
 longest first. (4) Pieces are ranked within their length, and a rank decides pattern, copy and place. Ranks are counted in
 salted groups and offsets, so the most common length is no hot key.
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .bpe import codec, public
-from .common import table
+from .common import HOT_KEYS, table
 
 CAPACITY = 2048
 UNIT = 4
@@ -166,6 +166,10 @@ def planned(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, in
         if times > 0:
             left -= times * used
             out.append((used, times))
+    for k in np.argsort(-(x - np.floor(x)), kind="stable"):  # the largest fractions once more, while their pieces are left
+        if (patterns[k] > 0).any() and (left >= patterns[k]).all():
+            left -= patterns[k]
+            out.append((patterns[k], 1))
     out += [(b, 1) for b in first_fit(sizes, left, capacity)]
     return [({int(s): int(n) for s, n in zip(sizes, used) if n}, times) for used, times in out]
 
@@ -187,8 +191,13 @@ def packed(cut: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> DataFr
         sequence += times
     # At most (capacity / unit) patterns, each with a few sizes, and the few bins of left-over pieces.
     slots = F.broadcast(spark.createDataFrame(slots, "_size long, _from long, _to long, _sequence long, _each long"))
-    salts = 1 + sum(histogram.values()) // SALT_ROWS
-    salted = sized.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)))
+    total = sum(histogram.values())
+    # A length that many pieces have, of which there are HOT_KEYS at most, is ranked in as many groups as it has shares.
+    shares = {s: 1 + max(n // SALT_ROWS, n * HOT_KEYS // total) for s, n in histogram.items() if n * HOT_KEYS >= total or n > SALT_ROWS}
+    salts = F.lit(1)
+    for size, n in shares.items():
+        salts = F.when(F.col("_size") == size, n).otherwise(salts)
+    salted = sized.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), salts))
     counts = salted.groupBy("_size", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_size", "_salt", (F.sum("_n").over(Window.partitionBy("_size").orderBy("_salt")) - F.col("_n")).alias("_before"))
     order = Window.partitionBy("_size", "_salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
