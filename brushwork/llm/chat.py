@@ -27,6 +27,7 @@ from .common import meet, table
 MARKS = r"^[ \t]{0,3}((?:>[ \t]?)+)"
 ATTRIBUTION = r"^[ \t]*(On|Am|Le|El)[ \t].*(wrote|schrieb|a écrit|escribió)[ \t]*:[ \t]*$"  # fixed value: lines above a quote
 BLANKS = r"[\x20\x09-\x0D]+"
+ENDS = rf"^{BLANKS}|{BLANKS}$"
 
 
 def normalised(text: Column) -> Column:
@@ -50,7 +51,7 @@ def parsed(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     spans = F.zip_with("_first", "_last", lambda a, b: F.struct(
         line(a)["level"].alias("level"), F.transform(F.slice("_lines", a + 1, b - a + 1), lambda x: normalised(x["body"])).alias("lines")))
     m = once(m, _spans=spans)
-    return m.select("conv_id", "turn", "role", F.trim(F.array_join("_own", "\n")).alias("clean"), F.transform("_spans", lambda p: F.struct(
+    return m.select("conv_id", "turn", "role", F.regexp_replace(F.array_join("_own", "\n"), ENDS, "").alias("clean"), F.transform("_spans", lambda p: F.struct(
         p["level"].alias("level"), F.md5(F.array_join(p["lines"], " ")).alias("hash"),
         F.transform(p["lines"], lambda x: F.md5(x)).alias("lines"))).alias("passages"))
 
@@ -117,7 +118,8 @@ QUERIES = {
                      coalesce(level = 0 AND regexp_matches(body, '^[ \t]*(On|Am|Le|El)[ \t].*(wrote|schrieb|a écrit|escribió)[ \t]*:[ \t]*$')
                               AND lead(level) OVER w > 0, false) AS wrote
               FROM n WINDOW w AS (PARTITION BY id ORDER BY i)),
-        c AS (SELECT id, trim(coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (WHERE level = 0 AND NOT wrote), ''), ' ') AS clean FROM e GROUP BY id),
+        c AS (SELECT id, regexp_replace(coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (WHERE level = 0 AND NOT wrote), ''),
+                                        '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS clean FROM e GROUP BY id),
         r AS (SELECT *, sum(opens::INT) OVER (PARTITION BY id ORDER BY i) AS number FROM e QUALIFY norm <> ''),
         p AS (SELECT id, conv_id, turn, number, level, string_agg(norm, ' ' ORDER BY i) AS hash, true AS whole
               FROM r GROUP BY id, conv_id, turn, number, level UNION ALL SELECT id, conv_id, turn, number, level, norm, false FROM r),

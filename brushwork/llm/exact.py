@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import SPACE, free_name, meet, same_columns, table
+from .common import SPACE, meet, table
 
 CELLS_A_ROW = 16
 MAX_CELLS = 1 << 29
@@ -82,17 +82,16 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
 def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows that stay, with all their columns: of equal texts the one with the least id. Rows that the filter knows to be
     alone are not shuffled."""
-    digest, maybe, row = (free_name(docs, x) for x in ("_digest", "_maybe", "_row"))
-    hashed = docs.withColumn(digest, F.sha2(normalised(text), 256))
-    digests = materialise(hashed.select(digest), "digests")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("tie"))
+    hashed = docs.select(row, order.alias("order"), F.sha2(normalised(text), 256).alias("digest"))
+    digests = materialise(hashed.select("digest"), "digests")
     n = cells(digests.count())
-    seen = materialise(repeated_cells(digests, digest, n), "bloom")
-    flagged = maybe_repeated(hashed, digest, seen, n, maybe)
-    order = F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    first = (flagged.where(maybe).groupBy(digest)
-             .agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias(row))
-             .select(*[F.col(row).getField(c).alias(c) for c in docs.columns]))
-    return same_columns(flagged.where(~F.col(maybe)), docs.columns).unionAll(first)
+    seen = materialise(repeated_cells(digests, "digest", n), "bloom")
+    flagged = maybe_repeated(hashed, "digest", seen, n, "maybe")
+    first = flagged.where("maybe").groupBy("digest").agg(F.min_by("row", "order").alias("row"))
+    out = flagged.where("not maybe").select("row").unionAll(first.select("row"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

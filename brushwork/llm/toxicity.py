@@ -10,7 +10,7 @@ most for the label stay. (2) The weights are fitted on the driver, to which only
 chosen by a hash of the id; their ids and labels are broadcast, so no text is shuffled.
 
 Nulls: a null text, and one without sentences, scores 0. Rows with a null label teach nothing. A repeated row is scored each
-time; an id with several labels counts as toxic if any says so. Without labels the score is 0 everywhere. Empty tables give
+time; an id with several labels counts as toxic if any says so. Without labels, or features that tell them apart, the score is 0. Empty tables give
 no rows. Other columns are carried along by `reject`.
 """
 
@@ -125,7 +125,7 @@ def fitted(rows: DataFrame, features: np.ndarray, steps: int = 400) -> tuple[flo
     """Bias and weights that maximise the likelihood of the labels under the noisy-or, with a small penalty on weights."""
     got = rows.select("_text", "_label").mapInArrow(_sampled(features), "label long, sentences long, sentence array<long>, place array<long>").toPandas()
     if got.empty or not len(features):
-        return -12.0, np.zeros(len(features))
+        return -700.0, np.zeros(len(features))
     y = got.label.to_numpy(float)
     doc = np.repeat(np.arange(len(got)), got.place.map(len))
     sent = np.concatenate([*got.sentence]).astype(np.int64)
