@@ -302,7 +302,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         assert cut[i] == (text if k else close[i])
     packed = p.STAGES[-1][1](spark, kept, folder).toPandas()
     assert set(packed.doc_id) == set(cut) and (packed.groupby("sequence_id").length.sum() <= 2048).all()
-    assert p.run(spark, folder).count() == len(packed)
+    assert p.queries() == {"pipeline": p.run} and p.oracle_sql() == {}
 
 
 def test_pipeline_of_nothing(spark, none, tmp_path):
