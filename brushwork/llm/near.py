@@ -232,8 +232,10 @@ def links(nodes: DataFrame, codes: DataFrame, least: float = SIMILAR) -> DataFra
     found, leaders_each = None, 1
     rest = lead.where("node <> leader").select("key", "node")
     while True:
-        fresh = compared(pairs, codes, least).where("similarity > 0").select("a", "b")
-        found = fresh if found is None else found.unionAll(fresh)
+        fresh = compared(pairs, codes, least)
+        done = fresh.select("a", "b") if found is None else done.unionAll(fresh.select("a", "b"))
+        close = fresh.where("similarity > 0").select("a", "b")
+        found = close if found is None else found.unionAll(close)
         roots = materialise(components(found), "roots")
         # Buckets that still hold several components; who has led one has been compared with all of it.
         rooted = rest.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
@@ -242,13 +244,16 @@ def links(nodes: DataFrame, codes: DataFrame, least: float = SIMILAR) -> DataFra
         rest = materialise(rooted.join(open_, "key"), "open")
         if rest.isEmpty():
             return found
-        # About `leaders_each` by hash, and the least node always; all, once they are as many as the nodes.
+        # About `leaders_each` by hash, and the least node always; all, once they are as many as the nodes. A node with a low
+        # hash leads in all its buckets, so that few pairs come from several of them.
         leaders_each *= FARTHER
-        leads = (F.col("node") == F.col("_least")) | (F.pmod(F.xxhash64("key", "node"), F.col("size")) < leaders_each)
+        drawn = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / float(1 << 30)
+        leads = (F.col("node") == F.col("_least")) | (drawn * F.col("size") < leaders_each)
         lead = rest.where(leads).select("key", F.col("node").alias("leader"), F.col("root").alias("_root"))
         # Each pair is compared once, whichever of its buckets it is from and whichever of the two leads.
         pairs = (rest.join(lead, "key").where("root <> _root")
-                 .select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct())
+                 .select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+                 .join(done, ["a", "b"], "left_anti"))
         rest = rest.where(~leads).select("key", "node")
 
 
