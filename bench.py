@@ -19,7 +19,7 @@ HEADLINE = (
     "hillshade", "cloudlasso_points", "nice_bins", "vl_aggregate", "profile", "outliers_iqr", "group_percentiles",
     "crossfilter_hist", "lasso_hist", "lasso_boxes", "exact_ring", "soft_hist", "soft_lasso", "line_brush", "raw_line_brush",
     "timebox", "soft_series", "cube_rollup", "cube_soft", "cube_lasso", "js_compare", "js_filter", "running_values",
-    "stream_panes", "stream_cells", "stream_clock",
+    "stream_panes", "stream_cells", "stream_clock", "active_global", "overview", "keyed_clock", "drift", "cloudlasso",
 )
 
 
