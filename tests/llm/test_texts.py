@@ -214,6 +214,24 @@ def test_scores_against_brute_force(docs, rows, none):
     assert scoring.scored(none).count() == 0
 
 
+def test_long_words_cost_bits_for_every_byte(docs):
+    rng = random.Random(5)
+    held = [i for i in range(1000, 1200) if zlib.crc32(str(i).encode()) % 10 == 0][:4]
+    words = {i: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n)) for i, n in zip(held, (50, 500, 5000, 50_000))}
+    long = docs.sparkSession.createDataFrame(list(words.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in scoring.scored(docs.select("doc_id", "text").unionAll(long)).collect() if r.doc_id in words}
+    bits = [-got[i].score / math.log10(2) for i in held]
+    assert all(b > len(words[i]) for b, i in zip(bits, held))  # random letters and digits hold more than five bits each
+    assert all(7 < b / a < 13 for a, b in zip(bits[1:], bits[2:]))
+    assert got[held[3]].bits_per_byte == pytest.approx(got[held[2]].bits_per_byte, rel=0.1)
+
+
+def test_blended_lengths_of_any_size():
+    counts, size, unseen = np.array([[0.0, 3.0, 0.0]]), np.array([10.0]), np.array([0.25])
+    got = scoring.blended(counts, size, unseen, np.array([[4.0, 4.0, 90_000.0]]))[0]
+    assert got == pytest.approx([6, -math.log2(0.75 * 0.3 + 0.25 / 16), 90_002])
+
+
 def test_word_probabilities_are_a_distribution(docs):
     """Whatever word is spelt, the bits of its first byte share out all probability."""
     _, share, _ = scoring.trained(docs)
