@@ -226,6 +226,30 @@ def test_long_words_cost_bits_for_every_byte(docs):
     assert got[held[3]].bits_per_byte == pytest.approx(got[held[2]].bits_per_byte, rel=0.1)
 
 
+def test_counters_learn_the_fitting_fold(spark):
+    """Spellings that only training fold 1 holds make new words of that spelling likely."""
+    rng = random.Random(2)
+    folds = {k: [i for i in range(3000) if zlib.crc32(str(i).encode()) % 10 == k][:60] for k in (0, 1, 2)}
+    new = lambda start: start + "".join(rng.choice("abcdefghij") for _ in range(4))
+    rows = [(i, " ".join(new("mo") for _ in range(20))) for i in folds[2]]
+    rows += [(i, " ".join(new("zqzq" if k % 2 else "mo") for k in range(20))) for i in folds[1]]
+    rows += [(folds[0][0], "zqzqkkkk"), (folds[0][1], "qzqzkkkk")]
+    got = {r.doc_id: r.bits_per_byte for r in scoring.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[folds[0][0]] < got[folds[0][1]] - 1.5
+
+
+def test_fits_are_sums_over_all_words():
+    """However the words are dealt out, weights and map come from all of them, by their counts."""
+    words, kind = [b"the", b"then", b"of", b"x" * 400], np.array([0, 1, 0, 2])
+    one, two = scoring.Model([]), scoring.Model([])
+    one.learn([w for w in words for _ in range(3)], np.repeat(kind, 3))
+    for _ in range(scoring.FITS):
+        two.step(sum(two.slopes([w], kind[i:i + 1], np.array([3.0])) for i, w in enumerate(words)))
+    two.refine(sum(two.came([w], kind[i:i + 1], np.array([3.0])) for i, w in enumerate(words)))
+    assert np.allclose(one.weights, two.weights) and np.allclose(one.map, two.map)
+    assert two.bits(words, 3).sum() < scoring.Model([]).bits(words, 3).sum()
+
+
 def test_blended_lengths_of_any_size():
     counts, size, unseen = np.array([[0.0, 3.0, 0.0]]), np.array([10.0]), np.array([0.25])
     got = scoring.blended(counts, size, unseen, np.array([[4.0, 4.0, 90_000.0]]))[0]
