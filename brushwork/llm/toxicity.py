@@ -1,7 +1,8 @@
 """Toxicity by multiple-instance learning: sentences are scored, documents are labelled.
 
 A sentence's probability is logistic in the lower-case word starts and words it holds; a document's is the noisy-or of its
-sentences, 1 - prod(1 - p). The weights are fitted to document labels through that formula, so the model itself finds which
+sentences with selected features and of one chance for the document as a whole, 1 - prod(1 - p). That chance stands for toxic
+texts without any feature; sentences without features add nothing, so length alone makes no text toxic. The weights are fitted to document labels through that formula, so the model itself finds which
 sentences made a document toxic, and can point at them.
 
 Three steps. (1) Over the training rows, documents per hashed feature and label are counted; the SELECTED features that speak
@@ -121,36 +122,36 @@ def _sampled(features: np.ndarray):
     return run
 
 
-def fitted(rows: DataFrame, features: np.ndarray, steps: int = 400) -> tuple[float, np.ndarray]:
-    """Bias and weights that maximise the likelihood of the labels under the noisy-or, with a small penalty on weights."""
+def fitted(rows: DataFrame, features: np.ndarray, steps: int = 400) -> tuple[float, float, np.ndarray]:
+    """Bias of a document, bias of a sentence with features, and weights that maximise the likelihood of the labels under the noisy-or, with a small penalty on weights."""
     got = rows.select("_text", "_label").mapInArrow(_sampled(features), "label long, sentences long, sentence array<long>, place array<long>").toPandas()
     if got.empty or not len(features):
-        return -700.0, np.zeros(len(features))
+        return -700.0, -700.0, np.zeros(len(features))
     y = got.label.to_numpy(float)
     doc = np.repeat(np.arange(len(got)), got.place.map(len))
     sent = np.concatenate([*got.sentence]).astype(np.int64)
     place = np.concatenate([*got.place]).astype(np.int64)
     keys, inside = np.unique(doc * np.int64(1 << 40) + sent, return_inverse=True)
     of = keys >> 40  # the document of each sentence with features
-    plain = got.sentences.to_numpy(float) - np.bincount(of, minlength=len(got))  # sentences without
-    theta, m, v = np.zeros(len(features) + 1), np.zeros(len(features) + 1), np.zeros(len(features) + 1)
-    theta[-1] = -6.0
+    some = (got.sentences.to_numpy() > 0).astype(float)
+    theta, m, v = np.zeros(len(features) + 2), np.zeros(len(features) + 2), np.zeros(len(features) + 2)
+    theta[-2:] = -6.0
     for t in range(1, steps + 1):
         z = theta[-1] + np.bincount(inside, theta[place], len(keys))
-        q, q0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-theta[-1]))
-        clear = np.bincount(of, np.logaddexp(0, z), len(got)) + plain * np.logaddexp(0, theta[-1])  # -log(1 - p)
+        q, q0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-theta[-2]))
+        clear = np.bincount(of, np.logaddexp(0, z), len(got)) + some * np.logaddexp(0, theta[-2])  # -log(1 - p)
         p = -np.expm1(-clear)
         # d(log-likelihood)/d(clear): -(1 - y) + y (1 - p) / p
         slope = -(1 - y) + y * np.exp(-clear) / np.maximum(p, 1e-9)
         gz = slope[of] * q
-        grad = np.append(np.bincount(place, gz[inside], len(features)), gz.sum() + (slope * plain).sum() * q0)
-        grad -= np.append(PENALTY * theta[:-1], 0)
+        grad = np.append(np.bincount(place, gz[inside], len(features)), [(slope * some).sum() * q0, gz.sum()])
+        grad[:-2] -= PENALTY * theta[:-2]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta += 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    return float(theta[-1]), theta[:-1]
+    return float(theta[-2]), float(theta[-1]), theta[:-2]
 
 
-def _scorer(features: np.ndarray, bias: float, weights: np.ndarray, worst: bool):
+def _scorer(features: np.ndarray, whole: float, bias: float, weights: np.ndarray, worst: bool):
     dense = np.zeros(1 << BITS, np.float32)
     known = np.zeros(1 << BITS, bool)
 
@@ -165,7 +166,8 @@ def _scorer(features: np.ndarray, bias: float, weights: np.ndarray, worst: bool)
                 hit = known[feature]
                 pairs = np.unique((sentence[hit] << BITS) | feature[hit])
                 z = bias + np.bincount(pairs >> BITS, dense[pairs & ((1 << BITS) - 1)], len(doc_of))
-                clear = np.bincount(doc_of, np.logaddexp(0, z), len(run_))
+                z[np.bincount(pairs >> BITS, minlength=len(doc_of)) == 0] = -np.inf
+                clear = np.bincount(doc_of, np.logaddexp(0, z), len(run_)) + np.logaddexp(0, whole) * (np.bincount(doc_of, minlength=len(run_)) > 0)
                 score[at:at + len(run_)] = -np.expm1(-clear)
                 if worst:
                     bad = np.flatnonzero(z > np.log(THRESHOLD / (1 - THRESHOLD)))
@@ -177,8 +179,8 @@ def _scorer(features: np.ndarray, bias: float, weights: np.ndarray, worst: bool)
 
 
 def trained(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic",
-            sample: int = SAMPLE) -> tuple[np.ndarray, float, np.ndarray]:
-    """The selected features, bias and weights, learned from labelled rows outside the held-out fold."""
+            sample: int = SAMPLE) -> tuple[np.ndarray, float, float, np.ndarray]:
+    """The selected features, both biases and the weights, learned from labelled rows outside the held-out fold."""
     marks = (labels.where(F.col(label).isNotNull() & (fold(doc_id, FOLDS) != HELD))
              .groupBy(F.col(doc_id).alias("_id")).agg(F.max((F.col(label) > 0).cast("long")).alias("_label")))
     n = max(marks.count(), 1)
@@ -186,8 +188,7 @@ def trained(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
     few = F.broadcast(marks.where(F.pmod(F.xxhash64(F.lit("sample"), "_id"), F.lit(n)) < sample))
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(few, "_id")
     features = chosen(rows)
-    bias, weights = fitted(rows, features)
-    return features, bias, weights
+    return features, *fitted(rows, features)
 
 
 def scored(docs: DataFrame, model, text: str = "text", keep: list[str] | None = None) -> DataFrame:

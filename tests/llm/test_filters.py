@@ -109,6 +109,16 @@ def test_toxicity_finds_documents_and_sentences(marked):
     assert kept.columns == docs.columns and kept.count() >= 490
 
 
+def test_length_alone_is_not_toxic(marked):
+    docs, labels = marked
+    model = toxicity.trained(docs, labels)
+    plain = "quiet green hills lie north of town. "
+    long = docs.sparkSession.createDataFrame([(1, plain), (2, plain * 20_000), (3, plain * 20_000 + "you utter vermin.")], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.scored(long, model).collect()}
+    assert got[2]["_score"] == pytest.approx(got[1]["_score"]) and got[2]["_score"] < toxicity.THRESHOLD
+    assert got[3]["_score"] >= toxicity.THRESHOLD and got[3]["_offending"] == [20_000]
+
+
 def test_toxicity_of_odd_rows(docs, none, marked, rows):
     model = toxicity.trained(*marked)
     got = toxicity.scored(docs, model).collect()
