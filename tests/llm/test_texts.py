@@ -82,6 +82,19 @@ def test_near_rows_keep_one_of_each(docs, none, rows):
     assert near.one_of_each(none).count() == 0 and near.classes(none).count() == 0
 
 
+@pytest.mark.parametrize("n,more", [(4, 1), (5, 1), (8, 2), (9, 2), (12, 3), (16, 4)])
+def test_short_links_always_share_a_key(n, more):
+    """n shingles, and the same with some more at either end: 0.8 or little above."""
+    rng = random.Random(n)
+    texts = []
+    for i in range(3000):
+        words, before = [f"w{rng.randrange(10**9)}" for _ in range(n + 4 + more)], rng.randint(0, more)
+        texts += [" ".join(words).encode(), " ".join(words[before:before + n + 4]).encode()]
+    keys, size = near.Shingled(texts).keys()
+    assert size[0] == n + more and size[1] == n
+    assert all(set(a.tolist()) & set(b.tolist()) for a, b in zip(keys[0::2], keys[1::2]))
+
+
 def test_no_link_of_a_bucket_is_lost(spark):
     """A chain of texts in one bucket, of which the ends are far from the leader: rounds go on until no link can be missing."""
     rng = random.Random(11)
