@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-NAMES = ("exact", "substring", "scoring", "packing", "quality", "bpe", "language", "chat", "toxicity", "near")
+NAMES = ("exact", "substring", "scoring", "packing", "quality", "bpe", "language", "chat", "toxicity", "near", "negatives")
 
 
 def _modules():
