@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 PART_BYTES = 2 << 20  # texts handled at once; a longer text is a part of its own
 
@@ -90,3 +92,26 @@ def parts(texts: Iterable[str | None], size: int = PART_BYTES) -> Iterator[tuple
         used += len(b)
     if run:
         yield at, run
+
+
+def slices(column: pa.Array, size: int = PART_BYTES) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of runs of an Arrow column of texts with about `size` bytes, read from its offsets alone."""
+    n = len(column)
+    ends = np.cumsum(np.asarray(pc.binary_length(column).fill_null(0), np.int64) + 16)
+    at = 0
+    while at < n:
+        used = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, used + size, "right")))
+        yield at, stop - at
+        at = stop
+
+
+def pieces(text: bytes, size: int) -> Iterator[bytes]:
+    """A text in pieces of at most `size` bytes, each cut after its last line end, else its last white space, else anywhere."""
+    at = 0
+    while len(text) - at > size:
+        found = [text.rfind(c, at, at + size) for c in (b"\n", b" ")]
+        cut = next((k for k in found if k > at), at + size - 1) + 1
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
