@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-NAMES = ("exact", "substring", "scoring", "packing", "quality", "bpe", "language", "chat", "toxicity", "near", "ensemble", "negatives")
+NAMES = ("exact", "substring", "scoring", "packing", "quality", "bpe", "language", "chat", "toxicity", "near", "variants", "ensemble", "negatives")
 
 
 def _modules():
