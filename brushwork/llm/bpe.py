@@ -10,7 +10,8 @@ are all that is shuffled; frequent words are sent once a block, so no word is a
 through a table that the vocabulary bounds.
 
 The merges themselves are run by tiktoken on the ranks of the given tokenizer file, which gives the ids of the tokenizers
-library (tested) several times faster.
+library (tested) several times faster. Runs of over LONG blanks, at which its pattern would backtrack without end, are cut by the
+pattern's rule beforehand: all but the last blank are one piece, and at the end of a text all are.
 
 Nulls: a null text is empty and has no ids; other columns, null or not, are carried. Rows are told apart by place, so repeated
 rows and ids are fine. An empty table gives no rows. A special token's string in a text becomes its id.
@@ -42,6 +43,11 @@ VOCABULARY = "byte_bpe_50k.json"
 # Fixed value: the pattern of byte-level BPE that cuts text before merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+# Fixed value: the characters that the pattern's \\s stands for.
+BLANKS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG = 1000
+LONG_BLANKS = re.compile(f"[{BLANKS}]{{{LONG},}}")
+
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 TWO_SPACES = re.compile(r"\s\s")
 
@@ -63,7 +69,7 @@ class Cache(dict):
         self.encode, self.before = encode, before
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.encode(self.before + word, allowed_special="all"), "<u4").tobytes()
+        ids = np.array(self.encode(self.before + word), "<u4").tobytes()
         if len(self) < CACHED_WORDS and len(word) < 64:
             self[word] = ids
         return ids
@@ -90,11 +96,30 @@ class Codec:
         if any(vocab[a + b] != 256 + k for k, (a, b) in enumerate(merges)):
             raise ValueError(f"{path}: ids don't follow the order of merges")
         self.encoding = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
-        self.first, self.later = Cache(self.encoding.encode, ""), Cache(self.encoding.encode, " ")
+        self.first, self.later = Cache(self.encode, ""), Cache(self.encode, " ")
+        self.added = added
         self.pieces = [b""] * (max([*ranks.values(), *added.values()]) + 1)
         for piece, i in [*ranks.items(), *((t.encode(), i) for t, i in added.items())]:
             self.pieces[i] = piece
 
+    def encode(self, text: str) -> list[int]:
+        if len(text) < LONG or not LONG_BLANKS.search(text):
+            return self.encoding.encode(text, allowed_special="all")
+        out: list[int] = []
+        marks = "|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))
+        for part in re.split(f"({marks})", text) if marks else [text]:
+            if part in self.added:
+                out.append(self.added[part])
+                continue
+            at = 0
+            for run in LONG_BLANKS.finditer(part):
+                stop = run.end() if run.end() == len(part) else run.end() - 1
+                out += self.encoding.encode(part[at:run.start()], allowed_special="all")
+                out += self.encoding._encode_single_piece(part[run.start():stop])
+                at = stop
+            out += self.encoding.encode(part[at:], allowed_special="all")
+        return out
+
     def ids(self, text: str) -> bytes:
         """All ids of a text as little-endian 32-bit numbers."""
         w = words(text)
@@ -201,7 +226,7 @@ def _asked(buckets: int, kind: int):
 def _answered(path: str):
     """A bucket's distinct words are encoded once; every block that asked gets its words' ids."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        encode, known, out = codec(path).encoding.encode, {}, []
+        encode, known, out = codec(path).encode, {}, []
         for r in rows.itertuples():
             sizes, text = unpressed(r.body)
             ends = np.cumsum(unplaned(sizes, 4))
@@ -209,7 +234,7 @@ def _answered(path: str):
             for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
                 w = text[a:b]
                 if w not in known:
-                    known[w] = encode(w.decode(), allowed_special="all")
+                    known[w] = encode(w.decode())
                 ids += known[w]
                 lengths.append(len(known[w]))
             out.append(pressed(planes(np.array(lengths, np.int64), 4), planes(np.array(ids, np.int64), 4)))
