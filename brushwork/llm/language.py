@@ -7,7 +7,8 @@ centroids become the means of their rows, with mean and deviation of the similar
 language of its nearest centroid by cosine; it is `rejected` where it lies farther from it than REJECT deviations beyond
 the mean of that centroid's own rows.
 
-Nulls: a null text, or one without a letter, is `und` with score 0; rows with a null language teach nothing. Where no row
+Nulls: a null text, or one without a letter, is `und` with score 0; it teaches nothing, nor do rows with a null language, so a
+language that only such texts have is not learned. Where no row
 teaches, every text is `und`. Ties go to the language first in order. Repeated rows are predicted alike. Texts in which no
 n-gram is known still get the first language, with score 0, and are rejected. Languages are assumed to be some hundreds.
 """
@@ -129,7 +130,7 @@ def _merged(rows: pd.DataFrame) -> pd.DataFrame:
 
 def trained(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id"):
     """(idf, languages, centroids, least similarities), learned outside the held-out fold; no languages if no row teaches."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (fold(doc_id, FOLDS) != HELD)).select(
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & (fold(doc_id, FOLDS) != HELD)).select(
         F.col(text).alias("_text"), F.col(lang).cast("string").alias("_lang"), F.col(doc_id).alias("_id"))
     got = rows.select("_text").mapInArrow(_frequencies, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
     n = got.set_index("place").n.reindex(np.arange(-1, DIMENSIONS)).fillna(0).to_numpy(float)
@@ -146,7 +147,8 @@ def trained(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
             .groupBy("k").applyInPandas(_merged, "k long, n long, s double, q double, total array<double>").toPandas())
     centres, least = centres.copy(), np.zeros(len(langs))
     for r in sums.itertuples():
-        centres[r.k] = r.total / max(np.linalg.norm(r.total), 1e-12)
+        total = np.asarray(r.total, float)
+        centres[r.k] = total / max(np.linalg.norm(total), 1e-12)
         mean = r.s / r.n
         least[r.k] = mean - REJECT * np.sqrt(max(r.q / r.n - mean**2, 0))
     return idf, langs, centres, least
