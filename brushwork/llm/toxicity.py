@@ -11,7 +11,8 @@ most for the label stay. (2) The weights are fitted on the driver, to which only
 chosen by a hash of the id; their ids and labels are broadcast, so no text is shuffled.
 
 Nulls: a null text, and one without sentences, scores 0. Rows with a null label teach nothing. A repeated row is scored each
-time; an id with several labels counts as toxic if any says so. Without labels, or features that tell them apart, the score is 0. Empty tables give
+time; an id with several labels counts as toxic if any says so. Without labels the score is 0; without features that tell them apart, also where all
+labels are alike, every text with a sentence takes their share. Empty tables give
 no rows. Other columns are carried along by `reject`.
 """
 
@@ -24,11 +25,12 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .common import fold, free_name, table
-from .text import Sums, Words, byte_values, parts
+from .text import Sums, Words, byte_values, parts, slices
 
 BITS = 20  # hashed features: 2^20
 PREFIXES = (4, 5, 6, 7, 8)  # bytes of a word's start that are features, beside the whole word
 SELECTED = 4096
+AT_ONCE = 1 << 19  # bytes of texts that a task handles at once; its arrays take some 50 times as much
 LEAST_GAIN = 12.0  # log-likelihood; less is chance among a million features
 SAMPLE = 50_000
 PENALTY = 0.05
@@ -66,6 +68,13 @@ def lowered(texts) -> list:
     return [t.lower() if t else t for t in texts]
 
 
+def runs(column: pa.Array):
+    """The first row of each run of texts of about AT_ONCE bytes, and those in lower case. No more of a batch is held twice."""
+    for start, n in slices(column, AT_ONCE):
+        for at, run in parts(lowered(column.slice(start, n).to_pylist()), AT_ONCE):
+            yield start + at, run
+
+
 def _counted(batches):
     """Documents per feature and label of a partition."""
     seen = np.zeros((2, 1 << BITS), np.int32)
@@ -73,7 +82,7 @@ def _counted(batches):
     for b in batches:
         labels = np.array(b.column(1).to_pylist(), np.int64)
         rows += np.bincount(labels, minlength=2)
-        for at, run in parts(lowered(b.column(0).to_pylist())):
+        for at, run in runs(b.column(0)):
             doc_of, _, sentence, feature, _ = featured(run)
             pairs = np.unique((doc_of[sentence] << BITS) | feature)
             for y in (0, 1):
@@ -107,7 +116,7 @@ def chosen(rows: DataFrame, selected: int = SELECTED) -> np.ndarray:
 def _sampled(features: np.ndarray):
     def run(batches):
         for b in batches:
-            for at, texts in parts(lowered(b.column(0).to_pylist())):
+            for at, texts in runs(b.column(0)):
                 doc_of, _, sentence, feature, _ = featured(texts)
                 place = np.minimum(np.searchsorted(features, feature), max(len(features) - 1, 0))
                 hit = features[place] == feature if len(features) else np.zeros(len(feature), bool)
@@ -125,9 +134,10 @@ def _sampled(features: np.ndarray):
 def fitted(rows: DataFrame, features: np.ndarray, steps: int = 400) -> tuple[float, float, np.ndarray]:
     """Bias of a document, bias of a sentence with features, and weights that maximise the likelihood of the labels under the noisy-or, with a small penalty on weights."""
     got = rows.select("_text", "_label").mapInArrow(_sampled(features), "label long, sentences long, sentence array<long>, place array<long>").toPandas()
-    if got.empty or not len(features):
-        return -700.0, -700.0, np.zeros(len(features))
     y = got.label.to_numpy(float)
+    if got.empty or not len(features):  # nothing tells documents apart: all that have a sentence take the share of the labels
+        held = y[got.sentences.to_numpy() > 0]
+        return float(np.log((held.sum() + 0.5) / (len(held) - held.sum() + 0.5))) if len(held) else -700.0, -700.0, np.zeros(len(features))
     doc = np.repeat(np.arange(len(got)), got.place.map(len))
     sent = np.concatenate([*got.sentence]).astype(np.int64)
     place = np.concatenate([*got.place]).astype(np.int64)
@@ -151,7 +161,8 @@ def fitted(rows: DataFrame, features: np.ndarray, steps: int = 400) -> tuple[flo
     return float(theta[-2]), float(theta[-1]), theta[:-2]
 
 
-def _scorer(features: np.ndarray, whole: float, bias: float, weights: np.ndarray, worst: bool):
+def _scorer(features: np.ndarray, whole: float, bias: float, weights: np.ndarray, text_at: int, keep: int):
+    """The first `keep` columns of each batch, with scores and offending sentences of the column `text_at`."""
     dense = np.zeros(1 << BITS, np.float32)
     known = np.zeros(1 << BITS, bool)
 
@@ -159,9 +170,8 @@ def _scorer(features: np.ndarray, whole: float, bias: float, weights: np.ndarray
         dense[features] = weights
         known[features] = True
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
-            score, where = np.zeros(len(texts)), [None] * len(texts)
-            for at, run_ in parts(lowered(texts)):
+            score, where = np.zeros(b.num_rows), [None] * b.num_rows
+            for at, run_ in runs(b.column(text_at)):
                 doc_of, order, sentence, feature, _ = featured(run_)
                 hit = known[feature]
                 pairs = np.unique((sentence[hit] << BITS) | feature[hit])
@@ -169,11 +179,10 @@ def _scorer(features: np.ndarray, whole: float, bias: float, weights: np.ndarray
                 z[np.bincount(pairs >> BITS, minlength=len(doc_of)) == 0] = -np.inf
                 clear = np.bincount(doc_of, np.logaddexp(0, z), len(run_)) + np.logaddexp(0, whole) * (np.bincount(doc_of, minlength=len(run_)) > 0)
                 score[at:at + len(run_)] = -np.expm1(-clear)
-                if worst:
-                    bad = np.flatnonzero(z > np.log(THRESHOLD / (1 - THRESHOLD)))
-                    for d in np.unique(doc_of[bad]):
-                        where[at + d] = order[bad[doc_of[bad] == d]].tolist()
-            out = [b.column(i) for i in range(b.num_columns - 1)] + [pa.array(score)]
+                bad = np.flatnonzero(z > np.log(THRESHOLD / (1 - THRESHOLD)))
+                for d in np.unique(doc_of[bad]):
+                    where[at + d] = order[bad[doc_of[bad] == d]].tolist()
+            out = [b.column(i) for i in range(keep)] + [pa.array(score)]
             yield pa.RecordBatch.from_arrays(out + [pa.array(where, pa.list_(pa.int64()))], [f"c{i}" for i in range(len(out) + 1)])
     return run
 
@@ -194,12 +203,12 @@ def trained(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
 def scored(docs: DataFrame, model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep`, then _score and _offending: the numbers, from 0, of sentences that are toxic by themselves."""
     keep = docs.columns if keep is None else keep
-    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]
-    rows = docs.select(*own, F.col(text).alias("_text"))
+    names = keep if text in keep else [*keep, text]  # a text that is kept travels once
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     kinds = [rows.schema[f"c{i}"].dataType.simpleString() for i in range(len(keep))]
     n = len(keep)
     schema = ", ".join([*[f"c{i} {k}" for i, k in enumerate(kinds)], f"c{n} double", f"c{n + 1} array<bigint>"])
-    out = rows.mapInArrow(_scorer(*model, True), schema)
+    out = rows.mapInArrow(_scorer(*model, names.index(text), n), schema)
     score, bad = free_name(docs, "_score"), free_name(docs, "_offending")
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], F.col(f"c{n}").alias(score), F.col(f"c{n + 1}").alias(bad))
 
