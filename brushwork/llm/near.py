@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import discard, materialise
 from .common import meet, table
 from .text import Sums, Words, mixed, parts
 
@@ -243,11 +243,35 @@ def compared(pairs: DataFrame, codes: DataFrame, least: float) -> DataFrame:
     rows = pairs.join(codes.select(F.col("node").alias("b"), F.col("codes").alias("right")), "b")
     leaders = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_pairs")).join(codes.select(F.col("node").alias("a"), F.col("codes").alias("left")), "a")
     both = meet(rows, leaders, "a", "_pairs", total).select("a", "b", "left", "right")
-    return materialise(both.mapInArrow(_compared(least), "a binary, b binary, similarity double, jaccard double"), "compared")
+    out = materialise(both.mapInArrow(_compared(least), "a binary, b binary, similarity double, jaccard double"), "compared")
+    discard(pairs)
+    return out
+
+
+def hooked(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, root) of the components of the links met so far, from those of earlier links and the new links alone: these join
+    roots, so only the graph of roots that they span is worked on."""
+    if roots is None:
+        return materialise(components(links), "roots")
+    of = lambda c: F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c)
+    ends = links
+    for c in ("a", "b"):
+        ends = ends.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")), c, "left")
+    moved = materialise(components(ends.select(of("a"), of("b"))), "moved")
+    low = moved.select(F.col("node").alias("root"), F.col("root").alias("_root"))
+    out = roots.join(low, "root", "left").select("node", F.coalesce("_root", "root").alias("root")).unionAll(moved)
+    out = materialise(out, "roots")
+    discard(roots, moved)
+    return out
 
 
 def links(nodes: DataFrame, codes: DataFrame, least: float = SIMILAR) -> DataFrame:
     """Links (a, b) between nodes that share a bucket, enough of them that the components are those of all links."""
+    return searched(nodes, codes, least)[0]
+
+
+def searched(nodes: DataFrame, codes: DataFrame, least: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
+    """`links`, and (node, root) of their components for all nodes that aren't roots."""
     members = nodes.select(F.explode("keys").alias("key"), "node")
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("leader")).where("size > 1")
     shared = materialise(shared, "buckets")
@@ -255,29 +279,34 @@ def links(nodes: DataFrame, codes: DataFrame, least: float = SIMILAR) -> DataFra
     # Round one: one leader a bucket.
     lead = materialise(meet(members, shared, "key", "size", total).select("key", "node", "size", "leader"), "members")
     pairs = lead.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    found, leaders_each = None, 1
-    rest = lead.where("node <> leader").select("key", "node")
+    found, done, roots, leaders_each = None, None, None, 1
+    rest, source = lead.where("node <> leader").select("key", "node"), lead
+    keys = nodes.select("node", "keys")
     while True:
         fresh = compared(pairs, codes, least)
-        done = fresh.select("a", "b") if found is None else done.unionAll(fresh.select("a", "b"))
+        done = fresh.select("a", "b") if done is None else done.unionAll(fresh.select("a", "b"))
         close = fresh.where("similarity > 0").select("a", "b")
         found = close if found is None else found.unionAll(close)
-        roots = materialise(components(found), "roots")
+        roots = hooked(roots, close)
         # Buckets that still hold several components; who has led one has been compared with all of it.
         rooted = rest.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         open_ = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("_low"), F.max("root").alias("_high"), F.min("node").alias("_least"))
         open_ = open_.where("_low <> _high").select("key", "size", "_least")
         rest = materialise(rooted.join(open_, "key"), "open")
+        discard(source)
+        source = rest
         if rest.isEmpty():
-            return found
+            return found, roots
         # About `leaders_each` by hash, and the least node always; all, once they are as many as the nodes. A node with a low
         # hash leads in all its buckets, so that few pairs come from several of them.
         leaders_each *= FARTHER
         drawn = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / float(1 << 30)
         leads = (F.col("node") == F.col("_least")) | (drawn * F.col("size") < leaders_each)
-        lead = rest.where(leads).select("key", F.col("node").alias("leader"), F.col("root").alias("_root"))
-        # Each pair is compared once, whichever of its buckets it is from and whichever of the two leads.
-        pairs = (rest.join(lead, "key").where("root <> _root")
+        # Each pair is compared once: in the least of the keys that both have, whichever of the two leads there. That bucket is
+        # open while their roots differ, and goes on until all of its nodes have led.
+        all_keys = rest.join(keys, "node")
+        lead = all_keys.where(leads).select("key", F.col("node").alias("leader"), F.col("root").alias("_root"), F.col("keys").alias("_keys"))
+        pairs = (all_keys.join(lead, "key").where((F.col("root") != F.col("_root")) & (F.array_min(F.array_intersect("keys", "_keys")) == F.col("key")))
                  .select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
                  .join(done, ["a", "b"], "left_anti"))
         rest = rest.where(~leads).select("key", "node")
@@ -298,11 +327,13 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("_n"))
         large = meet(both, least, "a", "_n", total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = materialise(large, "large")
+        before = edges
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("_n"))
         joined = meet(down, least, "a", "_n", max(now[0], 1))
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         edges = materialise(small, "small")
+        discard(before, large)
         was, now = now, state(edges)
         if now == was:
             break
@@ -322,7 +353,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
     near = materialise(near, "near")
     words = own.select("_text").mapInArrow(_coded, "node binary, codes binary").join(near, "node", "left_semi").dropDuplicates(["node"])
     codes = materialise(words, "codes")
-    roots = components(links(nodes.join(near, "node", "left_semi"), codes, least))
+    roots = searched(nodes.join(near, "node", "left_semi"), codes, least)[1]
     rooted = materialise(
         nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
     total = rows.count()
