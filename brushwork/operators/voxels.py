@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -141,3 +142,28 @@ def cloud_lasso(df: DataFrame, x: str, y: str, z: str, inside: Column, grids: Se
     for k, c, g in zip(KEYS, (x, y, z), grids):
         keyed = keyed.withColumn(f"_{k}", g.cell(F.col(c)))
     return keyed.join(kept, [f"_{k}" for k in KEYS], "left_semi").drop(*[f"_{k}" for k in KEYS])
+
+
+@dataclass(frozen=True)
+class CloudStates:
+    """A CloudLasso whose lasso holds still: counts per voxel and chart group, from which any `structure` is answered. The points
+    are read once; a moved threshold labels the stored voxels anew, of which there are at most as many as the grids have."""
+
+    states: DataFrame  # i, j, k, the groups, n
+    groups: tuple[str, ...]
+
+    def voxels(self, structure: float | None) -> DataFrame:
+        """The voxels kept: those of the largest dense region, or all of them without `structure`."""
+        counts = self.states.groupBy(*KEYS).agg(F.sum("n").alias("n"))
+        return counts.select(*KEYS) if structure is None else largest_region(counts, structure).select(*KEYS)
+
+    def rollup(self, structure: float | None) -> DataFrame:
+        """The chart: points kept per group."""
+        return self.states.join(self.voxels(structure), list(KEYS), "left_semi").groupBy(*self.groups).agg(F.sum("n").alias("n"))
+
+
+def cloud_states(df: DataFrame, x: str, y: str, z: str, inside: Column, grids: Sequence[PixelGrid], groups: Mapping[str, Column]) -> CloudStates:
+    """Warm-up: the points in the lasso, counted per voxel and group and written. Points off the grids are in no voxel."""
+    keyed = df.where(inside).select(*[g.cell(F.col(c)).alias(k) for k, c, g in zip(KEYS, (x, y, z), grids)], *[c.alias(n) for n, c in groups.items()])
+    counts = keyed.dropna(subset=list(KEYS)).groupBy(*KEYS, *groups).agg(F.count(F.lit(1)).alias("n"))
+    return CloudStates(materialise(counts, "cloud"), tuple(groups))

@@ -1,9 +1,9 @@
 """The registered queries: operators over the given tables, with the SQL each
 result is checked against."""
 
-from . import expressions, feeds, grids, insight, selections, transforms
+from . import expressions, feeds, grids, insight, regions, selections, transforms
 
-MODULES = (grids, transforms, insight, selections, expressions, feeds)
+MODULES = (grids, transforms, insight, selections, regions, expressions, feeds)
 
 
 def queries():

@@ -244,8 +244,11 @@ LASSO_VOXELS = f"""WITH {POINTS}, {SCREEN}, v AS (
 
 def cloudlasso(spark, d):
     """Voxels of the largest dense region under the lasso, and how many regions there are."""
-    counts = tables.materialise(lasso_voxels(spark, d))
-    return voxels.largest_region(counts, STRUCTURE)
+    return largest_voxels(spark, d)
+
+
+def largest_voxels(spark, d):
+    return voxels.largest_region(tables.materialise(lasso_voxels(spark, d)), STRUCTURE)
 
 
 CLOUDLASSO = LASSO_VOXELS.replace("WITH", "WITH RECURSIVE", 1) + f""",

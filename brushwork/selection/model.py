@@ -6,12 +6,12 @@ from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import lru_cache
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import degree as soft
 from . import lasso
-from .lasso import Axis
+from .lasso import Axis, Box
 from .pixels import PixelGrid
 from .values import OneOf, Range, Tuple, all_of, any_of, canonical, tuple_holds, unique
 
@@ -96,6 +96,8 @@ class Contribution:
     producer: Producer
     tuples: tuple[Tuple, ...]
     partial: Mapping[object, float] = field(default_factory=dict)
+    boxes: tuple[Box, ...] = ()  # cells given as boxes, such as a lasso's runs, in the order of the projections
+    cells: DataFrame | None = field(default=None, compare=False)  # cells given as a table, one column a projection
 
     @property
     def effective(self) -> list[Tuple]:
@@ -142,6 +144,21 @@ class Selections:
         tuples = unique([_checked(p, t) for t in tuples])
         return self._with(p.selection, {**own, p.address: Contribution(p, tuple(tuples), partial or {})})
 
+    def set_boxes(self, p: Producer, boxes: Iterable[Box]) -> "Selections":
+        """Replace a contribution by boxes of cells, however many; every projection has a pixel grid."""
+        own = self.set(p, [])
+        _gridded(p)
+        return self._with(p.selection, {**own.of(p.selection), p.address: Contribution(p, (), boxes=tuple(boxes))})
+
+    def set_cells(self, p: Producer, cells: DataFrame) -> "Selections":
+        """Replace a contribution by a table of cells, one column a projection in its order, such as the voxels of a
+        CloudLasso. Applied as a join: `steps.holds`, `steps.kept` and `steps.fades`."""
+        own = self.set(p, [])
+        _gridded(p)
+        if len(cells.columns) != len(p.projections):
+            raise ValueError(f"a cell of {p.name} has {len(p.projections)} indices")
+        return self._with(p.selection, {**own.of(p.selection), p.address: Contribution(p, (), cells=cells)})
+
     def toggle(self, p: Producer, tuples: Iterable[Tuple]) -> "Selections":
         """Whole tuples leave where they are present and join where not. The
         last tuple to leave takes its contribution with it."""
@@ -171,6 +188,12 @@ class Selections:
         return self._with(selection, {})
 
 
+def _gridded(p: Producer) -> None:
+    for i, _ in p.projections:
+        if p.grid(i) is None:
+            raise ValueError(f"{i} needs a pixel grid in the producer's definition")
+
+
 def _checked(p: Producer, t: Tuple) -> Tuple:
     ids = [i for i, _ in p.projections]
     if set(t) != set(ids):
@@ -232,6 +255,11 @@ def columns(p: Producer, mappings: Mappings | None = None) -> dict[str, Column]:
 
 def contribution_holds(c: Contribution, at: Mapping[str, Axis]) -> Column:
     tuples, ids = c.effective, [i for i, _ in c.producer.projections]
+    if c.cells is not None or c.boxes:
+        found = None if c.cells is not None else lasso.in_boxes([at[i] for i in ids], c.boxes)
+        if found is None:
+            raise ValueError(f"{c.producer.name} selects more cells than an expression holds: use the functions of `steps`")
+        return found
     if len(tuples) >= lasso.MIN_TUPLES and all(c.producer.grid(i) is not None for i in ids):
         boxes = [lasso.box_of([t[i] for i in ids]) for t in tuples]
         if all(b is not None for b in boxes):
@@ -258,45 +286,51 @@ def _used(f: Use, view: str, selections: Selections) -> tuple[str, list[Contribu
     return ("inactive" if not every else "excluded" if not kept else "active"), kept
 
 
-def predicate(f: Filter, view: str, selections: Selections, mappings: Mappings | None = None) -> Column:
+def predicate(f: Filter, view: str, selections: Selections, mappings: Mappings | None = None, leaf=None) -> Column:
     """The filter of one view as a Boolean column that is never NULL. Every
-    branch is resolved, so a missing name is an error wherever it stands."""
+    branch is resolved, so a missing name is an error wherever it stands.
+    `leaf` tests one contribution, by default `contribution_holds`."""
+    leaf = leaf or contribution_holds
     if isinstance(f, All):
-        return all_of([predicate(x, view, selections, mappings) for x in f.of])
+        return all_of([predicate(x, view, selections, mappings, leaf) for x in f.of])
     if isinstance(f, Any):
-        return any_of([predicate(x, view, selections, mappings) for x in f.of])
+        return any_of([predicate(x, view, selections, mappings, leaf) for x in f.of])
     if isinstance(f, Not):
-        return ~predicate(f.of, view, selections, mappings)
+        return ~predicate(f.of, view, selections, mappings, leaf)
     status, kept = _used(f, view, selections)
     if status == "inactive":
         return F.lit(f.empty == "all")
     if status == "excluded":
         return F.lit(True)
-    parts = [contribution_holds(c, axes(c.producer, mappings)) for c in kept]
+    parts = [leaf(c, axes(c.producer, mappings)) for c in kept]
     return all_of(parts) if selections.resolutions[f.selection] == "intersect" else any_of(parts)
 
 
-def degree(f: Filter, view: str, selections: Selections, width: float, mappings: Mappings | None = None) -> Column:
+def degree(f: Filter, view: str, selections: Selections, width: float, mappings: Mappings | None = None, leaf=None) -> Column:
     """A degree in [0, 1]: 1 where the predicate holds, falling to 0 at `width`
-    pixels. AND takes the least, OR the greatest, NOT the complement."""
+    pixels. AND takes the least, OR the greatest, NOT the complement. `leaf`
+    gives the degree of one contribution, by default `contribution_degree`."""
     soft.check_width(width)
+    leaf = leaf or contribution_degree
     if isinstance(f, All):
-        return soft.fold([degree(x, view, selections, width, mappings) for x in f.of], least=True)
+        return soft.fold([degree(x, view, selections, width, mappings, leaf) for x in f.of], least=True)
     if isinstance(f, Any):
-        return soft.fold([degree(x, view, selections, width, mappings) for x in f.of], least=False)
+        return soft.fold([degree(x, view, selections, width, mappings, leaf) for x in f.of], least=False)
     if isinstance(f, Not):
-        return F.lit(1.0) - degree(f.of, view, selections, width, mappings)
+        return F.lit(1.0) - degree(f.of, view, selections, width, mappings, leaf)
     status, kept = _used(f, view, selections)
     if status == "inactive":
         return F.lit(1.0 if f.empty == "all" else 0.0)
     if status == "excluded":
         return F.lit(1.0)
-    parts = [contribution_degree(c, axes(c.producer, mappings), width) for c in kept]
+    parts = [leaf(c, axes(c.producer, mappings), width) for c in kept]
     return soft.fold(parts, selections.resolutions[f.selection] == "intersect")
 
 
 def contribution_degree(c: Contribution, at: Mapping[str, Axis], width: float) -> Column:
     ids = [i for i, _ in c.producer.projections]
+    if c.cells is not None or c.boxes:
+        raise ValueError(f"{c.producer.name} selects cells: use `steps.fades`")
     tuples = c.effective
     if not any(isinstance(test, Range) for t in tuples for test in t.values()):
         rest = F.lit(0.0)
