@@ -43,7 +43,7 @@ def _profile_sql(table, columns, where="", suffix=""):
 
 def tables_overview(spark, d):
     o = prof.overview({t: load(spark, d, t) for t in TABLES})
-    return o.where("type IN ('bigint', 'int', 'double', 'string')").select("table", "position", "column", "type", "rows", "min", "max", "distinct")
+    return o.select("table", "position", "column", "type", "rows", "min", "max", "distinct")
 
 
 ALL_COLUMNS = {
@@ -52,11 +52,11 @@ ALL_COLUMNS = {
     "customer": [("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_acctbal", "double"), ("c_mktsegment", "string")],
     "supplier": [("s_suppkey", "bigint"), ("s_name", "string"), ("s_nationkey", "int"), ("s_acctbal", "double")],
     "part": [("p_partkey", "bigint"), ("p_name", "string"), ("p_brand", "string"), ("p_type", "string"), ("p_size", "int"), ("p_retailprice", "double")],
-    "orders": [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_totalprice", "double"), ("o_orderdate", None), ("o_orderpriority", "string")],
-    "lineitem": [(c, k if k != "timestamp_ntz" else None) for c, k in LINEITEM],
-    "events": [("event_id", "bigint"), ("ts", None), ("user_id", "bigint"), ("event_type", "string"), ("value", "double"), ("props", "string")],
+    "orders": [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_totalprice", "double"), ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string")],
+    "lineitem": LINEITEM,
+    "events": [("event_id", "bigint"), ("ts", "timestamp_ntz"), ("user_id", "bigint"), ("event_type", "string"), ("value", "double"), ("props", "string")],
     "documents": DOCUMENTS,
-    "embeddings": [("vec_id", "bigint"), ("embedding", None), ("label", "int")],
+    "embeddings": [("vec_id", "bigint"), ("embedding", "array<float>"), ("label", "int")],
     "pages": [("page_id", "bigint"), ("url", "string"), ("html", "string")],
     "benchmark": [("item_id", "bigint"), ("text", "string")],
     "labels": [("doc_id", "bigint"), ("quality", "int"), ("toxic", "int")],
@@ -68,43 +68,58 @@ def _overview_sql():
     parts = []
     for t, columns in ALL_COLUMNS.items():
         for i, (c, kind) in enumerate(columns):
-            if kind is None:
-                continue
-            stats = f"NULL::DOUBLE AS min, NULL::DOUBLE AS max, count(DISTINCT {c}) AS \"distinct\"" if kind == "string" else \
+            none = "NULL::DOUBLE AS min, NULL::DOUBLE AS max"
+            stats = f"{none}, count(DISTINCT {c}) AS \"distinct\"" if kind == "string" else \
+                f"{none}, NULL::BIGINT AS \"distinct\"" if kind in ("timestamp_ntz", "array<float>") else \
                 f"CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, NULL::BIGINT AS \"distinct\""
             parts.append(f"SELECT '{t}' AS \"table\", {i} AS position, '{c}' AS \"column\", '{kind}' AS type, count(*) AS \"rows\", {stats} FROM {t}")
     return " UNION ALL ".join(parts)
 
 
+def _half():
+    return F.when(F.col("l_shipdate") < "1998-01-01", "old").when(F.month("l_shipdate") <= 6, "first").otherwise("second")
+
+
 def _early(spark, d):
-    """Line items of the years before 1998 without their tax, and without open ones."""
-    return load(spark, d, "lineitem").where("l_shipdate < '1998-01-01' AND l_linestatus = 'F'").drop("l_tax").select(
-        "l_orderkey", "l_quantity", "l_returnflag", "l_linestatus", F.lit("early").alias("note"))
+    """Line items of the years before 1998, all columns but their tax."""
+    return load(spark, d, "lineitem").where("l_shipdate < '1998-01-01'").drop("l_tax").withColumn("half", _half()).withColumn("note", F.lit("early"))
 
 
 def _late(spark, d):
-    """The later ones, with tax; every order key above the median is a thousand times larger."""
+    """All others, with tax; the highest order key is a thousand times larger."""
     t = load(spark, d, "lineitem").where("l_shipdate >= '1998-01-01'")
     top = t.agg(F.max("l_orderkey")).scalar()
-    return t.select(F.when(F.col("l_orderkey") == top, F.col("l_orderkey") * 1000).otherwise(F.col("l_orderkey")).alias("l_orderkey"),
-                    "l_quantity", "l_returnflag", "l_linestatus", "l_tax")
+    return t.withColumn("l_orderkey", F.when(F.col("l_orderkey") == top, F.col("l_orderkey") * 1000).otherwise(F.col("l_orderkey"))).withColumn("half", _half())
 
 
 def drift(spark, d):
+    """What changed between the profiles of early and late line items, over all their rows and columns."""
     out = prof.drift(prof.profile(_early(spark, d)), prof.profile(_late(spark, d)))
     return out.select("column", "change", "was", "now", r("percent", 4).alias("percent"))
 
 
-DRIFT = """WITH a AS (SELECT l_orderkey, l_linestatus FROM lineitem WHERE l_shipdate < '1998-01-01' AND l_linestatus = 'F'),
-b AS (SELECT CASE WHEN l_orderkey = max(l_orderkey) OVER () THEN l_orderkey * 1000 ELSE l_orderkey END AS k, l_linestatus, l_tax FROM lineitem WHERE l_shipdate >= '1998-01-01'),
-s AS (SELECT (SELECT count(*) FROM a) AS ra, (SELECT count(*) FROM b) AS rb),
-f AS (SELECT (SELECT max(l_orderkey) - quantile_cont(l_orderkey::DOUBLE, 0.999) > 0.5 * (quantile_cont(l_orderkey::DOUBLE, 0.999) - min(l_orderkey)) FROM a) AS fa,
-  (SELECT max(k) - quantile_cont(k::DOUBLE, 0.999) > 0.5 * (quantile_cont(k::DOUBLE, 0.999) - min(k)) FROM b) AS fb)
+def _drift_sql():
+    parts, far = [], lambda c, t: f"(SELECT max({c}) - quantile_cont({c}::DOUBLE, 0.999) > 0.5 * greatest(abs(quantile_cont({c}::DOUBLE, 0.999) - min({c})), 1e-9) FROM {t})"
+    for c, kind in LINEITEM:
+        if c == "l_tax":
+            continue
+        if kind in ("bigint", "int", "double"):
+            parts.append(f"""SELECT '{c}' AS "column", 'extreme value' AS change, (SELECT max({c}) FROM a)::DOUBLE AS was, (SELECT max({c}) FROM b)::DOUBLE AS now, NULL AS percent
+WHERE {far(c, 'b')} AND NOT {far(c, 'a')}""")
+    for c in [c for c, kind in LINEITEM if kind not in ("bigint", "int", "double")] + ["half"]:
+        count = lambda t: f"(SELECT count(DISTINCT {c}) FROM {t})"
+        parts.append(f"SELECT '{c}', 'new categories', {count('a')}::DOUBLE, {count('b')}::DOUBLE, NULL WHERE {count('b')} <= 50 AND {count('b')} > {count('a')}")
+    return """WITH n AS (SELECT *, CASE WHEN l_shipdate < '1998-01-01' THEN 'old' WHEN month(l_shipdate) <= 6 THEN 'first' ELSE 'second' END AS half FROM lineitem),
+a AS (SELECT * FROM n WHERE l_shipdate < '1998-01-01'),
+b AS (SELECT * REPLACE (CASE WHEN l_orderkey = max(l_orderkey) OVER () THEN l_orderkey * 1000 ELSE l_orderkey END AS l_orderkey) FROM n WHERE l_shipdate >= '1998-01-01'),
+s AS (SELECT (SELECT count(*) FROM a) AS ra, (SELECT count(*) FROM b) AS rb)
 SELECT '*' AS "column", 'rows' AS change, ra::DOUBLE AS was, rb::DOUBLE AS now, round((rb::DOUBLE - ra) / ra * 100, 4) AS percent FROM s WHERE ra <> rb
 UNION ALL SELECT 'note', 'removed column', 1.0, NULL, NULL
 UNION ALL SELECT 'l_tax', 'new column', NULL, (SELECT count(DISTINCT l_tax) FROM b)::DOUBLE, NULL
-UNION ALL SELECT 'l_linestatus', 'new categories', (SELECT count(DISTINCT l_linestatus) FROM a)::DOUBLE, (SELECT count(DISTINCT l_linestatus) FROM b)::DOUBLE, NULL
-UNION ALL SELECT 'l_orderkey', 'extreme value', (SELECT max(l_orderkey) FROM a)::DOUBLE, (SELECT max(k) FROM b)::DOUBLE, NULL FROM f WHERE fb AND NOT fa"""
+UNION ALL """ + "\nUNION ALL ".join(parts)
+
+
+DRIFT = _drift_sql()
 
 
 def facts_rank(spark, d):

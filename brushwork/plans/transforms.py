@@ -311,13 +311,13 @@ FROM events WINDOW w AS (ORDER BY event_id % 3, event_id ROWS UNBOUNDED PRECEDIN
 
 
 def column_types(spark, d):
-    """The parameters of json-in-text and array columns, through the same formulas."""
-    e = load(spark, d, "embeddings").select("label", F.get("embedding", 0).cast("double").alias("x"), F.get("embedding", 1).cast("double").alias("y"))
-    return e.groupBy("label", grid.cell("x", 0.1).alias("i")).agg(F.count("*").alias("n"), r(F.max("y")).alias("y"))
+    """An array column as rows: a histogram of every component per label, with its highest value per bin."""
+    e = load(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("k", "x")).withColumn("x", F.col("x").cast("double"))
+    return e.groupBy("label", F.col("k").cast("long").alias("k"), grid.cell("x", 0.1).alias("i")).agg(F.count("*").alias("n"), r(F.max("x")).alias("top"))
 
 
-COLUMN_TYPES = """SELECT label, CAST(floor(CAST(embedding[1] AS DOUBLE) / 0.1) AS BIGINT) AS i, count(*) AS n,
-round(max(CAST(embedding[2] AS DOUBLE)), 6) AS y FROM embeddings GROUP BY 1, 2"""
+COLUMN_TYPES = """SELECT label, k, CAST(floor(x / 0.1) AS BIGINT) AS i, count(*) AS n, round(max(x), 6) AS top FROM (
+SELECT label, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS k, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY ALL"""
 
 QUERIES = {
     "running_nulls": (running_nulls, RUNNING_NULLS),
