@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clock as clocks
 from ..session import scratch_path
-from ..streaming import feeds, live
+from ..streaming import feeds, keyed, live
 from ..selection import series
 from .data import FEED, feed, load, r, seconds
 
@@ -77,6 +77,55 @@ def stream_rate(spark, d):
 RATE = """SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) - 1704067200 AS second, count(*) AS n FROM events GROUP BY 1"""
 
 
+def stream_windows(spark, d):
+    """Highest value and count per cell in windows of a week that slide by a day, as they close two days behind the feed."""
+    path = scratch_path(spark, "windows")
+    feeds.run(live.sliding(_stream(spark, d), "u", "value", "value", CELL, "ts", "7 days", "1 day", "2 days"), feeds.to_table(path))
+    return feeds.read_table(spark, path).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "cx", "cy", F.col("z__hi").alias("zmax"), F.col("rows__").alias("n"))
+
+
+WINDOWS = """WITH e AS (SELECT *, CAST(floor(epoch_us(ts) / 86400e6) AS BIGINT) AS k FROM events),
+w AS (SELECT *, k - unnest(range(0, 7)) AS s FROM e)
+SELECT strftime(make_timestamp(s * 86400000000), '%Y-%m-%d') AS day, CAST(floor(user_id / 25) AS BIGINT) AS cx, CAST(floor(value / 50) AS BIGINT) AS cy, max(value) AS zmax, count(*) AS n
+FROM w WHERE (s + 7) * 86400000 <= (SELECT floor(max(epoch_us(ts)) / 1000) - 2 * 86400000 FROM events) GROUP BY 1, 2, 3"""
+
+
+def rate_kept(spark, d):
+    """Events per closed hour, of the last nine days only: what is older leaves the table."""
+    table = live.RateTable(spark, 9 * 86400.0)
+    feeds.run(live.rate(_stream(spark, d), "ts", "1 hour", "1 day"), table)
+    return table.read().select((F.col("start") - 1704067200).alias("second"), "n")
+
+
+RATE_KEPT = """WITH b AS (SELECT CAST(floor(epoch_us(ts) / 3600e6) AS BIGINT) AS h, count(*) AS n FROM events GROUP BY 1),
+c AS (SELECT * FROM b WHERE (h + 1) * 3600000 <= (SELECT floor(max(epoch_us(ts)) / 1000) - 86400000 FROM events))
+SELECT h * 3600 - 1704067200 AS second, n FROM c WHERE h * 3600 >= (SELECT max(h) * 3600 - 9 * 86400 FROM c)"""
+
+
+def grid_trace(spark, d):
+    """The grid's factor and cells after each day of the feed, with a budget of 30 cells a week."""
+    table = live.CellTable(spark, "u", "value", "value", CELL, "t", 86400.0, 7 * 86400.0)
+    feeds.run(_stream(spark, d), table)
+    return live.grid_trace(table.states(), 7, 30).select("pane", "factor", "cells", "next")
+
+
+TRACE = f"""WITH RECURSIVE {FEED}, h AS (SELECT DISTINCT CAST(floor(t / 86400) AS BIGINT) AS pane, CAST(floor(user_id / 25) AS BIGINT) AS cx, CAST(floor(value / 50) AS BIGINT) AS cy FROM f),
+o AS (SELECT pane, row_number() OVER (ORDER BY pane) AS i FROM (SELECT DISTINCT pane FROM h)),
+c AS (SELECT i, o.pane, factor, count(DISTINCT (floor(cx / factor), floor(cy / factor))) AS cells
+  FROM o, h, (SELECT unnest([1, 2, 4, 8, 16]) AS factor) WHERE h.pane BETWEEN o.pane - 7 AND o.pane GROUP BY 1, 2, 3),
+n AS (SELECT *, CASE WHEN cells > 45 AND factor < 16 THEN factor * 2 WHEN cells < 10 AND factor > 1 THEN factor // 2 ELSE factor END AS next FROM c),
+g AS (SELECT i, pane, factor, cells, next FROM n WHERE i = 1 AND factor = 1
+  UNION ALL SELECT n.i, n.pane, n.factor, n.cells, n.next FROM g JOIN n ON n.i = g.i + 1 AND n.factor = g.next)
+SELECT pane, CAST(factor AS INTEGER) AS factor, cells, CAST(next AS INTEGER) AS next FROM g"""
+
+
+def state_clock(spark, d):
+    """A clock per event type out of Spark's state store, with late rows in their place: days closed two days behind the feed."""
+    path = scratch_path(spark, "state-clock")
+    feeds.run(keyed.clocked(_stream(spark, d), "event_type", "event_id", "ts", "t", 600.0, 86400, "2 days"), feeds.to_table(path))
+    return feeds.read_table(spark, path).select(F.col("id").alias("event_id"), r("clock", 3).alias("clock"))
+
+
 def stream_hist(spark, d):
     """A histogram over a table that grows batch by batch."""
     last = live.Latest(spark, "hist")
@@ -118,7 +167,15 @@ def keyed_clock(spark, d):
 KEYED_CLOCK = f"""WITH {FEED}, g AS (SELECT event_id, event_type, t, greatest(0.0, least(600.0::DOUBLE, coalesce(t - lag(t) OVER (PARTITION BY event_type ORDER BY t), 0))) AS d FROM f)
 SELECT event_id, round(sum(d) OVER (PARTITION BY event_type ORDER BY t), 3) AS clock FROM g"""
 
+STATE_CLOCK = f"""WITH {FEED}, g AS (SELECT event_id, event_type, t, greatest(0.0, least(600.0::DOUBLE, coalesce(t - lag(t) OVER (PARTITION BY event_type ORDER BY t), 0))) AS d FROM f
+  WHERE (floor(epoch_us(ts) / 86400e6) + 1) * 86400000 <= (SELECT floor(max(epoch_us(ts)) / 1000) - 2 * 86400000 FROM events))
+SELECT event_id, round(sum(d) OVER (PARTITION BY event_type ORDER BY t), 3) AS clock FROM g"""
+
 QUERIES = {
+    "stream_windows": (stream_windows, WINDOWS),
+    "rate_kept": (rate_kept, RATE_KEPT),
+    "grid_trace": (grid_trace, TRACE),
+    "state_clock": (state_clock, STATE_CLOCK),
     "stream_panes": (stream_panes, PANES),
     "stream_cells": (stream_cells, ROLLING),
     "stream_whole": (stream_whole, WHOLE),

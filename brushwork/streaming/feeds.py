@@ -40,15 +40,17 @@ def event_time(df: DataFrame, column: str, name: str = "ts") -> DataFrame:
     return df.withColumn(name, c)
 
 
-def run(stream: DataFrame, handler: Handler, mode: str = "append", checkpoint: str | None = None, timeout: int = 3600) -> None:
+def run(stream: DataFrame, handler: Handler, mode: str = "append", checkpoint: str | None = None, timeout: int = 3600) -> int:
     """Process all that is there, batch by batch, and stop. With a `checkpoint`
-    folder kept between calls, the next call goes on where this one ended."""
+    folder kept between calls, the next call goes on where this one ended.
+    Returns how many rows came too late for a state that the watermark had closed."""
     place = checkpoint or scratch_path(stream.sparkSession, "feed")
     query = (stream.writeStream.outputMode(mode).foreachBatch(handler)
              .option("checkpointLocation", place).trigger(availableNow=True).start())
     try:
         if not query.awaitTermination(timeout):
             raise TimeoutError(f"the feed did not end within {timeout} s")
+        return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
     finally:
         query.stop()
 

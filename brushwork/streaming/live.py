@@ -30,6 +30,63 @@ def fold(stream: DataFrame, x: str, y: str, z: str, size: float | tuple[float, f
     return keyed.groupBy(F.window(ts, pane).alias("pane"), "cx", "cy").agg(*states.state_columns(grid.CELL_MEASURES))
 
 
+def sliding(stream: DataFrame, x: str, y: str, z: str, size: float | tuple[float, float], ts: str, window: str, pane: str, watermark: str) -> DataFrame:
+    """The same per window that slides by panes. In append mode each window comes once, when the watermark has passed its end,
+    and its state goes; at any time the state holds the windows that are open within the watermark's delay."""
+    sx, sy = size if isinstance(size, tuple) else (size, size)
+    keyed = stream.withWatermark(ts, watermark).select(
+        ts, grid.cell(x, sx).alias("cx"), grid.cell(y, sy).alias("cy"), F.col(z).alias("z"))
+    return keyed.groupBy(F.window(ts, window, pane).alias("window"), "cx", "cy").agg(*states.state_columns(grid.CELL_MEASURES))
+
+
+class RateTable:
+    """A handler for `rate` in append mode: closed buckets by batch, of which those are kept that begin within `keep_seconds` of
+    the newest. Older parts are removed once none of their buckets is kept."""
+
+    def __init__(self, spark: SparkSession, keep_seconds: float, path: str | None = None):
+        self.spark, self.keep, self.path = spark, keep_seconds, path or scratch_path(spark, "rates")
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        closed = batch.select(F.unix_seconds("bucket.start").alias("start"), "n")
+        closed.write.mode("overwrite").parquet(f"{self.path}/batch={number}")
+        ends = feeds.read_table(self.spark, self.path).groupBy("batch").agg(F.max("start").alias("newest")).collect()  # a row a part
+        newest = max((r.newest for r in ends if r.newest is not None), default=None)
+        for r in ends:
+            if newest is not None and r.batch != number and (r.newest is None or r.newest < newest - self.keep):
+                feeds.forget(self.spark, f"{self.path}/batch={r.batch}")
+
+    def read(self) -> DataFrame:
+        held = feeds.read_table(self.spark, self.path).select("start", "n")
+        return held.where(F.col("start") >= held.agg(F.max("start") - F.lit(self.keep)).scalar())
+
+
+def grid_trace(held: DataFrame, window_panes: int, budget: int, most: int = 16) -> DataFrame:
+    """The adaptive grid as a table: for every pane with rows, in order, the factor its picture was drawn at, the cells that the
+    rolling window then held, and the factor that follows. `held` are states per (pane, cx, cy), as of a CellTable.
+
+    Cells are counted for all factors in one shuffle; the feedback, which needs one pane after another, runs over the counts, a
+    few numbers a pane."""
+    factors = [1 << k for k in range(most.bit_length())]
+    seen = held.select("pane", "cx", "cy").distinct()
+    panes = seen.select(F.col("pane").alias("at")).distinct()
+    shown = seen.withColumn("at", F.explode(F.sequence("pane", F.col("pane") + F.lit(window_panes)))).join(panes, "at", "left_semi")
+    scaled = shown.withColumn("factor", F.explode(F.array(*[F.lit(f) for f in factors]))).select(
+        "at", "factor", F.floor(F.col("cx") / F.col("factor")).alias("cx"), F.floor(F.col("cy") / F.col("factor")).alias("cy")).distinct()
+    counts = scaled.groupBy("at", "factor").agg(F.count(F.lit(1)).alias("cells"))
+    by_pane = counts.groupBy("at").agg(F.sort_array(F.collect_list(F.struct("factor", "cells"))).alias("cells"))
+    steps = by_pane.agg(F.sort_array(F.collect_list(F.struct("at", "cells"))).alias("steps"))
+
+    def step(trace, now):
+        factor = F.coalesce(F.try_element_at(trace, F.lit(-1))["next"], F.lit(1))
+        cells = F.map_from_entries(now["cells"])[factor]
+        follows = (F.when((cells > F.lit(budget * 3 // 2)) & (factor < most), factor * 2)
+                   .when((cells < F.lit(budget // 3)) & (factor > 1), F.call_function("div", factor, F.lit(2)).cast("int")).otherwise(factor))
+        return F.concat(trace, F.array(F.struct(now["at"].alias("pane"), factor.alias("factor"), cells.alias("cells"), follows.alias("next"))))
+
+    none = F.array().cast("array<struct<pane:bigint,factor:int,cells:bigint,next:int>>")
+    return steps.select(F.inline(F.aggregate("steps", none, step)))
+
+
 def rate(stream: DataFrame, ts: str, bucket: str = "500 milliseconds", watermark: str | None = None) -> DataFrame:
     """Rows per bucket of time. With a watermark, buckets behind it are closed and their state dropped (append mode)."""
     timed = stream if watermark is None else stream.withWatermark(ts, watermark)
