@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ..session import discard, materialise
 from .common import meet, table
-from .text import Sums, Words, mixed, parts
+from .text import Sums, Words, mixed, parts, slices
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -45,6 +45,7 @@ SKETCHES = 20
 TAKEN = 4
 SHORT = 16  # distinct shingles of a text whose links all have a key
 EXACT = 20  # the most that a text linked to one of SHORT has
+AT_ONCE = 1 << 19  # bytes of texts that a task handles at once; its arrays take some 40 times as much
 FARTHER = 4  # times as many leaders in each further round
 
 
@@ -158,9 +159,16 @@ class Shingled:
         return out, n
 
 
+def runs(column: pa.Array):
+    """The first row of each run of texts of about AT_ONCE bytes, and those. No more of a batch is held twice."""
+    for start, n in slices(column, AT_ONCE):
+        for at, run in parts(column.slice(start, n).to_pylist(), AT_ONCE):
+            yield start + at, run
+
+
 def _sketched(batches):
     for b in batches:
-        for at, run in parts(b.column(0).to_pylist()):
+        for at, run in runs(b.column(0)):
             s = Shingled(run)
             keys, n = s.keys()
             yield pa.RecordBatch.from_arrays(
@@ -170,17 +178,37 @@ def _sketched(batches):
 
 def _coded(batches):
     for b in batches:
-        for _, run in parts(b.column(0).to_pylist()):
+        for _, run in runs(b.column(0)):
             s = Shingled(run)
             yield pa.RecordBatch.from_arrays([pa.array(s.names, pa.binary()), pa.array(s.codes(), pa.binary())], ["node", "codes"])
 
 
-def _named(batches):
+def _named(text_at: int):
+    """All columns, and the names of the texts in one of them."""
+    def run(batches):
+        for b in batches:
+            for at, texts in runs(b.column(text_at)):
+                own = b.slice(at, len(texts))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(Shingled(texts).names, pa.binary())], [*b.schema.names, "_node"])
+    return run
+
+
+def _forest(batches):
+    """The edges of a partition as trees of depth one: every node that isn't the least of its component there, and that least node."""
+    root: dict[bytes, bytes] = {}
+
+    def find(x):
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
     for b in batches:
-        names = []
-        for _, run in parts(b.column(b.num_columns - 1).to_pylist()):
-            names += Shingled(run).names
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.binary())], b.schema.names)
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            x, y = find(x), find(y)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+    rows = [(x, find(x)) for x in list(root)]
+    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.binary()), pa.array([y for _, y in rows], pa.binary())], ["a", "b"])
 
 
 def distinct_shingles(codes: bytes, width: int = SHINGLE) -> np.ndarray:
@@ -314,8 +342,10 @@ def searched(nodes: DataFrame, codes: DataFrame, least: float = SIMILAR) -> tupl
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each node's component, for all nodes with an edge (a, b) that aren't roots. Large-star
-    and small-star steps in turn, until nothing changes; the number of rounds grows with the logarithm of a component's size."""
-    edges = materialise(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    and small-star steps in turn, until nothing changes; the number of rounds grows with the logarithm of a component's size. Every
+partition first replaces its edges by trees, which leaves an edge a node at most."""
+    edges = edges.select("a", "b").where("a <> b").distinct()
+    edges = materialise(edges.mapInArrow(_forest, "a binary, b binary").where("a <> b").distinct(), "edges")
 
     def state(df):
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -371,9 +401,9 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
     keep = classes(docs, text, doc_id, least).where(F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("node").isNotNull())
     keep = keep.groupBy("class_id").agg(F.min("node").alias("_node"))  # rows of one id and class: one of them
     names = [f"c{i}" for i in range(len(docs.columns))]
-    own = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)], F.col(text).cast("string").alias("_node"))
-    kinds = [f.dataType.simpleString() for f in own.schema.fields[:-1]] + ["binary"]
-    named = own.mapInArrow(_named, ", ".join(f"{n} {k}" for n, k in zip([*names, "_node"], kinds)))
+    own = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)])
+    kinds = [f.dataType.simpleString() for f in own.schema.fields] + ["binary"]
+    named = own.mapInArrow(_named(docs.columns.index(text)), ", ".join(f"{n} {k}" for n, k in zip([*names, "_node"], kinds)))
     i = names[docs.columns.index(doc_id)]
     kept = (named.where("_node is not null").join(keep, (named[i].eqNullSafe(keep["class_id"])) & (named["_node"] == keep["_node"]), "left_semi")
             .dropDuplicates([i, "_node"]))
