@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import states
+from . import ranks, states
 
 LIMIT = 2.0**62  # well within a 64-bit cell index
+FILE_ROWS = 1 << 20  # cells a file of a stored pyramid holds at most
 
 
 def _col(c: str | Column) -> Column:
@@ -86,6 +88,37 @@ def pyramid(base: DataFrame, factors: Sequence[int] = (1, 2, 4, 8, 16)) -> DataF
         .select("level", "cx", "cy", F.col("_top.z").alias("zmax"), F.col("_top.label").alias("top"), "n")
 
 
+def _spread_bits(c: Column) -> Column:
+    """The low 31 bits of a number, a zero after each."""
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F),
+                        (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(mask))
+    return c
+
+
+def morton(cx: str | Column, cy: str | Column) -> Column:
+    """The place of a cell along a Z-shaped curve, so that cells close in the plane are mostly close in order. Cells
+    beyond 2^30 from the origin share the places of the outermost ones: the order only places rows, it selects none."""
+    held = [F.greatest(F.lit(0), F.least(F.lit((1 << 31) - 1), _col(c) + F.lit(1 << 30))).cast("long") for c in (cx, cy)]
+    x, y = (_spread_bits(c) for c in held)
+    return x.bitwiseOR(F.shiftleft(y, 1))
+
+
+def store_levels(levels: DataFrame, path: str, files: int | None = None, file_rows: int = FILE_ROWS) -> None:
+    """Write a pyramid once, for any number of views: a folder per level, cells along the Z curve. A file and each of its
+    row groups then cover a compact patch, and a window's ranges of `cx` and `cy` skip all others by their statistics."""
+    keyed = levels.withColumn("_place", morton("cx", "cy"))
+    by = ["level", "_place"]
+    ranged = keyed.repartitionByRange(files, *by) if files else keyed.repartitionByRange(*by)
+    ranged.sortWithinPartitions(*by).drop("_place").write.mode("overwrite").partitionBy("level") \
+        .option("maxRecordsPerFile", file_rows).parquet(path)
+
+
+def stored_levels(spark: SparkSession, path: str) -> DataFrame:
+    """A pyramid that `store_levels` wrote."""
+    return spark.read.parquet(path)
+
+
 def level_for(px_per_unit: float, sizes: Sequence[float], min_px: float = 1.2, raw_from: float = 3.0) -> float | None:
     """The finest level whose cells are at least `min_px` wide on screen; None
     where the view is close enough for raw points."""
@@ -99,15 +132,17 @@ def lod_window(levels: DataFrame, raw: DataFrame, box: Mapping[str, tuple[float,
                budget: int = 3_000_000, order: Sequence[str] = ("z",)) -> DataFrame:
     """What a view draws: cells of the fitting level, or raw points up to a
     budget, lowest first. `box` maps the two raw columns to ranges; it is
-    widened by `margin` of its span on every side."""
+    widened by `margin` of its span on every side. Ranges of cells that hold
+    the window reach the scan of a stored pyramid."""
     wide = {f: (lo - (hi - lo) * margin, hi + (hi - lo) * margin) for f, (lo, hi) in box.items()}
     sx, sy = _pair(cell_size)
     level = level_for(px_per_unit, [s * sx for s in sizes])
     if level is None:
-        return window(raw, wide).orderBy(*order).limit(budget)
+        return ranks.lowest(window(raw, wide), order, budget).orderBy(*order)
     factor = int(round(level / sx))
     (x0, x1), (y0, y1) = wide.values()
-    at = levels.where(F.col("level") == factor) \
+    near = lambda c, lo, hi, size: F.col(c).between(math.floor(lo / size) - 1, math.ceil(hi / size) + 1)
+    at = levels.where((F.col("level") == factor) & near("cx", x0, x1, factor * sx) & near("cy", y0, y1, factor * sy)) \
         .withColumn("x", centre("cx", factor * sx)).withColumn("y", centre("cy", factor * sy))
     return window(at, {"x": (x0, x1), "y": (y0, y1)}).orderBy("zmax", "cx", "cy")
 
@@ -129,6 +164,15 @@ def histogram(df: DataFrame, value: str | Column, step: float, origin: float = 0
     return keyed.groupBy(*by, "bin").agg(total)
 
 
+def histograms(df: DataFrame, views: Mapping[str, tuple[str | Column, float, float]], where: Mapping[str, Column]) -> DataFrame:
+    """The histograms of several views, each under its own filter, from one scan: `view, bin, n`. `views` maps a name to
+    (value, step, origin). A row becomes one row for each view that it counts in, and those merge before the shuffle."""
+    struct = lambda name, at: F.struct(F.lit(name).alias("view"), cell(*at).alias("bin"))
+    hits = F.array(*[F.when(where[name], struct(name, at)) for name, at in views.items()])
+    hit = df.select(F.explode(F.array_compact(hits)).alias("_h")).select("_h.view", "_h.bin")
+    return hit.groupBy("view", "bin").agg(F.count(F.lit(1)).alias("n"))
+
+
 CELL_MEASURES = (("max", "z", "zmax"), ("rows", None, "n"))
 
 

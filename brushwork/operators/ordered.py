@@ -147,3 +147,24 @@ def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left", group
     copies = spread(right).withColumn(
         "_share", F.explode(F.sequence(none, F.coalesce("_shares", F.lit(1)) - 1))).drop("_shares")
     return rows.join(copies, [key, "_share"], how).drop("_share")
+
+
+def as_of(left: DataFrame, at: Column, right: DataFrame, key: Column, hit: Column, name: str, rows_each: int = GROUP_ROWS) -> DataFrame:
+    """Each row of `left` with the struct `hit` of the last row of `right` whose `key` is not beyond `at`, as column `name`; NULL
+    where there is none. Of equal keys the greatest `hit` is taken.
+
+    Both sides are range-partitioned and sorted together, so a row meets its hit in its own bucket, or takes the one
+    that the buckets before carry on: a table of one row per bucket. Values that many rows share are dealt over
+    buckets, and no side has to fit a task."""
+    row = F.struct(*[F.col(f"`{c}`") for c in left.columns])
+    values = left.select(at.cast("double").alias("_at"), F.lit(1).alias("_side"), row.alias("_row"))
+    marks = right.select(key.cast("double").alias("_at"), F.lit(0).alias("_side"), hit.alias("_hit")).where(F.col("_at").isNotNull())
+    both = marks.unionByName(values, allowMissingColumns=True)
+    rows = dealt(both, ["_at", "_side", "_hit"], rows_each)
+    inside = Window.partitionBy("_bucket").orderBy("_at", "_side", "_hit").rowsBetween(Window.unboundedPreceding, 0)
+    met = rows.withColumn("_met", F.last("_hit", ignorenulls=True).over(inside)).where(F.col("_side") == 1)
+    ends = rows.groupBy("_bucket").agg(F.max(F.when(F.col("_side") == 0, F.struct("_at", "_hit"))).alias("_end"))
+    ahead = Window.partitionBy().orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
+    carried = ends.select("_bucket", F.last("_end", ignorenulls=True).over(ahead).alias("_ahead"))
+    found = F.coalesce("_met", F.col("_ahead")["_hit"])
+    return same_key_join(met, carried, ["_bucket"]).select("_row.*", F.when(F.col("_at").isNotNull(), found).alias(name))

@@ -8,14 +8,20 @@ hold one are sorted. Both are exact; where buckets begin only balances them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from . import ordered
 
 Rank = Callable[[Column], Column]
+BINS = 1 << 12  # of one histogram of `lowest`, which the driver reads
+ROUNDS = 8  # histograms of `lowest` at most
+EDGE_ROWS = 1 << 14  # rows that one task of `lowest` may sort
 
 
 def order_statistics(df: DataFrame, value: str, ranks: Mapping[str, Rank], by: Sequence[str] = (),
@@ -87,3 +93,74 @@ def nearest_rank(df: DataFrame, value: str, shares: Mapping[str, float], by: Seq
     """The value at rank round((n - 1) p), halves rounding up."""
     ranks = {name: (lambda n, p=p: F.floor((n - 1) * F.lit(float(p)) + F.lit(0.5))) for name, p in shares.items()}
     return order_statistics(df, value, ranks, by)
+
+
+def lowest(df: DataFrame, order: Sequence[str], k: int, edge_rows: int = EDGE_ROWS) -> DataFrame:
+    """The first k rows in the order of the columns `order` (NULL first, NaN last), in no order themselves.
+
+    Histograms of the first column, each of the bin of the one before that holds the k-th row, find a range of values
+    with few rows: all rows below it are in, and the range alone is sorted. Where the range stays large, because many rows
+    share a value or the column is no number, its rows are range-partitioned by the whole order and the part that
+    holds the k-th row alone is sorted. Rows that tie in all of `order` are told apart by a hash. No task sees
+    more than some `edge_rows` rows, whatever k is."""
+    if k <= 0:
+        return df.limit(0)
+    first, numeric = F.col(f"`{order[0]}`"), isinstance(df.schema[order[0]].dataType, NumericType)
+    sure, edge, need, size = [], df, k, None
+    if numeric:
+        sure, edge, need, size = _edge(df, first.cast("double"), k, edge_rows)
+    else:
+        size = df.count()
+    if size <= need:
+        return _all([*sure, edge])
+    rank = [*order, "_tie"]
+    edge = ordered.with_tie(edge)
+    if size > edge_rows:
+        rows = ordered.dealt(edge, rank, edge_rows, size)
+        tally = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).orderBy("_bucket").collect()  # a row per partition
+        last = 0
+        for last, n in tally:
+            if n >= need:
+                break
+            need -= n
+        sure.append(rows.where(F.col("_bucket") < last).select(*df.columns))
+        edge = rows.where(F.col("_bucket") == last)
+    return _all([*sure, edge.orderBy(*rank).limit(need).select(*df.columns)])
+
+
+def _all(parts: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _edge(df: DataFrame, v: Column, k: int, edge_rows: int) -> tuple[list[DataFrame], DataFrame, int, int]:
+    """The rows surely among the first k, and a range of `v` with the wanted number of its first rows and its size."""
+    finite = F.abs(v) < F.lit(math.inf)
+    kinds = [v.isNull(), v == F.lit(-math.inf), finite, v == F.lit(math.inf), F.isnan(v)]
+    seen = df.agg(*[F.count_if(c).alias(f"n{i}") for i, c in enumerate(kinds)], F.min(F.when(finite, v)).alias("lo"),
+                  F.max(F.when(finite, v)).alias("hi")).first()
+    sure, need = [], k
+    for i, kind in enumerate(kinds):
+        if seen[i] >= need or i == len(kinds) - 1:
+            break
+        need -= seen[i]
+        if seen[i]:
+            sure.append(df.where(kind))
+    size, lo, hi = seen[i], seen.lo, seen.hi
+    if i != 2:
+        return sure, df.where(kind), need, size
+    below = lo
+    for _ in range(ROUNDS):
+        width = hi - lo
+        if size <= max(edge_rows, need) or not 0 < width < math.inf:
+            break
+        at = F.least(F.floor((v - F.lit(lo)) / F.lit(width) * BINS), F.lit(BINS - 1))
+        bins = df.where((v >= F.lit(lo)) & (v <= F.lit(hi))).groupBy(at.alias("bin")).agg(
+            F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")).orderBy("bin").collect()  # BINS rows
+        for b in bins:
+            if b.n >= need:
+                break
+            need -= b.n
+        size, lo, hi = b.n, b.lo, b.hi
+    if lo > below:
+        sure.append(df.where(v < F.lit(lo)).where(finite))
+    return sure, df.where((v >= F.lit(lo)) & (v <= F.lit(hi))), need, size

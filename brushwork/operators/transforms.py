@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import ranks
+from ..session import materialise
+from . import ordered, ranks
 
 EPSILON = 1e-14  # keeps a value on a bin edge in the bin it opens
 
@@ -266,16 +267,15 @@ def aggregate(df: DataFrame, ops: Sequence[tuple[str, str | None, str]], groupby
     return df.groupBy(*groupby).agg(*[fns[op](field).alias(name) for op, field, name in ops])
 
 
-def stack(df: DataFrame, order: str, value: str, by: Sequence[str] = ()) -> DataFrame:
+def stack(df: DataFrame, order: str, value: str, by: Sequence[str] = (), group_rows: int = ordered.GROUP_ROWS) -> DataFrame:
     """Slices per group: where each starts, its end and the group's total, and
-    both as shares. Rows first merge to one per slice, so a window sees as
-    many rows as the chart has slices."""
-    slices = df.groupBy(*by, order).agg(F.sum(value).alias("value"))
-    group = Window.partitionBy(*by)
-    upto = group.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = slices.select(*by, order, "value",
-                        (F.sum("value").over(upto) - F.col("value")).alias("start"),
-                        F.sum("value").over(group).alias("total"))
+    both as shares. Rows first merge to one per slice; a group of more than
+    `group_rows` slices is summed in ranges."""
+    slices = materialise(df.groupBy(*by, order).agg(F.sum(value).alias("value")), "slices")
+    totals = slices.groupBy(*by).agg(F.sum("value").alias("total"))
+    out = ordered.running_sum(slices, by, order, "value", "_to", group_rows=group_rows)
+    out = ordered.same_key_join(out, totals, list(by)) if by else out.withColumn("total", totals.scalar())
+    out = out.select(*by, order, "value", (F.col("_to") - F.col("value")).alias("start"), "total")
     share = lambda c: F.when(F.col("total") != 0, c / F.col("total")).otherwise(F.lit(0.0))
     return out.withColumn("x0", share(F.col("start"))).withColumn("x1", share(F.col("start") + F.col("value")))
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry
 from ..operators import grid, states, terrain, voxels
-from ..operators.ordered import once
+from ..operators.ordered import once, same_key_join
 from ..selection import lasso
 from ..selection.pixels import PixelGrid
+from ..session import scratch_path
 from ..sources import tables
 from .data import POINTS, load, points, r
 
@@ -53,6 +57,32 @@ WHERE level = 4 AND cx * 4000.0 + 2000.0 >= 12000 AND cx * 4000.0 + 2000.0 < 680
   AND cy * 20.0 + 10.0 >= 4 AND cy * 20.0 + 10.0 < 46"""
 
 
+# Views of one stored pyramid: zoomed out, in between, and close.
+VIEWS = {"far": ({"x": (0.0, 105000.0), "y": (0.0, 51.0)}, 0.00001, 16), "middle": ({"x": (20000.0, 60000.0), "y": (10.0, 40.0)}, 0.0005, 4),
+         "near": ({"x": (40000.0, 42000.0), "y": (20.0, 24.0)}, 0.002, 1)}
+
+
+def lod_views(spark, d):
+    """A pyramid written once along a space-filling curve, read by three views."""
+    path = scratch_path(spark, "pyramid")
+    grid.store_levels(_pyramid(spark, d), path)
+    levels = grid.stored_levels(spark, path)
+    drawn = [grid.lod_window(levels, None, box, px, cell_size=SIZE).select(F.lit(name).alias("view"), "level", "x", "y", "zmax", "top", "n")
+             for name, (box, px, _) in VIEWS.items()]
+    return reduce(DataFrame.unionByName, drawn)
+
+
+def _view_sql(name):
+    (x0, x1), (y0, y1) = VIEWS[name][0].values()
+    f, mx, my = VIEWS[name][2], (x1 - x0) * 0.2, (y1 - y0) * 0.2
+    x, y = f"CAST(cx * {1000 * f} + {500 * f} AS DOUBLE)", f"CAST(cy * {5 * f} + {2.5 * f} AS DOUBLE)"
+    return f"""SELECT '{name}' AS view, CAST(level AS INTEGER) AS level, {x} AS x, {y} AS y, zmax, top, n FROM l
+WHERE level = {f} AND {x} >= {x0 - mx} AND {x} < {x1 + mx} AND {y} >= {y0 - my} AND {y} < {y1 + my}"""
+
+
+LOD_VIEWS = f"WITH {POINTS}, {CELLS}, {LEVELS} " + " UNION ALL ".join(_view_sql(name) for name in VIEWS)
+
+
 def lod_raw(spark, d):
     """Close enough for raw points: the lowest of them, up to the point budget."""
     p = points(spark, d)
@@ -146,6 +176,22 @@ MERGED_APART = f"""WITH {POINTS} SELECT label, label = 'R' AS none, CASE WHEN la
 label = 'R' AS endless FROM p GROUP BY 1"""
 
 
+def merged_distinct(spark, d):
+    """Distinct orders, prices and days a label, from sketches per (label, day): within four standard errors of the exact counts."""
+    specs = [("approx_distinct", c, c) for c in ("order_key", "x", "z")]
+    p = points(spark, d).withColumn("x", F.when(F.pmod(F.col("order_key"), F.lit(7)) != 0, F.col("x")))
+    rolled = states.merge(states.fold(p, ["label", "z"], specs), ["label"], specs)
+    exact = p.groupBy("label").agg(*[F.count_distinct(c).alias(f"{c}_exact") for _, c, _ in specs])
+    near = lambda c: F.abs(F.col(c) - F.col(f"{c}_exact")) <= 4 * states.SKETCH_ERROR * F.col(f"{c}_exact")
+    return same_key_join(rolled, exact, ["label"]).select(
+        "label", *[f"{c}_exact" for _, c, _ in specs], *[near(c).alias(f"{c}_near") for _, c, _ in specs])
+
+
+DISTINCT = f"""WITH {POINTS}, q AS (SELECT label, order_key, z, CASE WHEN order_key % 7 <> 0 THEN x END AS x FROM p)
+SELECT label, count(DISTINCT order_key) AS order_key_exact, count(DISTINCT x) AS x_exact, count(DISTINCT z) AS z_exact,
+true AS order_key_near, true AS x_near, true AS z_near FROM q GROUP BY 1"""
+
+
 def merged_measures(spark, d):
     """Every mergeable measure, folded per (label, day) and merged per label.
     One price in seven is blanked."""
@@ -339,8 +385,6 @@ WKT = "SELECT c_nationkey AS nation, c_acctbal AS balance, CAST(c_nationkey AS D
 
 def sorted_copy(spark, d):
     """A copy written sorted by price, and a window read back from it."""
-    from ..session import scratch_path
-
     path = scratch_path(spark, "sorted")
     p = points(spark, d)
     copy = tables.cached(spark, path, lambda: p.select("x", "y", "label"), order=["x", "y"])
@@ -354,6 +398,7 @@ QUERIES = {
     "top_cells": (top_cells, TOP_CELLS),
     "pyramid_levels": (lambda s, d: _pyramid(s, d), PYRAMID),
     "lod_window": (lod_window, LOD),
+    "lod_views": (lod_views, LOD_VIEWS),
     "lod_raw": (lod_raw, LOD_RAW),
     "map_window": (map_window, MAP_WINDOW),
     "strip": (strip, STRIP),
@@ -363,6 +408,7 @@ QUERIES = {
     "voxel_adjacency": (voxel_adjacency, ADJACENCY),
     "state_merge": (state_merge, STATE_MERGE),
     "merged_measures": (merged_measures, MERGED),
+    "merged_distinct": (merged_distinct, DISTINCT),
     "merged_apart": (merged_apart, MERGED_APART),
     "hillshade": (hillshade, HILLSHADE),
     "tilt_raster": (tilt_raster, TILT_RASTER),

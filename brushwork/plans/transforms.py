@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import frames, grid, layouts, transforms as tr
+from ..session import materialise
 from ..sources import tables
 from .data import FEED, POINTS, feed, load, points, r
 
@@ -122,7 +123,7 @@ def _histogram(df):
 def bin_positions(spark, d):
     """Where quantities lie in bars and in the stack, and back from the stack."""
     p = points(spark, d)
-    bins = _histogram(p)
+    bins = materialise(_histogram(p), "bins")
     u = layouts.position(layouts.position(p, "y", bins, stacked=False, name="bar"), "y", bins, stacked=True, name="stack")
     back = layouts.value_at(u.select("y", "bar", "stack").distinct(), "stack", bins, stacked=True, name="back")
     return back.select("y", r("bar", 9).alias("bar"), r("stack", 9).alias("stack"), r("back", 6).alias("back"))

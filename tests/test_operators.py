@@ -158,6 +158,127 @@ def test_bars_and_stack(spark):
     assert {(r.bin, r.clip_lo, r.clip_hi) for r in layouts.clip(bins, 5.0, 20.0).collect()} == {(0, 5.0, 10.0), (1, 10.0, 20.0)}
 
 
+def test_a_million_bins_have_no_single_task(spark):
+    """Positions among 10^6 bins against numpy, and back; running counts and values meet per bucket."""
+    n = 1_000_000
+    bins = spark.range(n).select(F.col("id").alias("bin"), (F.col("id") * 0.5).alias("lo"), (F.col("id") * 0.5 + 0.5).alias("hi"), (F.col("id") % 3).alias("n"))
+    hot = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7.25).otherwise(F.rand(4) * 600_000.0 - 40_000.0).alias("v"))
+    df = hot.unionByName(spark.createDataFrame([(None,), (float("nan"),), (float("-inf"),), (0.0,), (499_999.75,)], "v double"))
+    got = layouts.position(df, "v", bins, True, "u", group_rows=100_000).toPandas()
+    counts = np.arange(n) % 3
+    upto = np.cumsum(counts)
+    v = got.v.to_numpy(dtype=float)
+    i = np.clip(np.floor(np.nan_to_num(v, nan=n, posinf=n, neginf=-1) * 2).astype(int), 0, n - 1)
+    share = np.clip(np.where(np.isneginf(v), 0.0, np.where(np.isnan(v), 1.0, (v - i * 0.5) / 0.5)), 0, 1)
+    want = (upto[i] - counts[i] + share * counts[i]) / upto[-1]
+    known = got.v.notna() | got.u.notna()
+    assert len(got) == 3005 and np.allclose(got.u[known], want[known], atol=1e-12)
+    u = spark.createDataFrame([(float(x),) for x in np.linspace(0, 1, 501)] + [(None,)], "u double")
+    back = layouts.value_at(u, "u", bins, True, "v", group_rows=100_000).toPandas()
+    assert back.v[back.u.isna()].isna().all()
+    back = back[back.u.notna()]
+    j = np.searchsorted(upto / upto[-1], back.u.to_numpy(), side="left")
+    j = np.where(counts[j] > 0, j, np.searchsorted(upto, upto[j], side="left"))
+    j = np.where(counts[j] > 0, j, j + 1)
+    inside = (back.u - (upto[j] - counts[j]) / upto[-1]) / (counts[j] / upto[-1])
+    assert np.allclose(back.v, j * 0.5 + 0.5 * np.clip(inside, 0, 1), atol=1e-6)
+
+
+def test_both_layouts_agree(spark):
+    rng = random.Random(9)
+    edges = sorted(rng.sample(range(1000), 61))
+    bins = spark.createDataFrame([(i, a / 4, b / 4, rng.choice([0, 0, 1, 7])) for i, (a, b) in enumerate(zip(edges, edges[1:]))], "bin long, lo double, hi double, n long")
+    v = [rng.choice([None, float("nan"), float("inf"), -1.0, rng.uniform(-10, 270), rng.choice(edges) / 4]) for _ in range(400)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "i int, v double")
+    for step in (lambda **k: layouts.position(df, "v", bins, True, "u", **k), lambda **k: layouts.value_at(df.withColumn("v", F.col("v") / 250), "v", bins, True, "u", **k)):
+        one, other = ({r.i: str(r.u) for r in step(**k).collect()} for k in ({}, {"few": 3, "group_rows": 50}))
+        assert one == other and len(one) == 400
+
+
+def test_as_of_equals_a_search(spark):
+    rng = random.Random(3)
+    marks = [(rng.choice([None, float(rng.randint(0, 60))]), j) for j in range(50)]
+    rows = [(i, rng.choice([None, float("nan"), 5.0, rng.uniform(-5, 70)])) for i in range(500)]
+    left, right = spark.createDataFrame(rows, "i int, v double"), spark.createDataFrame(marks, "k double, j int")
+    got = {r.i: r.m for r in ordered.as_of(left, F.col("v"), right, F.col("k"), F.struct("k", "j"), "m", rows_each=40).collect()}
+    for i, v in rows:
+        met = [(k, j) for k, j in marks if v is not None and k is not None and (math.isnan(v) or k <= v)]
+        assert (None if got[i] is None else tuple(got[i])) == max(met, default=None)
+
+
+@pytest.mark.parametrize("k", [0, 37, 1500, 5000])
+def test_the_lowest_rows_are_found_by_histograms(spark, k):
+    """Exponents far apart, many ties, and values without a place in a histogram."""
+    rng = random.Random(5)
+    odd = [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 1e308, -1e308, 5e-324]
+    rows = [(rng.choice([*odd, 3.0, 3.0, 3.0, rng.expovariate(1), 10 ** rng.uniform(-300, 300)]), rng.choice("abc"), i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "z double, s string, i int")
+    place = lambda r: ((0, 0) if r[0] is None else (2, 0) if math.isnan(r[0]) else (1, r[0]), r[1], r[2])
+    for order, key in ((["z", "s", "i"], place), (["s", "i"], lambda r: (r[1], r[2])), (["i"], lambda r: r[2])):
+        got = {r.i for r in ranks.lowest(df, order, k, edge_rows=20).collect()}
+        assert got == {r[2] for r in sorted(rows, key=key)[:k]}
+    tied = ranks.lowest(df.select(F.lit(1).alias("one"), "i"), ["one"], k, edge_rows=50)
+    assert tied.count() == tied.distinct().count() == min(k, 2000)
+    assert ranks.lowest(df.limit(0), ["z"], k).count() == 0
+
+
+def _rows_read(df):
+    """Rows that leave the scan, what its statistics skip left out."""
+    df._jdf.collectToPython()
+    return df._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+
+
+def test_a_window_reads_its_part_of_a_stored_pyramid(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    n = 256
+    i = np.arange(n * n)
+    base = spark.createDataFrame(pd.DataFrame({"cx": i // n - 100, "cy": i % n - 100, "zmax": rng.random(n * n), "top": "a", "n": 1}))
+    levels = grid.pyramid(base, [1, 4])
+    grid.store_levels(levels, str(tmp_path / "p"), files=16, file_rows=1024)
+    stored = grid.stored_levels(spark, str(tmp_path / "p"))
+    key = lambda df: sorted(map(tuple, df.select("level", "cx", "cy", "zmax", "top", "n").collect()))
+    assert key(stored) == key(levels)
+    read = []
+    for side in (8, 64, 256):
+        box = {"x": (0.0, float(side)), "y": (0.0, float(side))}
+        got, want = (grid.lod_window(at, None, box, 1.5, sizes=[1, 4], margin=0.0) for at in (stored, levels))
+        assert key(got) == key(want) and len(key(got)) == min(side, 156) ** 2
+        at = stored.where((F.col("level") == 1) & F.col("cx").between(0, side - 1) & F.col("cy").between(0, side - 1))
+        read.append(_rows_read(at))
+    assert read[0] <= 4096 and read[0] < read[1] < read[2] <= n * n
+
+
+def test_cells_along_the_curve(spark):
+    at = spark.createDataFrame([(x, y) for x in range(-4, 4) for y in range(-4, 4)] + [(2**40, 0), (-(2**40), 0)], "x long, y long")
+    order = {(r.x, r.y): r.m for r in at.select("x", "y", grid.morton("x", "y").alias("m")).collect()}
+    for (x, y), m in order.items():
+        a, b = (max(0, min(2**31 - 1, c + 2**30)) for c in (x, y))
+        assert m == sum(((a >> i & 1) << 2 * i) | ((b >> i & 1) << 2 * i + 1) for i in range(31))
+
+
+def test_distinct_counts_merge(spark):
+    """Sketches of parts merge to within four standard errors, and small sets to the exact count."""
+    df = spark.range(60_000).select((F.col("id") % 3).alias("g"), (F.col("id") % 40_000).alias("a"), (F.col("id") % 20 / 4).alias("b"),
+                                    F.when(F.col("id") % 3 == 0, F.lit("x")).alias("c"), (F.col("id") % 16).alias("pane"))
+    specs = [("approx_distinct", c, c) for c in "abc"]
+    folded = states.fold(df.where("id % 2 = 0"), ["g", "pane"], specs).unionByName(states.fold(df.where("id % 2 = 1"), ["g", "pane"], specs))
+    exact = {r.g: r for r in df.groupBy("g").agg(*[F.count_distinct(c).alias(c) for c in "abc"]).collect()}
+    for merged in (states.merge(folded, ["g"], specs), states.direct(df, ["g"], specs)):
+        for row in merged.collect():
+            assert abs(row.a - exact[row.g].a) <= 4 * states.SKETCH_ERROR * exact[row.g].a
+            assert (row.b, row.c) == (exact[row.g].b, exact[row.g].c)
+    none = states.merge(states.fold(df.limit(0), [], specs), [], specs).first()
+    assert none.a == 0
+
+
+def test_slices_of_large_groups(spark):
+    rows = [(i % 2, i, float(i % 7)) for i in range(500)]
+    df = spark.createDataFrame(rows, "g int, o int, v double")
+    for by in (["g"], []):
+        one, other = (sorted(map(tuple, tr.stack(df, "o", "v", by, **k).collect())) for k in ({}, {"group_rows": 20}))
+        assert one == other and len(one) == 500
+
+
 def test_glyph_slices(spark):
     df = spark.sql("SELECT * FROM VALUES (1,4,1),(2,6,1),(3,10,1),(4,3,1),(5,7,1),(6,8,1),(1,4,2),(3,1,2) AS t(category, value, x)")
     s = {(r.x, r.category): (r.start, r.total) for r in tr.stack(df, "category", "value", ["x"]).collect()}

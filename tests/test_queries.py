@@ -1,9 +1,11 @@
 """Every registered query against its SQL, and what its plan must not hold."""
 
+import re
+
 import pytest
 from oracle import compare, connect
 
-from brushwork.operators import profile
+from brushwork.operators import profile, ranks
 from brushwork.plans import oracle_sql, queries
 from brushwork.plans.data import load
 
@@ -68,3 +70,16 @@ def test_a_brush_on_cells_reaches_the_scan(spark, sf):
 def test_scans_read_only_needed_columns(spark, sf):
     text = queries()["density_2d"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_extendedprice:double,l_shipdate:timestamp_ntz>" in text
+
+
+def test_a_dashboard_scans_its_rows_once(spark, sf):
+    plan = queries()["crossfilter_hist"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+
+
+def test_lowest_rows_are_not_sorted_whole(spark, sf):
+    """Most of the first 3000 rows come by a threshold; a sort sees the rows near it alone."""
+    rows = load(spark, sf, "lineitem").select("l_extendedprice", "l_orderkey", "l_linenumber")
+    low = ranks.lowest(rows, rows.columns, 3000, edge_rows=200)
+    plan = low._jdf.queryExecution().optimizedPlan().toString()
+    assert max(int(n) for n in re.findall(r"GlobalLimit (\d+)", plan)) <= 200 and low.count() == 3000

@@ -6,8 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from brushwork.operators import voxels
-from brushwork.selection import steps
+from brushwork.operators import grid, voxels
+from brushwork.selection import steps, views
 from brushwork.selection import values as v
 from brushwork.selection.model import Any, Not, Selections, cross_filter, membership, predicate, producer
 from brushwork.selection.pixels import PixelGrid
@@ -102,3 +102,25 @@ def test_a_moved_threshold_reads_no_points(spark):
         got = stored.rollup(structure)
         assert {(r.label, r.n) for r in got.collect()} == want
         assert "LocalTableScan" not in got._jdf.queryExecution().executedPlan().toString() and "ExistingRDD" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("resolution", ["intersect", "union"])
+def test_views_of_one_scan_equal_a_scan_each(spark, points, resolution):
+    """A lasso of many boxes, a brush and cells of a table, in a cross-filter and in a tree of filters."""
+    area = Selections({"area": resolution}).set_boxes(P, made("boxes", 8)).set(Q, [{"w": v.range_(10.0, 80.0)}])
+    some = producer("area", "cells", "voxels", {"u": "a", "v": "b"}, {"u": U, "v": V})
+    area = area.set_cells(some, spark.createDataFrame([(i * 7 % 1000, i % 500) for i in range(3000)], "u long, v long"))
+    at = {"plot": ("a", 100.0, 0.0), "other": ("w", 10.0, 0.0), "cells": ("b", 50.0, 5.0), "none": ("a", 500.0, 0.0)}
+    for f in (cross_filter("area"), Any((Not(membership("area")), cross_filter("area")))):
+        got = sorted(map(str, views.histograms(points, at, f, area).select("view", "bin", "n").collect()))
+        want = []
+        for view, (c, size, origin) in at.items():
+            h = grid.histogram(steps.kept(points, f, view, area), c, size, origin)
+            want += h.select(F.lit(view).alias("view"), "bin", "n").collect()
+        assert got == sorted(map(str, want)) and len(got) > 8
+
+
+def test_views_without_brushes_count_all(spark, points):
+    at = {"plot": ("a", 100.0, 0.0), "other": ("w", 10.0, 0.0)}
+    got = views.histograms(points, at, cross_filter("area"), Selections({"area": "intersect"}))
+    assert {r.view: r.n for r in got.groupBy("view").agg(F.sum("n").alias("n")).collect()} == {"plot": 1503, "other": 1503}
