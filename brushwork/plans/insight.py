@@ -169,6 +169,56 @@ PEAKS = """WITH t AS (SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY 1
 SELECT p_brand, (max(struct_pack(v := n, c := p_size))).c AS p_size, max(n) AS peak FROM t GROUP BY 1"""
 
 
+def _shown(f):
+    return f.select("fact", "rank", "key", "at", "value", *[r(c, 6).alias(c) for c in ("share", "slope")], "direction", *[r(c, 4).alias(c) for c in ("lo", "hi")])
+
+
+def facts_bars(spark, d):
+    """What a bar chart of customers per nation says."""
+    return _shown(facts.chart(load(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n")), "bar", ["c_nationkey"], "n"))
+
+
+def facts_lines(spark, d):
+    """What a line chart of events per type and day says."""
+    return _shown(facts.chart(_daily(spark, d).withColumn("day", F.col("day").cast("long")), "line", ["event_type", "day"], "n"))
+
+
+def facts_heatmap(spark, d):
+    """What a heatmap of parts per brand and size says."""
+    return _shown(facts.chart(load(spark, d, "part").groupBy("p_brand", "p_size").agg(F.count("*").alias("n")), "heatmap", ["p_brand", "p_size"], "n"))
+
+
+def _fact_sql(fact, rows="t", rank="1", key="NULL", at="NULL", value="NULL", share="NULL", slope="NULL", direction="NULL", lo="NULL", hi="NULL"):
+    return f"""SELECT '{fact}' AS fact, CAST({rank} AS BIGINT) AS rank, CAST({key} AS VARCHAR) AS key, CAST({at} AS VARCHAR) AS at,
+CAST({value} AS DOUBLE) AS value, round(CAST({share} AS DOUBLE), 6) AS share, round(CAST({slope} AS DOUBLE), 6) AS slope,
+CAST({direction} AS VARCHAR) AS direction, round(CAST({lo} AS DOUBLE), 4) AS lo, round(CAST({hi} AS DOUBLE), 4) AS hi FROM {rows}"""
+
+
+def _facts_sql(rows, keys, parts):
+    """`parts` follow the rows `t` (keys, n), their quartile fences `e` and their ranks `k`."""
+    order = ", ".join(keys)
+    outlier = _fact_sql("outlier", "t, e GROUP BY lo, hi", value="count(*) FILTER (WHERE n < lo OR n > hi)", lo="lo", hi="hi")
+    return f"""WITH {rows}, q AS (SELECT quantile_cont(n, 0.25) AS q1, quantile_cont(n, 0.75) AS q3, count(*) AS many FROM t),
+e AS (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q WHERE many >= 4),
+k AS (SELECT *, row_number() OVER (ORDER BY n DESC, {order}) AS high, row_number() OVER (ORDER BY n, {order}) AS low, sum(n) OVER () AS total FROM t)
+{" UNION ALL ".join([*parts, outlier])}"""
+
+
+FACTS_BARS = _facts_sql("t AS (SELECT c_nationkey, count(*)::DOUBLE AS n FROM customer GROUP BY 1)", ["c_nationkey"], [
+    _fact_sql("proportion", "k WHERE high = 1", key="c_nationkey", value="n", share="n / total"),
+    _fact_sql("rank", "k WHERE high IN (2, 3)", rank="high", key="c_nationkey", value="n", share="n / total"),
+    _fact_sql("extreme", "k WHERE low = 1", key="c_nationkey", value="n", share="n / total")])
+FACTS_LINES = _facts_sql(f"""{FEED}, t AS (SELECT event_type, CAST(floor(t / 86400) AS BIGINT) AS day, count(*)::DOUBLE AS n FROM f GROUP BY 1, 2),
+g AS (SELECT event_type, max(struct_pack(y := n, x := day)) AS top, coalesce(regr_slope(n, day), 0) AS slope, max(day) - min(day) AS span, avg(n) AS mean FROM t GROUP BY 1)""",
+                         ["event_type", "day"], [
+    _fact_sql("extreme", "k WHERE high = 1", key="event_type || ' \u00b7 ' || day", value="n"),
+    _fact_sql("trend", "g", key="event_type", at="CAST((top).x AS DOUBLE)", value="(top).y", slope="slope",
+              direction="CASE WHEN abs(slope) * span < 0.1 * mean THEN 'flat' WHEN slope > 0 THEN 'rising' ELSE 'falling' END")])
+FACTS_HEATMAP = _facts_sql("t AS (SELECT p_brand, p_size, count(*)::DOUBLE AS n FROM part GROUP BY 1, 2)", ["p_brand", "p_size"], [
+    _fact_sql("extreme", "k WHERE high = 1", key="p_brand || ' \u00b7 ' || p_size", value="n"),
+    _fact_sql("distribution", "(SELECT p_brand, max(struct_pack(v := n, c := p_size)) AS top FROM t GROUP BY 1)", key="p_brand", at="(top).c", value="(top).v")])
+
+
 def outliers(spark, d):
     t = load(spark, d, "events").select("event_id", "value")
     o = facts.outliers_iqr(t, "value")
@@ -295,6 +345,9 @@ QUERIES = {
     "overview": (tables_overview, _overview_sql()),
     "drift": (drift, DRIFT),
     "facts_rank": (facts_rank, FACTS),
+    "facts_bars": (facts_bars, FACTS_BARS),
+    "facts_lines": (facts_lines, FACTS_LINES),
+    "facts_heatmap": (facts_heatmap, FACTS_HEATMAP),
     "top_orders": (top_orders, TOP),
     "trend": (trend, TREND),
     "heat_peaks": (heat_peaks, PEAKS),

@@ -271,6 +271,18 @@ def test_distinct_counts_merge(spark):
     assert none.a == 0
 
 
+def test_facts_of_odd_charts(spark):
+    df = spark.createDataFrame([("a", 1, 3.0), ("b", 1, 3.0), ("c", 2, None)], "k string, x int, v double")
+    got = {(r.fact, r.key, r.value) for r in facts.chart(df, "point", ["k", "x"], "v").collect()}
+    assert got == {("extreme", "a \u00b7 1", 3.0)}  # ties go to the lesser key, three rows have no outliers
+    assert facts.chart(df.limit(0), "heatmap", ["k", "x"], "v").count() == 0
+    far = spark.createDataFrame([(i, float(i % 3)) for i in range(20)] + [(20, 99.0)], "k int, v double")
+    out = {r.fact: r for r in facts.chart(far, "arc", ["k"], "v").collect()}
+    assert out["outlier"].value == 1 and (out["outlier"].lo, out["outlier"].hi) == (-3.0, 5.0) and out["proportion"].key == "20" and out["extreme"].value == 0
+    with pytest.raises(ValueError):
+        facts.chart(df, "line", ["k"], "v")
+
+
 def test_slices_of_large_groups(spark):
     rows = [(i % 2, i, float(i % 7)) for i in range(500)]
     df = spark.createDataFrame(rows, "g int, o int, v double")
