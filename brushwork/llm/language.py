@@ -31,6 +31,7 @@ CENTROIDS = 4
 SAMPLE = 400
 FOLDS, HELD = 4, 2
 REJECT = 4.0
+ROUNDING = 1e-5  # of a cosine in single precision; a text that equals its centroid is not rejected
 UNKNOWN = "und"
 
 
@@ -165,7 +166,8 @@ def _predictor(idf, langs, centres, least):
                 for i in range(len(run_)):
                     t = texts[at + i]
                     if t and any(map(str.isalpha, t)):
-                        lang[at + i], score[at + i], out[at + i] = langs[k[i]], best[i], bool(best[i] <= least[k[i]])
+                        lang[at + i], score[at + i] = langs[k[i]], best[i]
+                        out[at + i] = bool(best[i] <= 0 or best[i] < least[k[i]] - ROUNDING)
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(lang), pa.array(score), pa.array(out)],
                                              [*b.schema.names[1:], "_lang", "_score", "_rejected"])
     return run
