@@ -167,10 +167,10 @@ def histogram(df: DataFrame, value: str | Column, step: float, origin: float = 0
 def histograms(df: DataFrame, views: Mapping[str, tuple[str | Column, float, float]], where: Mapping[str, Column]) -> DataFrame:
     """The histograms of several views, each under its own filter, from one scan: `view, bin, n`. `views` maps a name to
     (value, step, origin). A row becomes one row for each view that it counts in, and those merge before the shuffle."""
-    struct = lambda name, at: F.struct(F.lit(name).alias("view"), cell(*at).alias("bin"))
-    hits = F.array(*[F.when(where[name], struct(name, at)) for name, at in views.items()])
-    hit = df.select(F.explode(F.array_compact(hits)).alias("_h")).select("_h.view", "_h.bin")
-    return hit.groupBy("view", "bin").agg(F.count(F.lit(1)).alias("n"))
+    one = [F.struct(F.lit(i).alias("_view"), cell(*at).alias("bin"), where[name].alias("_in")) for i, (name, at) in enumerate(views.items())]
+    hit = df.select(F.inline(F.array(*one))).where("_in")
+    counts = hit.groupBy("_view", "bin").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(F.get(F.array(*[F.lit(name) for name in views]), F.col("_view")).alias("view"), "bin", "n")
 
 
 CELL_MEASURES = (("max", "z", "zmax"), ("rows", None, "n"))
