@@ -429,7 +429,8 @@ class Js:
     def round(self, v) -> Value:
         x = self.num(v)
         if not self.exact:
-            return self._n(F.round(x))
+            # Rounds by way of a decimal, which has no negative zero; what is below zero keeps its sign.
+            return self._n(F.when((x < 0) & (x > -0.5), F.lit(-0.0)).otherwise(F.round(x)))
         return self._n(F.when(F.abs(x) < 2.0**52, F.floor(x + 0.5).cast("double")).otherwise(x))
 
     def trunc(self, v) -> Value:

@@ -18,7 +18,8 @@ def _rows(spark, d):
     e = load(spark, d, "events")
     k, m = F.col(ID) % 12, F.col(ID) % 7
     a = (F.when(k == 0, F.lit(None).cast("double")).when(k == 1, F.lit(float("nan"))).when(k == 2, F.lit(float("inf")))
-         .when(k == 3, F.lit(0.0)).when(k == 4, -F.col("value")).when(k == 5, F.floor("value").cast("double"))
+         .when(k == 3, F.lit(0.0)).when(k == 4, -F.col("value"))
+         .when(k == 5, F.when(F.col("value") == 0, F.col("value")).otherwise(F.floor("value").cast("double")))  # -0 stays
          .when(k == 6, -F.floor("value") - 0.5).otherwise(F.col("value")))
     b = F.when(m == 0, F.lit(0.0)).when(m == 1, F.lit(None).cast("double")).when(m == 2, F.lit(-4.0)).otherwise((F.col("user_id") % 5 + 1).cast("double"))
     s = (F.when(k == 0, F.lit("")).when(k == 1, F.lit(" 5 ")).when(k == 2, F.lit("0")).when(k == 3, F.lit(None).cast("string"))

@@ -83,3 +83,15 @@ def test_lowest_rows_are_not_sorted_whole(spark, sf):
     low = ranks.lowest(rows, rows.columns, 3001, edge_rows=200)
     plan = low._jdf.queryExecution().optimizedPlan().toString()
     assert [int(n) <= 200 for n in re.findall(r"GlobalLimit (\d+)", plan)] == [True] and low.count() == 3001
+
+
+def test_sql_semantics_keeps_the_sign_of_zero(spark, con, tmp_path):
+    """Values around zero at every remainder of the id, compared as text: -0 is not 0 there."""
+    con.execute(f"""COPY (SELECT event_id + 84 * v AS event_id, ts, user_id, event_type, CAST([-0.0, 0.0, 0.3, 0.5, 2.5] AS DOUBLE[])[v + 1] AS value, props
+        FROM (FROM events WHERE event_id < 84) e, (SELECT unnest(range(5)) AS v) t) TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
+    con.execute(f"CREATE OR REPLACE TEMP VIEW zeros AS SELECT * FROM read_parquet('{tmp_path}/events.parquet')")
+    cur = con.execute(oracle_sql()["sql_semantics"].replace("FROM events)", "FROM zeros)", 1))
+    names = [c[0] for c in cur.description]
+    want = cur.fetchall()
+    got = queries()["sql_semantics"](spark, str(tmp_path)).select(*names).collect()
+    assert len(want) == 420 and sorted(map(str, map(tuple, got))) == sorted(map(str, want))
