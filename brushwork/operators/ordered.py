@@ -2,12 +2,13 @@
 
 A plain window sorts a whole key in one task. That is kept for keys whose
 largest has at most `GROUP_ROWS` rows, which one aggregate finds out. Beyond that
-rows are range-partitioned by their whole rank (order, ties, a hash of the row,
-and a number for rows equal in everything) into buckets of at most about as many
-rows, windows run per (key, bucket), and a small table of one row per (key,
-bucket) carries what passes from one bucket to the next. Results do not depend on
-where the bounds fall, nor on which of the two ways is taken: rows that tie are
-ordered by the hash in both.
+rows are ordered by their whole rank (order, ties, a hash of the row, and a
+number for rows equal in everything) into buckets of at most about as many rows,
+by range partitions and, where those hold more, by places in them; windows run
+per (key, bucket), and a small table of one row per (key, bucket) carries what
+passes from one bucket to the next. Results do not depend on where the bounds
+fall, nor on which of the two ways is taken: rows that tie are ordered by the
+hash in both.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from ..session import materialise, shuffle_partitions
 
 GROUP_ROWS = 1 << 20  # rows of one key that one task may sort
 MAX_HOT = 1 << 20  # keys that can be called hot at once
+PART_ROWS = 1 << 17  # rows of one partition, where buckets are smaller
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -34,13 +36,23 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def dealt(df: DataFrame, rank: Sequence[str], rows_each: int, total: int | None = None) -> DataFrame:
-    """The rows, written once, with a `_bucket` that grows with their rank. Rows of one rank are dealt over buckets too."""
+    """The rows, written once, with a `_bucket` that grows with their rank. Rows of one rank are dealt over buckets too.
+
+    A partition is a bucket, but where buckets of `rows_each` rows are small, a sorted partition holds many: tasks, files and
+    the driver's sample for the bounds grow with the rows of PART_ROWS, not with the buckets."""
     n = shuffle_partitions(df.sparkSession)
     if rows_each > 0:
-        n = max(n, math.ceil((df.count() if total is None else total) / rows_each))
-    numbered = df.withColumn("_number", F.monotonically_increasing_id())
-    placed = numbered.repartitionByRange(n, *rank, "_number").withColumn("_bucket", F.spark_partition_id())
-    return materialise(placed.drop("_number"), "ordered")
+        total = df.count() if total is None else total
+        n = max(n, math.ceil(total / max(rows_each, PART_ROWS)))
+    placed = df.withColumn("_number", F.monotonically_increasing_id()).repartitionByRange(n, *rank, "_number")
+    if 0 < rows_each < PART_ROWS and total > n * rows_each:
+        # The id after the sort is the partition's number times 2^33 and the row's place.
+        placed = placed.sortWithinPartitions(*rank, "_number").withColumn("_number", F.monotonically_increasing_id())
+        place = F.col("_number").bitwiseAND(F.lit((1 << 33) - 1))
+        bucket = F.col("_number") - place + F.floor(place / F.lit(rows_each))
+    else:
+        bucket = F.spark_partition_id()
+    return materialise(placed.withColumn("_bucket", bucket).drop("_number"), "ordered")
 
 
 def with_tie(df: DataFrame) -> DataFrame:

@@ -475,3 +475,12 @@ def test_clock_over_all_and_per_key(spark):
     assert whole == [(0.0, 0.0), (0.5, 0.5), (9.0, 1.5), (9.0, 1.5), (100.0, 2.5), (100.25, 2.75), (400.0, 3.75)]
     per = {(r.k, r.t): r.clock for r in clocks.clock(df, "t", 2.0, by=["k"]).collect()}
     assert per[("a", 9.0)] == 2.5 and per[("b", 100.0)] == 0.0 and per[("b", 400.0)] == 2.25
+
+
+def test_small_buckets_need_no_partitions_of_their_own(spark):
+    """Two thousand buckets of ten rows lie in few partitions, in order."""
+    rows = ordered.dealt(spark.range(20_000).withColumn("t", F.col("id") % 3), ["t", "id"], 10)
+    assert rows.select(F.input_file_name()).distinct().count() <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = rows.groupBy("_bucket").agg(F.count("*").alias("n"), F.min(F.struct("t", "id")).alias("lo"), F.max(F.struct("t", "id")).alias("hi")).orderBy("_bucket").collect()
+    assert len(sizes) >= 2_000 and max(r.n for r in sizes) == 10
+    assert all(a.hi < b.lo for a, b in zip(sizes, sizes[1:]))
