@@ -484,3 +484,12 @@ def test_small_buckets_need_no_partitions_of_their_own(spark):
     sizes = rows.groupBy("_bucket").agg(F.count("*").alias("n"), F.min(F.struct("t", "id")).alias("lo"), F.max(F.struct("t", "id")).alias("hi")).orderBy("_bucket").collect()
     assert len(sizes) >= 2_000 and max(r.n for r in sizes) == 10
     assert all(a.hi < b.lo for a, b in zip(sizes, sizes[1:]))
+
+
+def test_sums_over_missing_values_take_few_partitions(spark):
+    """The first values of each key are missing; many buckets of a partition pass nothing on, and no bucket writes its own file."""
+    df = spark.range(20_000).select("id", (F.col("id") % 2).alias("k"), F.col("id").cast("double").alias("t"), F.when(F.col("id") % 30 == 29, 1.0).alias("v"))
+    run = ordered.running_sum(df, ["k"], "t", "v", "s", group_rows=10)
+    assert len(run.inputFiles()) <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    want = lambda i: float((i + 1) // 30) if i % 2 and i >= 29 else None
+    assert all(r.s == want(r.id) for r in run.select("id", "s").collect())
