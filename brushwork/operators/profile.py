@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialise
 from . import ranks
 
 # Names taken as coordinates, prefixes of WKT geometry, and the
@@ -49,13 +50,13 @@ def profile(df: DataFrame) -> DataFrame:
             (F.lit(None).cast("string") if isinstance(f.dataType, (T.DoubleType, T.FloatType))
              else F.when(F.abs(F.col(f"`{f.name}`").cast("double")) >= 2.0**53, F.col(f"`{f.name}`").cast("string"))).alias("key"))
         long = df.select(F.inline(F.array(*[entry(i, f) for i, f in numbers])))
-        counts = long.groupBy("pos", "num", "key").agg(F.count(F.lit(1)).alias("c"))
+        # Written once: the percentiles of a large table run over it several times, and the table itself is many times longer.
+        counts = materialise(long.groupBy("pos", "num", "key").agg(F.count(F.lit(1)).alias("c")), "profile")
         stats = counts.groupBy("pos").agg(
             F.sum("c").alias("rows"), F.count("num").alias("distinct"),
             F.coalesce(F.sum(F.when(F.col("num").isNull(), F.col("c"))), F.lit(0)).alias("nulls"),
             F.min("num").alias("min"), F.max("num").alias("max"))
-        tails = ranks.percentiles(counts, "num", {"p90": 0.9, "p999": 0.999}, by=["pos"], weight="c",
-                                  largest=df.count()).drop("n")
+        tails = ranks.percentiles(counts, "num", {"p90": 0.9, "p999": 0.999}, by=["pos"], weight="c").drop("n")
         parts.append(stats.join(tails, "pos", "left").withColumn("sample", F.lit(None).cast("string")))
     if texts:
         long = df.select(F.inline(F.array(*[
@@ -123,7 +124,7 @@ def drift(before: DataFrame, after: DataFrame) -> DataFrame:
     99.9th percentile and had not before."""
     a = before.select("column", *[F.col(c).alias(f"a_{c}") for c in ("rows", "distinct", "role", "min", "max", "p999")])
     b = after.select("column", *[F.col(c).alias(f"b_{c}") for c in ("rows", "distinct", "role", "min", "max", "p999")])
-    both = a.join(b, "column", "full_outer")
+    both = materialise(a.join(b, "column", "full_outer"), "drift")  # a row per column, read twice
 
     def far(side: str) -> Column:
         top, p, low = (F.col(f"{side}_{c}") for c in ("max", "p999", "min"))

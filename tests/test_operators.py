@@ -493,3 +493,28 @@ def test_sums_over_missing_values_take_few_partitions(spark):
     assert len(run.inputFiles()) <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     want = lambda i: float((i + 1) // 30) if i % 2 and i >= 29 else None
     assert all(r.s == want(r.id) for r in run.select("id", "s").collect())
+
+
+def _counted_rows(spark, rows):
+    """Numbers of so many rows, and how often rows of them were made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b.assign(v=b.id * 0.5)
+
+    return spark.range(rows).mapInPandas(run, "id long, v double"), made
+
+
+def test_a_profile_reads_numbers_once(spark):
+    df, made = _counted_rows(spark, 1000)
+    assert [(r.distinct, r.max) for r in prof.profile(df).orderBy("position").collect()] == [(1000, 999.0), (1000, 499.5)]
+    assert made.value == 1000
+
+
+def test_a_drift_reads_numbers_once(spark):
+    (a, made_a), (b, made_b) = _counted_rows(spark, 1000), _counted_rows(spark, 2000)
+    out = prof.drift(prof.profile(a), prof.profile(b)).collect()
+    assert [(r.column, r.was, r.now) for r in out] == [("*", 1000.0, 2000.0)]
+    assert (made_a.value, made_b.value) == (1000, 2000)
