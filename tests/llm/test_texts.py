@@ -269,6 +269,15 @@ def test_blended_lengths_of_any_size():
     assert got == pytest.approx([6, -math.log2(0.75 * 0.3 + 0.25 / 16), 90_002])
 
 
+def test_scores_do_not_depend_on_how_many_words_are_sent(single, monkeypatch):
+    """A few words on the way of frequent ones, or all: every word has taught every counter."""
+    runs = []
+    for most in (scoring.SENT_WORDS, 5):
+        monkeypatch.setattr(scoring, "SENT_WORDS", most)
+        runs.append({r.doc_id: r.score for r in scoring.scored(single).collect()})
+    assert runs[0] == pytest.approx(runs[1], rel=1e-9)
+
+
 def test_word_probabilities_are_a_distribution(docs):
     """Whatever word is spelt, the bits of its first byte share out all probability."""
     _, share, _ = scoring.trained(docs)
