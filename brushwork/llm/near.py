@@ -14,9 +14,10 @@ the TAKEN least aligned ones under one hash are among its n - ceil(0.8 n) + TAKE
 order, is a key. No pair with a text of at most SHORT shingles is missed. A longer pair at 0.8 of u shingles in all, m aligned, shares no
 key with a chance of (1 - C(m, 4) / C(u, 4))^20: 6.4e-5 for 20 of 25, the most, 4.0e-5 for 40 of 50, 2.6e-5 for long texts. (3) In every
 bucket, all nodes are compared with a leader, not with each other. Nodes that are then in one component need no further
-comparison; where a bucket still holds several components, it goes on with four times as many leaders, which are compared
-with the nodes of other components, until every such pair has been compared. So no link between components is lost, nothing
-is capped, and a bucket of copies costs about one comparison a node. (4) Components by large-star and small-star steps.
+comparison; where a bucket still holds several components, it goes on with FARTHER times as many leaders, which are compared
+with the nodes of other components, until every such pair has been compared or ruled out: after the first round, the shingles of
+the nodes of open buckets are counted, and only those that several components hold can be aligned, which bounds a pair's similarity
+from above. So no link between components is lost, nothing is capped, and a bucket of copies costs about one comparison a node. (4) Components by large-star and small-star steps.
 
 A leader that many nodes are compared with is joined as a hot key; no bucket or class is ever gathered in one task.
 
@@ -46,7 +47,7 @@ TAKEN = 4
 SHORT = 16  # distinct shingles of a text whose links all have a key
 EXACT = 20  # the most that a text linked to one of SHORT has
 AT_ONCE = 1 << 19  # bytes of texts that a task handles at once; its arrays take some 40 times as much
-FARTHER = 4  # times as many leaders in each further round
+FARTHER = 16  # times as many leaders in each further round; pairs ruled out by their own shingles are not compared
 
 
 def _per_text(first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -221,6 +222,14 @@ def distinct_shingles(codes: bytes, width: int = SHINGLE) -> np.ndarray:
     return h[np.sort(first)]
 
 
+def _distinct(batches):
+    for b in batches:
+        for at, n in slices(b.column(2), AT_ONCE):
+            own = b.slice(at, n)
+            shingles = [distinct_shingles(x).view(np.int64) for x in own.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(shingles, pa.list_(pa.int64()))], ["node", "_root", "shingles"])
+
+
 def aligned(a: np.ndarray, b: np.ndarray, least: float) -> tuple[float, float]:
     """(similarity if it reaches `least`, else 0; Jaccard similarity) of two sequences without repeats.
 
@@ -293,6 +302,31 @@ def hooked(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     return out
 
 
+def opened(rooted: DataFrame) -> DataFrame:
+    """The rows (key, node, root, ...) of buckets that hold several components, with the bucket's size and least node."""
+    open_ = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("_low"), F.max("root").alias("_high"), F.min("node").alias("_least"))
+    open_ = open_.where("_low <> _high").select("key", "size", "_least")
+    return materialise(rooted.join(open_, "key"), "open")
+
+
+def linkable(rest: DataFrame, codes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(node, of, shared) of the rows (node, root) of open buckets, where a link to another component isn't ruled out; and a table to discard.
+
+    Of a node's distinct shingles (`of`), only those that nodes of other components hold as well (`shared`) can be aligned with one
+    of these, and the similarity is at most their share. Copies with many edits of their own have too few, however many they are."""
+    own = rest.select("node", F.xxhash64("root").alias("_root")).distinct().join(codes, "node").select("node", "_root", "codes")
+    shingles = materialise(own.mapInArrow(_distinct, "node binary, _root long, shingles array<long>"), "shingles")
+    rows = shingles.select(F.xxhash64("node").alias("_id"), "_root", F.explode("shingles").alias("shingle"))
+    met = rows.groupBy("shingle").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high"), F.count(F.lit(1)).alias("_n"))
+    met = materialise(met.where("_low <> _high").select("shingle", "_n"), "met")
+    total = shingles.agg(F.sum(F.size("shingles"))).first()[0]
+    shared = meet(rows.select("_id", "shingle"), met, "shingle", "_n", total).groupBy("_id").agg(F.count(F.lit(1)).alias("shared"))
+    able = shingles.select("node", F.xxhash64("node").alias("_id"), F.size("shingles").alias("of")).join(shared, "_id")
+    able = materialise(able.where(F.col("shared") / F.col("of") >= least).select("node", "of", "shared"), "linkable")
+    discard(met)
+    return able, shingles
+
+
 def links(nodes: DataFrame, codes: DataFrame, least: float = SIMILAR) -> DataFrame:
     """Links (a, b) between nodes that share a bucket, enough of them that the components are those of all links."""
     return searched(nodes, codes, least)[0]
@@ -317,12 +351,15 @@ def searched(nodes: DataFrame, codes: DataFrame, least: float = SIMILAR) -> tupl
         found = close if found is None else found.unionAll(close)
         roots = hooked(roots, close)
         # Buckets that still hold several components; who has led one has been compared with all of it.
-        rooted = rest.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        open_ = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("_low"), F.max("root").alias("_high"), F.min("node").alias("_least"))
-        open_ = open_.where("_low <> _high").select("key", "size", "_least")
-        rest = materialise(rooted.join(open_, "key"), "open")
+        bounds = [c for c in ("of", "shared") if c in rest.columns]
+        rest = opened(rest.join(roots, "node", "left").select("key", "node", *bounds, F.coalesce("root", "node").alias("root")))
         discard(source)
         source = rest
+        if not bounds and not rest.isEmpty():  # once: what later rounds could share is less
+            able, shingles = linkable(rest, codes, least)
+            rest = opened(rest.select("key", "node", "root").join(able, "node"))
+            discard(source, shingles)
+            source = rest
         if rest.isEmpty():
             return found, roots
         # About `leaders_each` by hash, and the least node always; all, once they are as many as the nodes. A node with a low
@@ -333,11 +370,14 @@ def searched(nodes: DataFrame, codes: DataFrame, least: float = SIMILAR) -> tupl
         # Each pair is compared once: in the least of the keys that both have, whichever of the two leads there. That bucket is
         # open while their roots differ, and goes on until all of its nodes have led.
         all_keys = rest.join(keys, "node")
-        lead = all_keys.where(leads).select("key", F.col("node").alias("leader"), F.col("root").alias("_root"), F.col("keys").alias("_keys"))
-        pairs = (all_keys.join(lead, "key").where((F.col("root") != F.col("_root")) & (F.array_min(F.array_intersect("keys", "_keys")) == F.col("key")))
+        lead = all_keys.where(leads).select("key", F.col("node").alias("leader"), F.col("root").alias("_root"), F.col("keys").alias("_keys"),
+                                            F.col("of").alias("_of"), F.col("shared").alias("_shared"))
+        most = F.least("shared", "_shared")  # that can be aligned
+        may = most / (F.col("of") + F.col("_of") - most) >= least
+        pairs = (all_keys.join(lead, "key").where((F.col("root") != F.col("_root")) & may & (F.array_min(F.array_intersect("keys", "_keys")) == F.col("key")))
                  .select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
                  .join(done, ["a", "b"], "left_anti"))
-        rest = rest.where(~leads).select("key", "node")
+        rest = rest.where(~leads).select("key", "node", "of", "shared")
 
 
 def components(edges: DataFrame) -> DataFrame:

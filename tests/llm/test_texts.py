@@ -95,6 +95,26 @@ def test_short_links_always_share_a_key(n, more):
     assert all(set(a.tolist()) & set(b.tolist()) for a, b in zip(keys[0::2], keys[1::2]))
 
 
+def test_copies_with_edits_of_their_own_are_not_all_compared(spark, monkeypatch):
+    """Forty copies of one text in one bucket, each with a quarter of its shingles to itself, and a near copy of two of them."""
+    rng = random.Random(5)
+    words, rows = [f"w{i}" for i in range(200)], []
+    for i in range(40):
+        own = list(words)
+        for k in range(rng.randrange(20), 200, 18):
+            own[k] = f"x{i}-{k}"
+        rows.append((bytes([i]) * 16, own))
+    for i in (7, 30):
+        rows.append((bytes([100 + i]) * 16, [*rows[i][1][:-1], "end"]))
+    code = lambda ws: b"".join(zlib.crc32(w.encode()).to_bytes(4, "little")[:3] for w in ws)
+    codes = spark.createDataFrame([(n, code(w)) for n, w in rows], "node binary, codes binary")
+    met, compared = [], near.compared
+    monkeypatch.setattr(near, "compared", lambda pairs, *rest: met.append(pairs.count()) or compared(pairs, *rest))
+    links = near.links(codes.select("node", F.array(F.lit(1).cast("long")).alias("keys")), codes)
+    assert {(r.a[0], r.b[0]) for r in links.collect()} == {(7, 107), (30, 130)}
+    assert sum(met) < 60  # 41 with the leader; all pairs are 861
+
+
 def test_no_link_of_a_bucket_is_lost(spark):
     """A chain of texts in one bucket, of which the ends are far from the leader: rounds go on until no link can be missing."""
     rng = random.Random(11)
