@@ -95,6 +95,15 @@ def test_short_links_always_share_a_key(n, more):
     assert all(set(a.tolist()) & set(b.tolist()) for a, b in zip(keys[0::2], keys[1::2]))
 
 
+def test_word_counts_are_handed_on_before_they_fill_a_task():
+    """600,000 distinct words: no batch holds more than some 2^18 and a block's, and all are counted."""
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(f"w{i}" for i in range(k, k + 20_000)) for k in range(0, 600_000, 20_000)]),
+                                        pa.array([1] * 30, pa.int32())], ["text", "role"])
+    out = list(scoring._counted(np.zeros((scoring.KINDS, 1 << scoring.KIND_BITS), np.float32))([batch]))
+    assert max(b.num_rows for b in out) < 420_000
+    assert sum(sum(b.column("learned").to_pylist()) for b in out) == 600_000 + 30  # words and ends
+
+
 def test_copies_with_edits_of_their_own_are_not_all_compared(spark, monkeypatch):
     """Forty copies of one text in one bucket, each with a quarter of its shingles to itself, and a near copy of two of them."""
     rng = random.Random(5)
