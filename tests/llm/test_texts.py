@@ -280,6 +280,41 @@ def test_counters_learn_the_fitting_fold(spark):
     assert got[folds[0][0]] < got[folds[0][1]] - 1.5
 
 
+def test_kinds_are_found_from_all_training_texts(spark, monkeypatch, tmp_path):
+    """More texts than the 2,000 that kinds once started from, with copies and texts without words: every round sums all of training."""
+    rng, size = random.Random(11), 1 << scoring.KIND_BITS
+    word = lambda topic: f"t{topic}w{rng.randrange(30)}"
+    texts = [" ".join(word(rng.randrange(8) if rng.random() < 0.4 else i % 8) for _ in range(12)) for i in range(2600)]
+    rows = list(enumerate([*texts, *texts[:5], "", None, " "]))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5, "doc_id").write.parquet(f"{tmp_path}/docs")
+    seen, real = [], scoring.kinds_of
+
+    def spied(found, *rest):
+        got = found.collect()
+        v = scoring.unpacked([bytes(r.cells) for r in got], [bytes(r.counts) for r in got])
+        centres = real(found, *rest)
+        sums = scoring.added(found.mapInArrow(scoring._gathered(centres[None]), scoring.FITTED), (1, scoring.KINDS, size + 1))[0]
+        seen.append((v, centres, sums))
+        return centres
+
+    monkeypatch.setattr(scoring, "kinds_of", spied)
+    monkeypatch.setattr(scoring, "KIND_ROUNDS", 40)
+    scoring.trained(spark.read.parquet(f"{tmp_path}/docs"))
+    (v, centres, sums), = seen
+    assert len(v) == sum(zlib.crc32(str(i).encode()) % 10 != 0 for i, t in rows if t and t.strip()) > 2000
+    near = v @ centres.T
+    plain = np.array([v[near.argmax(axis=1) == k].sum(axis=0, dtype=float) for k in range(scoring.KINDS)])
+    assert np.allclose(sums[:, :size], plain, atol=1e-3) and sums[:, size].sum() == pytest.approx(near.max(axis=1).sum(), rel=1e-5)
+    moved = plain / np.linalg.norm(plain, axis=1, keepdims=True)
+    assert (v @ moved.T).max(axis=1).sum() <= near.max(axis=1).sum() * (1 + 2 * scoring.KIND_GAIN)  # another round adds next to nothing
+
+
+@pytest.mark.parametrize("n,shares", [(5, [1]), (400, [0.25] * 4)])
+def test_few_texts_make_few_kinds(spark, n, shares):
+    _, share, _ = scoring.trained(spark.createDataFrame([(100 * i + 1, f"only{i % 4} words{i % 4}") for i in range(n)], "doc_id long, text string"))
+    assert sorted(x for x in share if x > 0.01) == pytest.approx(shares, abs=0.05)
+
+
 def test_fits_are_sums_over_all_words():
     """However the words are dealt out, weights and map come from all of them, by their counts."""
     words, kind = [b"the", b"then", b"of", b"x" * 400], np.array([0, 1, 0, 2])
