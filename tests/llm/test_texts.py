@@ -327,6 +327,54 @@ def test_fits_are_sums_over_all_words():
     assert two.bits(words, 3).sum() < scoring.Model([]).bits(words, 3).sum()
 
 
+def test_starts_that_words_share_are_looked_up_once():
+    """What many words teach, and what they cost, is what each does alone."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abé") for _ in range(rng.randint(1, 7))).encode() for _ in range(300)] + [b"\n", b"abab", b"abab"]
+    kind, count = np.array([rng.randrange(scoring.KINDS) for _ in words]), np.array([rng.randint(1, 9) for _ in words])
+    ended = [w if w == b"\n" else w + b" " for w in words]
+    bits = scoring.Bits(words, kind)
+    assert len(bits.bytes) == len({(k, w[:i + 1]) for w, k in zip(ended, kind.tolist()) for i in range(len(w))})
+    assert bits.bytes[bits.spelt].tobytes() == b"".join(ended)
+
+    def summed(*columns):
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.int64()))], ["word", "kind", "learned"])
+        out = np.zeros((2, scoring.OFFSETS[-1]), np.int64)
+        for r in (r for b in scoring._summed(iter([batch])) for r in b.to_pylist()):
+            out[:, r["slice"] * scoring.SLICE:(r["slice"] + 1) * scoring.SLICE] += np.frombuffer(bpe.unpressed(r["body"])[0], np.int64).reshape(2, -1)
+        return out
+
+    some = slice(0, 20)
+    assert (summed(words[some], kind[some], count[some]) == sum(summed([w], kind[i:i + 1], count[i:i + 1]) for i, w in enumerate(words[some]))).all()
+    model = scoring.Model([])
+    model.state[:] = np.random.default_rng(3).integers(1, 65535, len(model.state)) | np.random.default_rng(4).integers(0, 6, len(model.state)) << 16
+    for of in (model.slopes, model.came):
+        assert np.allclose(of(words, kind, count.astype(float)), sum(of([w], kind[i:i + 1], count[i:i + 1].astype(float)) for i, w in enumerate(words)))
+    assert np.allclose(model.bits(words), np.concatenate([model.bits([w]) for w in words], axis=1))
+
+
+@pytest.mark.parametrize("flush", [scoring.FLUSH, 40])
+def test_word_counts_against_brute_force(monkeypatch, flush):
+    """Handed on in one go, or in many: the sums by word and kind of the text are the same, words of held-out texts included."""
+    rng = random.Random(6)
+    texts = [" ".join(f"W{rng.randrange(300)}" for _ in range(rng.randint(0, 60))) for _ in range(1500)] + ["", None, " x\ny "]
+    role = [rng.randrange(3) for _ in texts]
+    monkeypatch.setattr(scoring, "FLUSH", flush)
+    centres = np.random.default_rng(1).random((scoring.KINDS, 1 << scoring.KIND_BITS)).astype(np.float32)
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i:i + 400]), pa.array(role[i:i + 400], pa.int32())], ["text", "role"]) for i in range(0, len(texts), 400)]
+    out, got, want = list(scoring._counted(centres)(batches)), {}, {}
+    for b in out:
+        for w, k, *n in zip(*(b.column(i).to_pylist() for i in range(4))):
+            got[w, k] = np.add(got.get((w, k), 0), n)
+    for t, r in zip(texts, role):
+        v = scoring.Words([(t or "").lower().encode()])
+        kind = int((scoring.profiles(scoring.held(v, 1)) @ centres.T).argmax())
+        for w in [*(x.lower().encode() for x in split(t)), b"\n"]:
+            want[w, kind] = np.add(want.get((w, kind), 0), [r == 1, r == 2])
+    assert {k: v.tolist() for k, v in got.items()} == {k: v.tolist() for k, v in want.items()}
+    assert max(b.num_rows for b in out) <= flush
+
+
 def test_blended_lengths_of_any_size():
     counts, size, unseen = np.array([[0.0, 3.0, 0.0]]), np.array([10.0]), np.array([0.25])
     got = scoring.blended(counts, size, unseen, np.array([[4.0, 4.0, 90_000.0]]))[0]
