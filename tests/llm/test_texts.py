@@ -353,6 +353,13 @@ def test_starts_that_words_share_are_looked_up_once():
     assert np.allclose(model.bits(words), np.concatenate([model.bits([w]) for w in words], axis=1))
 
 
+def test_hashes_of_words_do_not_depend_on_how_many_are_taken_at_once(rows):
+    w = scoring.Words([(r[1] or "").encode() for r in rows])
+    for size in (1, 100, 1 << 20):
+        assert (scoring.hashes(w, 91, size) == w.hashes(91)).all()
+    assert len(scoring.hashes(scoring.Words([b"", b" "]), 91)) == 0
+
+
 @pytest.mark.parametrize("flush", [scoring.FLUSH, 40])
 def test_word_counts_against_brute_force(monkeypatch, flush):
     """Handed on in one go, or in many: the sums by word and kind of the text are the same, words of held-out texts included."""
